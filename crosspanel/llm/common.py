@@ -62,19 +62,15 @@ def membership_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.
 
 def may_contain(df: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
     """Rows of ``df`` whose key may be among the keys of the bitmap (never loses one that is)."""
-    from pyspark.sql.functions import pandas_udf
-
-    bits = int(len(bitmap) * 8).bit_length() - 1
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
-
-    @pandas_udf("boolean")
-    def hit(at):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        x = at.to_numpy()
-        return pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
-
-    return df.where(hit(bit_position(key, bits)))
+    bits, block = int(len(bitmap) * 8).bit_length() - 1, 1 << 15
+    step = block // 8
+    blocks = [(i, bytearray(bitmap[i * step : (i + 1) * step].tobytes())) for i in range(len(bitmap) // step)]
+    table = df.sparkSession.createDataFrame(blocks, "bit_block int, bit_map binary")  # of fixed size
+    at = bit_position(key, bits)
+    held = df.withColumn("bit_at", at).withColumn("bit_block", (F.col("bit_at") / block).cast("int"))
+    byte = F.conv(F.hex(F.substring("bit_map", (F.pmod(F.col("bit_at"), F.lit(block)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("bit_at"), F.lit(8)))), F.lit(2)) == 1
+    return held.join(F.broadcast(table), "bit_block").where(hit).drop("bit_block", "bit_at", "bit_map")
 
 
 def as_strings(column) -> list:  # noqa: ANN001

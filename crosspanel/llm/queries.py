@@ -9,13 +9,27 @@ from pyspark.sql import functions as F
 
 from crosspanel.llm.bpe import encode_documents
 from crosspanel.llm.common import documents
+from crosspanel.llm.fingerprints import edited_fingerprints
+from crosspanel.llm.language import identify
+from crosspanel.llm.neighbours import nearest
 from crosspanel.llm.packing import pack_documents
+from crosspanel.llm.pii import pseudonymise
+from crosspanel.llm.sharding import balanced_shards
+from crosspanel.llm.substrings import remove_repeats
 from crosspanel.llm.urls import filter_urls
 
 #: host, path, verdict
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
@@ -25,14 +39,37 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(documents(spark, sf_dir))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op3_language": op3_language,
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op8_substrings": op8_substrings,
+    "op9_shards": op9_shards,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {
