@@ -108,7 +108,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
         s = s - s.max(axis=1, keepdims=True)
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
-    lo, hi, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
+    lo, hi, ratio = np.log(0.3), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
         a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
         lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
