@@ -48,10 +48,14 @@ def membership_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.
     The size depends on ``bits`` alone, never on the data, so it is safe to broadcast. A set bit
     may be shared by other keys: the bitmap only thins out rows ahead of an exact join.
     """
+    return bitmap_at(keys.select(bit_position(key, bits).alias("at")), bits)
+
+
+def bitmap_at(positions: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of ``2**bits`` bits in which the positions ``at`` are set."""
     block = 1 << 15
-    at = keys.select(bit_position(key, bits).alias("at"))
     # one task builds a block of 32768 bits, so that blocks are not shuffled in parts
-    at = at.select((F.col("at") / block).cast("int").alias("block"), F.pmod("at", F.lit(block)).cast("int").alias("bit"))
+    at = positions.select((F.col("at") / block).cast("int").alias("block"), F.pmod("at", F.lit(block)).cast("int").alias("bit"))
     parts = at.repartition("block").groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for row in parts.toLocalIterator():

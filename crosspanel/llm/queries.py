@@ -15,6 +15,7 @@ from crosspanel.llm.neighbours import nearest
 from crosspanel.llm.packing import pack_documents
 from crosspanel.llm.pii import pseudonymise
 from crosspanel.llm.sharding import balanced_shards
+from crosspanel.llm.similarity import similar_documents
 from crosspanel.llm.substrings import remove_repeats
 from crosspanel.llm.urls import filter_urls
 
@@ -26,6 +27,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op2_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(documents(spark, sf_dir))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
 
@@ -62,6 +67,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_similar": op2_similar,
     "op3_language": op3_language,
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
