@@ -64,17 +64,21 @@ def bitmap_at(positions: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def may_contain(df: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose key may be among the keys of the bitmap (never loses one that is)."""
+def marked(df: DataFrame, key: str, bitmap: np.ndarray, mark: str = "maybe") -> DataFrame:
+    """``df`` with a column that tells whether the key's bit is set; false for a null key."""
     bits, block = int(len(bitmap) * 8).bit_length() - 1, 1 << 15
     step = block // 8
     blocks = [(i, bytearray(bitmap[i * step : (i + 1) * step].tobytes())) for i in range(len(bitmap) // step)]
     table = df.sparkSession.createDataFrame(blocks, "bit_block int, bit_map binary")  # of fixed size
-    at = bit_position(key, bits)
-    held = df.withColumn("bit_at", at).withColumn("bit_block", (F.col("bit_at") / block).cast("int"))
+    held = df.withColumn("bit_at", bit_position(key, bits)).withColumn("bit_block", (F.col("bit_at") / block).cast("int"))
     byte = F.conv(F.hex(F.substring("bit_map", (F.pmod(F.col("bit_at"), F.lit(block)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("bit_at"), F.lit(8)))), F.lit(2)) == 1
-    return held.join(F.broadcast(table), "bit_block").where(hit).drop("bit_block", "bit_at", "bit_map")
+    return held.join(F.broadcast(table), "bit_block").withColumn(mark, hit & F.col(key).isNotNull()).drop("bit_block", "bit_at", "bit_map")
+
+
+def may_contain(df: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
+    """Rows of ``df`` whose key may be among the keys of the bitmap (never loses one that is)."""
+    return marked(df, key, bitmap).where("maybe").drop("maybe")
 
 
 def as_strings(column) -> list:  # noqa: ANN001

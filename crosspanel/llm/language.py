@@ -179,14 +179,30 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # features x labels: of fixed size
 
+    more = [] if "text" in keep else ["text"]
+    at = [*keep, *more].index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shared.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            got = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+            columns = [*batch.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, *more).mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more, by a model
+    trained on the labelled rows; texts that are null or have no letter go. Columns stay."""
+    model = train_language_model(docs, F.lit(True))
+    if not model.labels:  # nothing to learn from: nothing is rejected but texts without letters
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    columns = docs.columns
+    renamed = {c: f"kept_{i}" for i, c in enumerate(columns) if c != "text"}
+    told = predict_language(docs.withColumnsRenamed(renamed), model, tuple(renamed.get(c, c) for c in columns))
+    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(renamed.get(c, c)).alias(c) for c in columns])
 
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:

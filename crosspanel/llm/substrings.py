@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import may_contain, membership_bitmap, written
+from crosspanel.llm.common import marked, may_contain, membership_bitmap, written
 
 #: Words whose hash makes a minimiser.
 MER = 8
@@ -291,3 +291,18 @@ def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> Dat
     sha = F.when(F.col("copied"), nothing).otherwise(F.coalesce("sha", "words_sha256"))
     more = ["tk", F.when(F.col("copied"), F.lit("")).otherwise(F.col("kept")).alias("kept")] if with_text else []
     return out.select("doc_id", "n_words", F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"), F.lower(F.hex(sha)).alias("kept_sha256"), *more)
+
+
+def without_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
+    """``docs`` with the words that :func:`remove_repeats` names taken out of their texts; n_chars,
+    if there is such a column, follows. Documents of which nothing is left go; all other rows, and
+    all columns, stay. Only rows that may change are shuffled."""
+    changed = remove_repeats(docs, k, with_text=True).where("n_removed > 0").select("doc_id", "tk", "kept").dropDuplicates(["doc_id", "tk"])
+    changed = written(changed.withColumnsRenamed({"doc_id": "changed_id", "tk": "changed_tk", "kept": "changed_text"}), "changed")
+    split = marked(docs, "doc_id", membership_bitmap(changed.select(F.col("changed_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")), "doc_id"))
+    same = (F.col("doc_id") == F.col("changed_id")) & (F.xxhash64("text") == F.col("changed_tk"))
+    joined = split.where("maybe").join(changed, same, "left").where("changed_id IS NULL OR changed_text <> ''")
+    text = F.coalesce("changed_text", "text")
+    new = {"text": text, "n_chars": F.when(F.col("changed_id").isNotNull(), F.length("changed_text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    touched = joined.select(*[(new[c].cast(docs.schema[c].dataType).alias(c) if new.get(c) is not None else F.col(c)) for c in docs.columns])
+    return split.where("NOT maybe").select(*docs.columns).unionByName(touched)
