@@ -72,3 +72,12 @@ def enveloped(df: DataFrame, keys: list[str]) -> DataFrame:
 def broken_envelopes(df: DataFrame) -> DataFrame:
     """Rows whose payload does not have the checksum it came with."""
     return df.where(F.sha2("payload", 256) != F.col("sha256"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for checkpoints, in the one the session shares; local only where none is set."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crosspanel-")
+    return f"{root}/crosspanel/{name}-{uuid.uuid4().hex}"
