@@ -136,7 +136,7 @@ def autocorrelation(values: DataFrame, value: str, *by: str) -> DataFrame:
     w = Window.partitionBy(*by)
     r = values.where(F.col(value).isNotNull()).withColumn("d", F.col(value) - F.avg(value).over(w))
     r = r.withColumn("prev", F.lag("d").over(w.orderBy("ts")))
-    g = r.groupBy(*by).agg(F.count("*").alias("n"), F.max_by(value, "ts").alias("last"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.sum(F.col("d") * F.col("prev")).alias("num"), F.sum(F.col("d") * F.col("d")).alias("den"), F.avg((F.col(value) < 0).cast("double")).alias("neg"))
+    g = r.groupBy(*by).agg(F.count("*").alias("n"), F.max_by(value, "ts").alias("last"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.sum(F.col("d") * F.col("prev")).alias("num"), F.sum(F.col("d") * F.col("d")).alias("den"), F.avg((F.round(value, 12) < 0).cast("double")).alias("neg"))
     rho = F.when((F.col("n") >= 3) & (F.col("den") > 0), F.col("num") / F.nullif(F.col("den"), F.lit(0.0)))
     g = g.withColumn("lag1", rho)
     usable = (F.abs("lag1") < 1) & (F.col("std") > 0)

@@ -128,12 +128,12 @@ tk AS (SELECT key, sum(least(size, greatest(0, qty - before)) * price) FILTER (s
 rs AS (SELECT key, CASE WHEN nb > db OR na > da THEN 'invalid' WHEN tb < qty - qty * 1e-12 OR ta < qty - qty * 1e-12 THEN 'insufficient_depth' ELSE 'evaluated' END AS status, proceeds, expense, qty, bid, ask FROM q JOIN tk USING (key))"""
 
 
-@query("book_vwap", sql(BOOK, body="""SELECT key, status, round(CASE WHEN status = 'evaluated' THEN 100 * (1 - expense / proceeds - 0.0022::DOUBLE) END, 6) + 0.0::DOUBLE AS net_pct, round(CASE WHEN status = 'evaluated' THEN proceeds / qty END, 8) AS entry_vwap FROM rs"""))
+@query("book_vwap", sql(BOOK, body="""SELECT key, status, round(CASE WHEN status = 'evaluated' THEN 100 * (1 - expense / proceeds - 0.0022::DOUBLE) END, 6) + 0.0::DOUBLE AS net_pct, round(CASE WHEN status = 'evaluated' THEN proceeds / qty END, 7) AS entry_vwap FROM rs"""))
 def book_vwap(s, d):  # noqa: ANN001, ANN201
     lv = table(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") % 2 == 1).alias("bid"), F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size")).alias("level"))
     b = lv.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("bid"), F.col("level"))), asc=False).alias("bids"), F.sort_array(F.collect_list(F.when(~F.col("bid"), F.col("level")))).alias("asks"))
     books = b.where((F.size("bids") > 0) & (F.size("asks") > 0))
-    return bo.depth_cost(books, 20_000.0, 22.0).select("key", "status", six(F.col("net_pct")).alias("net_pct"), F.round("entry_vwap", 8).alias("entry_vwap"))
+    return bo.depth_cost(books, 20_000.0, 22.0).select("key", "status", six(F.col("net_pct")).alias("net_pct"), F.round("entry_vwap", 7).alias("entry_vwap"))
 
 
 @query("funding_window", sql("a", """held AS (SELECT entity || '/' || strftime(day, '%m-%d') AS key, entity, day + INTERVAL 330 MINUTE AS a, day + INTERVAL 750 MINUTE AS b FROM (SELECT DISTINCT entity FROM bars), (SELECT unnest(generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS day)),

@@ -347,7 +347,7 @@ def audit_monthly_ic(s, d):  # noqa: ANN001, ANN201
 
 
 @query("ic_autocorr", sql("a", "panel", "factors", "scored", "ics", """c AS (SELECT ts, ic, ic - avg(ic) OVER () AS d FROM ics WHERE ic IS NOT NULL), l AS (SELECT *, lag(d) OVER (ORDER BY ts) AS p FROM c),
-m AS (SELECT count(*) AS n, arg_max(ic, ts) AS last, avg(ic) AS mean, stddev_samp(ic) AS std, sum(d * p) / nullif(sum(d * d), 0) AS lag1, avg((ic < 0)::INT) AS neg FROM l),
+m AS (SELECT count(*) AS n, arg_max(ic, ts) AS last, avg(ic) AS mean, stddev_samp(ic) AS std, sum(d * p) / nullif(sum(d * d), 0) AS lag1, avg((round(ic, 12) < 0)::INT) AS neg FROM l),
 q AS (SELECT *, CASE WHEN abs(lag1) < 1 AND std > 0 THEN least(greatest(n * (1 - lag1) / (1 + lag1), 1), n) END AS n_eff FROM m)""",
     body="""SELECT n, round(last, 6) + 0.0::DOUBLE AS last, round(mean, 6) + 0.0::DOUBLE AS mean, round(std, 6) AS std, round(mean / (std / sqrt(n)), 6) + 0.0::DOUBLE AS tstat, round(mean / (std / sqrt(n_eff)), 6) + 0.0::DOUBLE AS tstat_ac,
 round(lag1, 6) + 0.0::DOUBLE AS lag1, round(n_eff, 6) AS n_eff, round(100 * neg, 6) AS neg_pct FROM q"""))
@@ -393,10 +393,10 @@ def regime_bull(s, d):  # noqa: ANN001, ANN201
     return regime_a(s, d).select(stamp(F.col("ts")).alias("ts"), "bull")
 
 
-@query("regime_slice", sql("a", "panel", "factors", "scored", "ics", REGIME, body="SELECT regime, count(*) AS n, round(avg(ic), 6) + 0.0::DOUBLE AS mean_ic, round(avg((ic > 0)::INT), 6) AS hit FROM ics JOIN regime USING (ts) WHERE ic IS NOT NULL GROUP BY regime"))
+@query("regime_slice", sql("a", "panel", "factors", "scored", "ics", REGIME, body="SELECT regime, count(*) AS n, round(avg(ic), 6) + 0.0::DOUBLE AS mean_ic, round(avg((round(ic, 12) > 0)::INT), 6) AS hit FROM ics JOIN regime USING (ts) WHERE ic IS NOT NULL GROUP BY regime"))
 def regime_slice(s, d):  # noqa: ANN001, ANN201
     joined = ics_a(s, d).where("ic IS NOT NULL").join(F.broadcast(regime_a(s, d).select("ts", "regime")), "ts")
-    return shown(joined.groupBy("regime").agg(F.count("*").alias("n"), F.avg("ic").alias("mean_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("hit")), ["regime", "n"], ["mean_ic", "hit"])
+    return shown(joined.groupBy("regime").agg(F.count("*").alias("n"), F.avg("ic").alias("mean_ic"), F.avg((F.round("ic", 12) > 0).cast("double")).alias("hit")), ["regime", "n"], ["mean_ic", "hit"])
 
 
 @query("preflight_nan", sql("a", "panel", "factors", body="SELECT unnest(['reversal_1h', 'volatility_inv_24h']) AS feature, unnest([round(avg((reversal_1h IS NULL)::INT) * 100, 6), round(avg((volatility_inv_24h IS NULL)::INT) * 100, 6)]) AS null_pct FROM factors"))
