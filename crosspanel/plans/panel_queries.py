@@ -148,12 +148,12 @@ def warmup_drop(s, d):  # noqa: ANN001, ANN201
 
 
 LIQUID = """valued AS (SELECT ts, entity, CASE WHEN count(close * volume) OVER w = 24 THEN sum(close * volume) OVER w END AS tv FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS 23 PRECEDING)),
-liquid AS (SELECT ts, entity, round(tv, 2) AS traded_value, row_number() OVER (PARTITION BY ts ORDER BY tv DESC, entity) AS liquidity_rank FROM valued WHERE tv IS NOT NULL QUALIFY liquidity_rank <= {n})"""
+liquid AS (SELECT ts, entity, round(ln(tv), 8) AS log_value, row_number() OVER (PARTITION BY ts ORDER BY tv DESC, entity) AS liquidity_rank FROM valued WHERE tv IS NOT NULL QUALIFY liquidity_rank <= {n})"""
 
 
-@query("liquidity_topn", sql("b", "panel", LIQUID.format(n=10), body=f"SELECT {TS}, entity, traded_value, liquidity_rank FROM liquid"))
+@query("liquidity_topn", sql("b", "panel", LIQUID.format(n=10), body=f"SELECT {TS}, entity, log_value, liquidity_rank FROM liquid"))
 def liquidity_topn(s, d):  # noqa: ANN001, ANN201
-    return pa.liquid_universe(panel_b(s, d), 10).select(stamp(F.col("ts")).alias("ts"), "entity", F.round("traded_value", 2).alias("traded_value"), F.col("liquidity_rank").cast("bigint").alias("liquidity_rank"))
+    return pa.liquid_universe(panel_b(s, d), 10).select(stamp(F.col("ts")).alias("ts"), "entity", F.round(F.ln("traded_value"), 8).alias("log_value"), F.col("liquidity_rank").cast("bigint").alias("liquidity_rank"))
 
 
 @query("liquidity_coverage", sql("a", "panel", LIQUID.format(n=5), body="SELECT avg(c) AS avg_n, min(c) AS min_n, max(c) AS max_n, count(*) AS n_ts FROM (SELECT count(*) AS c FROM liquid GROUP BY ts)"))
