@@ -130,7 +130,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str
             bits, norm, kept = encode(matrix(batch.column(1), dim).astype(np.float64), mean, turn)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(norm), pa.array(kept)], names=["id", "v", "bits", "norm", "kept"])
 
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:  # noqa: ANN001
+    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         query_ids = right["id"].to_numpy()
