@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space and the control characters tab to carriage return.
 WORD_GAP = rb"\x20\x09-\x0D"
 
-#: Bits of the fixed-size membership bitmaps (see :func:`membership_bitmap`): 2**26 bits are 8 MB.
-BITMAP_BITS = 26
+#: Bits of the fixed-size membership bitmaps (see :func:`membership_bitmap`): 2**24 bits are 2 MB.
+BITMAP_BITS = 24
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def bitmap_at(positions: DataFrame, bits: int) -> np.ndarray:
     at = positions.select((F.col("at") / block).cast("int").alias("block"), F.pmod("at", F.lit(block)).cast("int").alias("bit"))
     parts = at.repartition("block").groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # 2**bits / 8 bytes at most
         piece = np.frombuffer(bytes(row.bitmap), dtype=np.uint8)
         out[row.block * (block // 8) : row.block * (block // 8) + len(piece)] = piece
     return out

@@ -130,7 +130,10 @@ def train_language_model(docs: DataFrame, training: Column, per_label: int = SAM
     if not labels:
         return LanguageModel([], np.zeros((FEATURES, 1)), np.zeros(1), 1.0)
     draw = F.xxhash64("doc_id")
+    # few more than needed are ranked: those whose draw, as a share of its range, is small enough
+    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, 3.0 * per_label / r.n))) for r in counts])
     ids = rows.select("doc_id", "lang").where(F.col("lang").isin(labels)).withColumn("draw", draw)
+    ids = ids.where(F.col("draw") / 2.0**64 + 0.5 <= share)
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("nth") <= per_label)
     chosen = spark.createDataFrame(ids.select("doc_id").distinct().collect() or [], docs.select("doc_id").schema)  # bounded: per_label x most_labels
 
