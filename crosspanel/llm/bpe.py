@@ -13,13 +13,14 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm.common import as_strings, gathered
+from crosspanel.llm.common import as_strings, gathered, in_small_batches, kept
 
 #: White space as the pattern's engine has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -56,8 +57,6 @@ class BytePairs:
     """Vocabulary, merges and tables of one tokenizer; ``suffix`` marks the end of a word, if it does."""
 
     def __init__(self, spec: str) -> None:
-        import ahocorasick
-
         tokenizer = json.loads(spec)
         model = tokenizer["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -79,13 +78,7 @@ class BytePairs:
         self.unit = {c: chr(b) for c, b in alphabet.items()}
         self.token_units = [self._units(t) for t in shown]
         self.length = [len(t) for t in self.token_units]
-        self.automaton = ahocorasick.Automaton()
-        self.id_of_units: dict[str, int] = {}
-        for i, units in enumerate(self.token_units):
-            if units:
-                self.automaton.add_word(units, i)
-                self.id_of_units[units] = i
-        self.automaton.make_automaton()
+        self.id_of_units = {units: i for i, units in enumerate(self.token_units) if units}
         self.shorter = Memo(self._shorter)
         self.compatible = Memo(self._compatible)
         blob = [bytes(map(ord, t)) if not self.suffix else b"" for t in self.token_units]
@@ -95,6 +88,16 @@ class BytePairs:
         self.blob_length = np.array([len(b) for b in blob], dtype=np.int64)
         self.blob_start = np.cumsum(self.blob_length) - self.blob_length
 
+    @cached_property
+    def automaton(self):  # noqa: ANN202
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for units, i in self.id_of_units.items():
+            made.add_word(units, i)
+        made.make_automaton()
+        return made
+
     def _units(self, token: str) -> str:
         ends = bool(self.suffix) and token.endswith(self.suffix) and len(token) > len(self.suffix)
         units = "".join(self.unit.get(c, "") for c in (token[: -len(self.suffix)] if ends else token))
@@ -202,15 +205,9 @@ class ByteLevel(BytePairs):
         return gathered(self.decimal, self.decimal_start[ids], self.decimal_length[ids]).tobytes()[:-1]
 
 
-_LOADED: dict[str, object] = {}
-
-
 def loaded(kind: type, spec: str):  # noqa: ANN201
     """A worker's tokenizer, built once."""
-    key = f"{kind.__name__}-{hashlib.sha256(spec.encode()).hexdigest()}"
-    if key not in _LOADED:
-        _LOADED[key] = kind(spec)
-    return _LOADED[key]
+    return kept(f"{kind.__name__}-{hashlib.sha256(spec.encode()).hexdigest()}", lambda: kind(spec))
 
 
 def tokenizer_text(path: str | None, name: str) -> str:
@@ -232,6 +229,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     other than doc_id and text are not read. Texts of any length go through whole.
     """
     spark: SparkSession = docs.sparkSession
+    in_small_batches(spark)
     spec = spark.sparkContext.broadcast(tokenizer_text(path, "byte_bpe_50k.json"))
     more = "token_ids array<int>, decoded string, " if with_ids else ""
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +19,53 @@ WORD_GAP = rb"\x20\x09-\x0D"
 #: Bits of the fixed-size membership bitmaps (see :func:`membership_bitmap`): 2**24 bits are 2 MB.
 BITMAP_BITS = 24
 
+#: Bytes of an Arrow batch of texts, of which the JVM and the Python worker hold several copies at once.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of ``BATCH_BYTES``, unless the session sets a size of its own:
+    by default a batch has up to 64 MB, which long texts fill."""
+    if spark.conf.get(_BATCH_SETTING) == "67108864b":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+#: What a Python worker keeps between its tasks (tables of a tokenizer and words it has seen).
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once in a worker and kept until another operator runs there."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def trimming(run: Callable[[Batches], Batches], keeps: bool = False) -> Callable[[Batches], Batches]:
+    """``run``, after which a task gives freed memory back to the system: Python workers stay alive
+    between tasks, and beside the next stages would hold on to the most that any task needed.
+    Operators that have nothing to keep (:func:`kept`) drop what earlier ones kept."""
+
+    def trimmed(batches: Batches) -> Batches:
+        if not keeps and _KEPT:
+            _KEPT.clear()
+            gc.collect()  # tokenizers refer to themselves
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return trimmed
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a temporary one only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import bit_position, membership_bitmap, written
+from crosspanel.llm.common import bit_position, in_small_batches, membership_bitmap, written
 
 Digest = Callable[[bytes], str]
 
@@ -85,6 +85,7 @@ def fingerprint_documents(docs: DataFrame, digest: Digest = xxh128) -> DataFrame
     Null and empty texts share the fingerprint of the empty string; repeated rows each get a row;
     an empty table gives none; other columns are not read.
     """
+    in_small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +121,7 @@ def edited_fingerprints(docs: DataFrame, digest: Digest = xxh128) -> DataFrame:
     in a join of as many rows as there are ranges.
     """
     spark = docs.sparkSession
+    in_small_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # the row number splits a doc_id that very many rows share over several ranges
     ranged = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")

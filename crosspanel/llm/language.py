@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import as_strings
+from crosspanel.llm.common import as_strings, in_small_batches, trimming
 
 #: Hashed features; a power of two.
 FEATURE_BITS = 16
@@ -123,6 +123,7 @@ def train_language_model(docs: DataFrame, training: Column, per_label: int = SAM
     most frequent languages. Without rows the model knows no language.
     """
     spark = docs.sparkSession
+    in_small_batches(spark)
     rows = docs.where(training & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
     labels = sorted(r.lang for r in counts)
@@ -154,13 +155,13 @@ def train_language_model(docs: DataFrame, training: Column, per_label: int = SAM
                 [batch.column(0), pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in made], pa.list_(pa.int32())), batch.column(2)], names=["lang", "feature", "n", "draw"]
             )
 
-    found = rows.select("text").mapInArrow(frequencies, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text").mapInArrow(trimming(frequencies), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(FEATURES)
     for r in found:
         df[r.feature] = r.n
     idf = np.log((1 + total) / (1 + df)) + 1
     sample = rows.where(F.col("lang").isin(labels)).join(F.broadcast(chosen), "doc_id", "left_semi")
-    sample = sample.select("lang", "text", F.xxhash64("doc_id").alias("draw")).mapInArrow(term_counts, "lang string, feature array<int>, n array<int>, draw bigint").collect()
+    sample = sample.select("lang", "text", F.xxhash64("doc_id").alias("draw")).mapInArrow(trimming(term_counts), "lang string, feature array<int>, n array<int>, draw bigint").collect()
     learn, hold = [], []
     for r in sorted(sample, key=lambda r: (r.draw, r.lang)):
         if not r.feature:
@@ -180,6 +181,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     empty table gives none; ``keep`` may hold any columns but lang_pred and score.
     """
     spark = docs.sparkSession
+    in_small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # features x labels: of fixed size
 
     more = [] if "text" in keep else ["text"]
@@ -192,7 +194,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *more).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, *more).mapInArrow(trimming(run), f"{fields}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:

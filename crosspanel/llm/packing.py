@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm.bpe import MEMO, SPACE, BytePairs, loaded, tokenizer_text
-from crosspanel.llm.common import as_strings
+from crosspanel.llm.common import as_strings, in_small_batches, trimming
 
 #: Documents packed together: enough for full windows, few enough for any task.
 GROUP_ROWS = 2048
@@ -224,6 +224,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = 2048,
     leave no gap, and no sequence is longer than ``window``.
     """
     spark = docs.sparkSession
+    in_small_batches(spark)
     spec = spark.sparkContext.broadcast(tokenizer_text(path, "word_bpe_49k.json"))
     groups = max(1, math.ceil(docs.count() / GROUP_ROWS))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -262,6 +263,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = 2048,
         return out.select(names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["token_ids"] if with_ids else [])]
-    pieces = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, nth bigint{ids_column}")
+    pieces = docs.select("doc_id", "text").mapInArrow(trimming(cut, keeps=True), f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, nth bigint{ids_column}")
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(pack, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{ids_column}")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import marked, may_contain, membership_bitmap, written
+from crosspanel.llm.common import in_small_batches, marked, may_contain, membership_bitmap, trimming, written
 
 #: Words whose hash makes a minimiser.
 MER = 8
@@ -58,10 +58,11 @@ class Words:
         length = self.end - self.start
         with np.errstate(over="ignore"):
             power = np.cumprod(np.full(int(length.max()), _BASE, dtype=np.uint64))
-            used = np.flatnonzero(~gap)
+            used = data[~gap]
             begin = np.cumsum(length) - length
-            place = np.arange(len(used)) - np.repeat(begin, length)
-            self.hash = mixed(np.add.reduceat((data[used].astype(np.uint64) + np.uint64(1)) * power[place], begin))
+            value = power[np.arange(len(used), dtype=np.int32) - np.repeat(begin.astype(np.int32), length)]
+            value *= used.astype(np.uint64) + np.uint64(1)
+            self.hash = mixed(np.add.reduceat(value, begin))
 
     def mers(self, m: int) -> np.ndarray:
         """Hash of the ``m`` words from each word on (of those that have as many after them)."""
@@ -172,7 +173,7 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame,
     joined by one space); the spans (doc_id, tk, spans) of rows that hold such windows; the rows
     (doc_id, tk) whose words are, all of them, those of an earlier document.
     """
-    spark = docs.sparkSession
+    in_small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame,
                     minimisers.append(least[cuts[i] : cuts[i + 1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(sha, pa.binary()), pa.array(minimisers, pa.list_(pa.int64()))], names=["doc_id", "tk", "n_words", "words_sha256", "minimisers"])
 
-    surveyed = written(base.mapInArrow(survey, f"{_DOC}, n_words bigint, words_sha256 binary, minimisers array<bigint>"), "minimisers")
+    surveyed = written(base.mapInArrow(trimming(survey), f"{_DOC}, n_words bigint, words_sha256 binary, minimisers array<bigint>"), "minimisers")
     whole = surveyed.where(f"n_words >= {k} AND doc_id IS NOT NULL")
     firsts = whole.groupBy("words_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = written(whole.select("doc_id", "tk", "words_sha256").join(firsts, "words_sha256").where("doc_id > first").select("doc_id", "tk"), "copies")
@@ -249,9 +250,9 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame,
             digests = [xxhash.xxh3_128_digest(b" ".join(words.packed(f, k).split())) for f in (first[of] + step).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(doc[of]), pa.array(key[of]), pa.array(start[of] + step)], names=["window", "doc_id", "tk", "a"])
 
-    strings = held.mapInArrow(pack, f"minimiser bigint, {_DOC}, start bigint, packed binary")
-    cold = strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(count, f"{_DOC}, a bigint, b bigint")
-    windows = held.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(single, f"window binary, {_DOC}, a bigint")
+    strings = held.mapInArrow(trimming(pack), f"minimiser bigint, {_DOC}, start bigint, packed binary")
+    cold = strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(trimming(count), f"{_DOC}, a bigint, b bigint")
+    windows = held.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(trimming(single), f"window binary, {_DOC}, a bigint")
     owner = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
     hot = windows.join(owner, "window").where("doc_id > first").select("doc_id", "tk", "a", (F.col("a") + k).alias("b"))
     spans = cold.unionByName(hot).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -284,7 +285,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> Dat
             more = [pa.array(kept, pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), *more], names=["doc_id", "tk", "removed", "sha", *(["kept"] if with_text else [])])
 
-    changed = spanned.mapInArrow(take_out, f"{_DOC}, removed bigint, sha binary{', kept string' if with_text else ''}")
+    changed = spanned.mapInArrow(trimming(take_out), f"{_DOC}, removed bigint, sha binary{', kept string' if with_text else ''}")
     nothing = F.lit(bytearray(hashlib.sha256(b"").digest()))
     gone = copies.dropDuplicates().withColumn("copied", F.lit(True))
     out = surveyed.join(changed, ["doc_id", "tk"], "left").join(gone, ["doc_id", "tk"], "left")
