@@ -68,7 +68,8 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, norm: n
         _rerank(np.repeat(rows, first), front.ravel(), own, ids[part], vectors[part], q, best_score, best_id, k)
         upper = estimate + (spread[None, :] * q_norm[:, None]).astype(np.float32) + np.float32(1e-5) * q_norm[:, None].astype(np.float32)
         np.put_along_axis(upper, front, -np.inf, axis=1)
-        at, candidate = np.nonzero(upper >= best_score[:, -1:])
+        # where fewer than k are found so far the bar is -inf, which those of the front must not pass again
+        at, candidate = np.nonzero((upper >= best_score[:, -1:]) & (upper > -np.inf))
         for s in range(0, len(at), 1 << 18):
             _rerank(at[s : s + (1 << 18)], candidate[s : s + (1 << 18)], own, ids[part], vectors[part], q, best_score, best_id, k)
     found = np.isfinite(best_score)
