@@ -143,18 +143,21 @@ def signatures(sets: ShingleSets, which: np.ndarray, threshold: int, heavy: np.n
     return np.concatenate(out_sig), np.concatenate(out_of)
 
 
-def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: int, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (kind, x, y) of equal signatures: kind 0, a candidate pair; kind 1, signature x of a
-    larger group that has member y. ``sig`` is sorted; members of a group differ."""
+    larger group that has member y. ``sig`` is sorted; members of a group differ. A group with a
+    ``centre``, which stands for a crowd, is a larger one whatever its number here."""
     begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, dtype=np.int64)
     count = np.diff(np.concatenate([begin, [len(sig)]]))
+    crowd = np.zeros(len(count), dtype=bool) if centre is None or not len(count) else np.logical_or.reduceat(centre, begin)
+    several = (count > SMALL) | (crowd & (count > 1))
     x, y = [], []
     for g in range(2, SMALL + 1):
-        at = begin[count == g]
+        at = begin[(count == g) & ~several]
         for i, j in combinations(range(g), 2):
             x.append(at + i)
             y.append(at + j)
-    large = np.repeat(count > SMALL, count)
+    large = np.repeat(several, count)
     x, y = (np.concatenate(v) if v else np.empty(0, dtype=np.int64) for v in (x, y))
     fit = (np.minimum(size[x], size[y]).astype(np.int64) * 100 >= np.maximum(size[x], size[y]).astype(np.int64) * threshold) & (doc[x] != doc[y])
     a, b = np.minimum(doc[x], doc[y])[fit], np.maximum(doc[x], doc[y])[fit]
@@ -189,37 +192,38 @@ def _candidates(base: DataFrame, heavy: np.ndarray, size: int, threshold: int) -
                 count = np.diff(np.concatenate([begin, [len(sig)]]))
                 crowded = np.repeat(count > CROWD, count)
                 kind, x, y = _pairs(sig[crowded], ids[of[crowded]], sets.size[of[crowded]], threshold)
-                rows: list[tuple] = [(int(r) % parts, None, None, None, k.tobytes(), a.tobytes(), b.tobytes()) for r, k, a, b in [(x[0] & 0x7FFFFFFF, kind, x, y)] if len(kind)] if len(kind) else []
-                # of a crowd, its centres go on for all
-                keep = ~crowded
+                rows: list[tuple] = [(int(r) % parts, None, None, None, None, k.tobytes(), a.tobytes(), b.tobytes()) for r, k, a, b in [(x[0] & 0x7FFFFFFF, kind, x, y)] if len(kind)] if len(kind) else []
+                # of a crowd, its centre goes on for all, with a mark that there are others
+                centre = np.zeros(len(sig), dtype=bool)
                 for b, g in zip(begin[count > CROWD].tolist(), count[count > CROWD].tolist(), strict=True):
-                    keep[b + int(mixed(ids[of[b : b + g]].astype(np.uint64) ^ _SEED[int(sig[b]) % 3]).argmin())] = True
-                sig, of = sig[keep], of[keep]
+                    centre[b + int(mixed(ids[of[b : b + g]].astype(np.uint64) ^ _SEED[int(sig[b]) % 3]).argmin())] = True
+                keep = ~crowded | centre
+                sig, of, centre = sig[keep], of[keep], centre[keep]
                 part = ((sig >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((of, part))
-                sig, of, part = sig[order], of[order], part[order]
+                sig, of, centre, part = sig[order], of[order], centre[order], part[order]
                 cuts = np.searchsorted(part, np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    s, o = sig[cuts[p] : cuts[p + 1]], of[cuts[p] : cuts[p + 1]]
+                    s, o, c = (v[cuts[p] : cuts[p + 1]] for v in (sig, of, centre))
                     who, n = np.unique(o, return_counts=True)
                     head = np.stack([ids[who], sets.size[who], n], axis=1).astype(np.int64)
-                    rows.append((p, s.tobytes(), head[:, 0].tobytes(), head[:, 1:].astype(np.int32).tobytes(), None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)] if rows else [pa.array([], t) for t in [pa.int32(), *[pa.binary()] * 6]], names=names)
+                    rows.append((p, s.tobytes(), head[:, 0].tobytes(), head[:, 1:].astype(np.int32).tobytes(), c.tobytes() if c.any() else None, None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 7], strict=True)] if rows else [pa.array([], t) for t in [pa.int32(), *[pa.binary()] * 7]], names=names)
 
-    names = ["part", "sig", "doc", "sizes", "kind", "x", "y"]
+    names = ["part", "sig", "doc", "sizes", "centre", "kind", "x", "y"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            sig, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, sig))
-            sig, doc, n = sig[order], doc[order], n[order]
+        def done(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            sig, doc, n, centre = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((~centre, doc, sig))  # a document that is a centre anywhere counts as one
+            sig, doc, n, centre = sig[order], doc[order], n[order], centre[order]
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in _pairs(sig[new], doc[new], n[new], threshold)], names=["kind", "x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in _pairs(sig[new], doc[new], n[new], threshold, centre[new])], names=["kind", "x", "y"])
 
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         now = -1
         for batch in batches:
-            for part, sig, doc, sizes, kind, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, sig, doc, sizes, centre, kind, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now and held:
                     yield done(held)
                     held = []
@@ -228,11 +232,12 @@ def _candidates(base: DataFrame, heavy: np.ndarray, size: int, threshold: int) -
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, dtype=t)) for v, t in ((kind, np.int32), (x, np.int64), (y, np.int64))], names=["kind", "x", "y"])
                     continue
                 n, times = np.frombuffer(sizes, dtype=np.int32).reshape(-1, 2).T
-                held.append((np.frombuffer(sig, dtype=np.uint64), np.repeat(np.frombuffer(doc, dtype=np.int64), times), np.repeat(n, times)))
+                of_crowd = np.frombuffer(centre, dtype=bool) if centre else np.zeros(len(sig) // 8, dtype=bool)
+                held.append((np.frombuffer(sig, dtype=np.uint64), np.repeat(np.frombuffer(doc, dtype=np.int64), times), np.repeat(n, times), of_crowd))
         if held:
             yield done(held)
 
-    blocks = base.mapInArrow(trimming(sign), "part int, sig binary, doc binary, sizes binary, kind binary, x binary, y binary")
+    blocks = base.mapInArrow(trimming(sign), "part int, sig binary, doc binary, sizes binary, centre binary, kind binary, x binary, y binary")
     return written(blocks.repartition("part").sortWithinPartitions("part").mapInArrow(trimming(meet), "kind int, x bigint, y bigint").distinct(), "candidates")
 
 

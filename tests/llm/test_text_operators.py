@@ -156,6 +156,21 @@ def test_one_of_each_stays(spark):
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 2]
 
 
+def test_copies_outside_a_crowd_meet_all_its_members(spark):
+    words = [f"w{i}" for i in range(60)]
+    places = [i for i in range(60) if i % 15 not in (14, 0, 1)]
+
+    def edited(i, at):  # similar to the original, but not to copies with edits elsewhere
+        return i, " ".join([*words[:at], f"e{i}", *words[at + 1 :]])
+
+    crowd = [*(edited(i, places[i % len(places)]) for i in range(1, 900)), (950, " ".join(words))]
+    outside = [edited(1000 + i, 15 * i) for i in range(1, 4)]
+    apart = spark.sparkContext.parallelize([crowd, outside], 2).flatMap(list)  # a partition each
+    docs = spark.createDataFrame(apart, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similarity.similar_documents(docs).collect())
+    assert got == linked(crowd + outside)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.components(links).collect()}
