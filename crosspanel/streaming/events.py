@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,19 @@ def split_late(events: DataFrame, recorded: str, minutes: int) -> DataFrame:
 
 
 def run_once(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run over all there is and return what was written to the in-memory table."""
-    stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(table)
+    """Run over all there is and return what was written: a Parquet table of its own beside the
+    checkpoint, which the executors write and read. In append mode the sink's log tells which files
+    count; in complete mode each batch writes the whole result anew."""
+    spark = stream.sparkSession
+    path = f"{checkpoint.rstrip('/')}-{table}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(path)  # there may be no batch at all
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def append_matured(batch: DataFrame, ledger_path: str, keys: list[str]) -> None:

@@ -236,3 +236,17 @@ def test_foreach_batch_appends_once(spark, tmp_path):
     for _ in range(2):
         events.append_matured(d, str(tmp_path / "ledger"), ["k"])
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_streams_are_written_to_files(spark, tmp_path, mode):
+    d = spark.createDataFrame([(i, datetime(2024, 1, 1, i), i % 3, "view", 1.0, "{}") for i in range(12)], events.EVENT)
+    d.repartition(3).write.parquet(str(tmp_path / "events"))
+    stream = events.source(spark, str(tmp_path / "events"), files_per_trigger=1)
+    stream = stream.select("user_id") if mode == "append" else stream.groupBy("user_id").count()
+    for rows in (stream, stream.where("user_id > 5")):
+        out = events.run_once(rows, f"files_{mode}", str(tmp_path / f"checkpoint-{rows is stream}"), mode)
+        want = {} if rows is not stream else {0: 4, 1: 4, 2: 4}
+        count = F.count("*") if mode == "append" else F.sum("count")
+        assert {r.user_id: r.n for r in out.groupBy("user_id").agg(count.alias("n")).collect()} == want
+        assert out.inputFiles() and not spark.catalog.tableExists(f"files_{mode}")
