@@ -2,12 +2,15 @@
 
 Documents with equal texts are linked. Every document starts in a shard drawn from its id; then, in
 rounds of joins, linked documents ask for the shard that holds most of their neighbours. A shard
-admits no more than its quota of movers, as a share of those who ask. A last exact step moves the
-rows beyond a quota into the free places. Counts of shards differ by one row at most.
+admits no more than its quota of movers, as a share of those who ask; groups that fit whole go ahead
+of larger ones. A last exact step moves the rows beyond a quota into the free places. Counts of
+shards differ by one row at most.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,31 +35,60 @@ def quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
+def _shares(flow: dict[tuple[int, int], int], free: list[int], shards: int) -> list[float]:
+    """For each shard, the share of those who ask for it that there is room for: what is free and
+    what those leave who are admitted elsewhere."""
+    into = [sum(n for (_, b), n in flow.items() if b == s) for s in range(shards)]
+    share = [1.0 if into[s] else 0.0 for s in range(shards)]
+    for _ in range(50):
+        room = [free[s] + sum(n * share[b] for (a, b), n in flow.items() if a == s) for s in range(shards)]
+        share = [min(share[s], max(0.0, room[s]) / into[s]) if into[s] else 0.0 for s in range(shards)]
+    return share
+
+
+def _flow(df: DataFrame, a: str, b: str) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
+    """Rows whose shards ``a`` and ``b`` differ, by both: of links that fit whole and of others."""
+    found = df.where(F.col(a) != F.col(b)).groupBy("fits", F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")).collect()
+    whole, part = ({(r.a, r.b): r.n for r in found if r.fits == fits} for fits in (True, False))
+    return whole, part
+
+
 def propagate(linked: DataFrame, free: list[int], shards: int, rounds: int) -> DataFrame:
-    """Label propagation of ``linked`` (row, link, label) under ``free`` places for each shard
-    beyond its linked rows. Each round: counts per link and label, the fullest label of each link,
-    proposals, and admission of the share of proposals for which there is room."""
-    for _ in range(rounds):
-        counts = linked.groupBy("link", "label").agg(F.count("*").alias("n"))
-        best = counts.groupBy("link").agg(F.max(F.struct("n", F.pmod(F.xxhash64("link", "label"), F.lit(1 << 20)).alias("draw"), "label")).alias("best"))
-        asked = linked.join(best.select("link", F.col("best.label").alias("wish")), "link")
-        flow = {(r.label, r.wish): r.n for r in asked.where("label <> wish").groupBy("label", "wish").agg(F.count("*").alias("n")).collect()}
-        if not flow:
+    """Label propagation of ``linked`` (row, link, members, label) under ``free`` places for each
+    shard beyond its linked rows. Each round: counts per link and label, the fullest label of each
+    link, proposals, and admission of the share of proposals for which there is room.
+
+    Links whose other rows all fit into a shard's free places are admitted whole, and ahead of
+    larger ones, which share what is left row by row. A link that is refused tries its next label
+    in the next round."""
+    linked = linked.withColumn("tried", F.lit(None).cast("int"))
+    for turn in range(rounds):
+        counts = linked.groupBy("link", "label").agg(F.count("*").alias("n"), F.max("members").alias("members"), F.max("tried").alias("tried"))
+        counts = counts.withColumn("fits", F.col("members") - F.col("n") <= _pick(free, F.col("label")))
+        fresh = ~F.col("fits") | F.col("tried").isNull() | (F.col("tried") != F.col("label"))
+        best = counts.groupBy("link").agg(F.max(F.struct("fits", fresh.alias("fresh"), "n", F.pmod(F.xxhash64("link", "label"), F.lit(1 << 20)).alias("draw"), "label")).alias("best"))
+        asked = linked.join(best.select("link", F.col("best.label").alias("wish"), F.col("best.fits").alias("fits")), "link")
+        whole, part = _flow(asked, "label", "wish")
+        if not whole and not part:
             break
-        into = [sum(n for (_, b), n in flow.items() if b == s) for s in range(shards)]
-        share = [1.0 if into[s] else 0.0 for s in range(shards)]
-        for _ in range(50):  # a shard's room is what is free and what those leave who are admitted elsewhere
-            room = [free[s] + sum(n * share[b] for (a, b), n in flow.items() if a == s) for s in range(shards)]
-            share = [min(share[s], max(0.0, room[s]) / into[s]) if into[s] else 0.0 for s in range(shards)]
-        draw = F.pmod(F.xxhash64("row", F.lit("admit")), F.lit(1 << 30)) / float(1 << 30)
-        admitted = (F.col("label") != F.col("wish")) & (draw < _pick(share, F.col("wish")))
-        moved = written(asked.select("row", "link", F.when(admitted, F.col("wish")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")), "labels")
-        out = {(r.was, r.label): r.n for r in moved.where("was <> label").groupBy("was", "label").agg(F.count("*").alias("n")).collect()}
-        for (a, b), n in out.items():
-            free[a] += n
-            free[b] -= n
-        linked = moved.drop("was")
-        if sum(out.values()) * 1000 < sum(flow.values()):
+        share = _shares(whole, free, shards)
+        left = list(free)
+        for (a, b), n in whole.items():
+            left[a] += int(n * share[b])
+            left[b] -= math.ceil(n * share[b])
+        rest = _shares(part, left, shards)
+        draw = F.pmod(F.when(F.col("fits"), F.xxhash64("link", F.lit(f"admit {turn}"))).otherwise(F.xxhash64("row", F.lit(f"admit {turn}"))), F.lit(1 << 30)) / float(1 << 30)
+        admitted = draw < F.when(F.col("fits"), _pick(share, F.col("wish"))).otherwise(_pick(rest, F.col("wish")))
+        label = F.when(admitted, F.col("wish")).otherwise(F.col("label"))
+        tried = F.when(F.col("fits") & ~admitted, F.col("wish"))
+        moved = written(asked.select("row", "link", "members", label.alias("label"), tried.alias("tried"), F.col("label").alias("was"), "fits"), "labels")
+        joined, spread = _flow(moved, "was", "label")
+        for out in (joined, spread):
+            for (a, b), n in out.items():
+                free[a] += n
+                free[b] -= n
+        linked = moved.drop("was", "fits")
+        if sum(joined.values()) == sum(whole.values()) and sum(spread.values()) * 1000 <= sum(part.values()):
             break
     return linked
 
@@ -78,14 +110,16 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 4, slack: f
     n = rows.count()
     target = quotas(n, shards)
     start = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")
-    several = rows.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link")
-    linked = written(rows.select("row", "link", start.alias("label")).join(several, "link", "left_semi"), "linked")
+    several = rows.groupBy("link").agg(F.count("*").alias("members")).where("members > 1")
+    linked = written(rows.select("row", "link", start.alias("label")).join(several, "link"), "linked")
     begun = _counts(rows.select(start.alias("label")), "label", shards)
     labels = propagate(linked, [int(t * (1 + slack)) + 1 - b for t, b in zip(target, begun, strict=True)], shards, rounds)
-    placed = rows.drop("link").join(labels.select("row", "label"), "row", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", "row", F.coalesce("label", start).alias("label"), F.col("label").isNull().alias("single"))
-    # slots are numbered in short runs; linked rows come first, so that rows beyond a quota are single ones
-    run = (F.pmod(F.xxhash64("row", F.lit("run")), F.lit(RUNS)) + F.when(F.col("single"), RUNS).otherwise(0)).cast("int")
+    placed = rows.drop("link").join(labels.select("row", "label", "members"), "row", "left")
+    rank = F.when(F.col("label").isNull(), 2).when(F.col("members") > n // shards, 1).otherwise(0)
+    placed = placed.select("doc_id", "size", "text_crc32", "row", F.coalesce("label", start).alias("label"), rank.alias("kind"))
+    # slots are numbered in short runs; linked rows come first, so that rows beyond a quota are single
+    # ones, or else rows of groups that no shard holds whole
+    run = (F.pmod(F.xxhash64("row", F.lit("run")), F.lit(RUNS)) + F.col("kind") * RUNS).cast("int")
     placed = written(placed.withColumn("run", run), "placed")
     per_run = placed.groupBy("label", "run").agg(F.count("*").alias("n"))
     before = per_run.select("label", "run", (F.sum("n").over(Window.partitionBy("label").orderBy("run")) - F.col("n")).alias("before"))

@@ -35,6 +35,18 @@ def test_shards_are_even_and_keep_groups(spark):
     assert np.mean([len(s) for t, s in groups.items() if t.startswith("g")]) < 2.5  # drawn at random they would hold 3.6 shards
 
 
+def test_small_groups_stay_whole_beside_a_hot_one(spark):
+    texts = ["hot"] * 2000 + [f"pair{i // 2}" for i in range(2000)] + [f"t{i}" for i in range(2000)]
+    got = sharding.balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    counts = collections.Counter(r.shard for r in got)
+    assert len(got) == len(texts) and len(counts) == 16 and max(counts.values()) - min(counts.values()) <= 1
+    pairs = collections.defaultdict(set)
+    for r in got:
+        if texts[r.doc_id].startswith("pair"):
+            pairs[texts[r.doc_id]].add(r.shard)
+    assert sum(len(s) > 1 for s in pairs.values()) <= 10  # there is room for all of them
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_shards_of_few_rows(spark, n):
     docs = spark.createDataFrame([(7, "same")] * n, "doc_id bigint, text string")
