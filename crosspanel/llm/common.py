@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,11 +18,13 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space and the control characters tab to carriage return.
 WORD_GAP = rb"\x20\x09-\x0D"
 
-#: Bits of the fixed-size membership bitmaps (see :func:`membership_bitmap`): 2**24 bits are 2 MB.
-BITMAP_BITS = 24
+#: Least and largest size of a membership bitmap, as powers of two of bits (8 KB and 16 MB).
+BITMAP_BITS = (16, 27)
 
 #: Bytes of an Arrow batch of texts, of which the JVM and the Python worker hold several copies at once.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group of written tables: what a task's writer holds in memory.
+ROW_GROUP_BYTES = 16 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -67,9 +71,12 @@ def trimming(run: Callable[[Batches], Batches], keeps: bool = False) -> Callable
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where it is unset."""
+    """The folder all executors share, as the session names it. Where it names none, a temporary
+    folder serves in local mode; a cluster without one is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="crosspanel-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -79,21 +86,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a
     lost executor costs a re-read instead of a re-run."""
     path = f"{shared_dir(df.sparkSession)}/crosspanel/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bit_position(key: Column | str, bits: int = BITMAP_BITS) -> Column:
+def bit_position(key: Column | str, bits: int) -> Column:
     """Where a key stands in a membership bitmap of ``2**bits`` bits."""
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
-def membership_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of fixed size in which each key of ``keys`` has set its bit, as bytes on the driver.
+def membership_bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap in which each key of ``keys`` has set its bit, as bytes on the driver.
 
-    The size depends on ``bits`` alone, never on the data, so it is safe to broadcast. A set bit
-    may be shared by other keys: the bitmap only thins out rows ahead of an exact join.
+    There are eight bits or more for each key, but 16 MB at most whatever the data, so that it is
+    safe to broadcast. A set bit may be shared by other keys: the bitmap only thins out rows ahead
+    of an exact join.
     """
+    bits = min(max(math.ceil(math.log2(8 * keys.count() + 1)), BITMAP_BITS[0]), BITMAP_BITS[1])
     return bitmap_at(keys.select(bit_position(key, bits).alias("at")), bits)
 
 
@@ -110,21 +119,28 @@ def bitmap_at(positions: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def marked(df: DataFrame, key: str, bitmap: np.ndarray, mark: str = "maybe") -> DataFrame:
-    """``df`` with a column that tells whether the key's bit is set; false for a null key."""
+def bit_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the positions ``at`` are set."""
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def marked(df: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
+    """Two columns: ``kept``, a struct of all columns of ``df``, whatever their names, and
+    ``maybe``, which tells whether the key's bit is set; false for a null key."""
     bits, block = int(len(bitmap) * 8).bit_length() - 1, 1 << 15
     step = block // 8
-    blocks = [(i, bytearray(bitmap[i * step : (i + 1) * step].tobytes())) for i in range(len(bitmap) // step)]
-    table = df.sparkSession.createDataFrame(blocks, "bit_block int, bit_map binary")  # of fixed size
-    held = df.withColumn("bit_at", bit_position(key, bits)).withColumn("bit_block", (F.col("bit_at") / block).cast("int"))
-    byte = F.conv(F.hex(F.substring("bit_map", (F.pmod(F.col("bit_at"), F.lit(block)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("bit_at"), F.lit(8)))), F.lit(2)) == 1
-    return held.join(F.broadcast(table), "bit_block").withColumn(mark, hit & F.col(key).isNotNull()).drop("bit_block", "bit_at", "bit_map")
+    blocks = [(i, bytearray(bitmap[i * step : (i + 1) * step].tobytes())) for i in range(max(1, len(bitmap) // step))]
+    table = df.sparkSession.createDataFrame(blocks, "block int, bytes binary")  # 16 MB at most
+    at = bit_position(F.col("key"), bits)
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("kept"), F.col(f"`{key}`").alias("key")).withColumn("at", at).withColumn("block", (F.col("at") / block).cast("int"))
+    byte = F.conv(F.hex(F.substring("bytes", (F.pmod(F.col("at"), F.lit(block)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("at"), F.lit(8)))), F.lit(2)) == 1
+    return held.join(F.broadcast(table), "block").select("kept", (hit & F.col("key").isNotNull()).alias("maybe"))
 
 
 def may_contain(df: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
     """Rows of ``df`` whose key may be among the keys of the bitmap (never loses one that is)."""
-    return marked(df, key, bitmap).where("maybe").drop("maybe")
+    return marked(df, key, bitmap).where("maybe").select("kept.*")
 
 
 def as_strings(column) -> list:  # noqa: ANN001

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import bit_position, in_small_batches, membership_bitmap, written
+from crosspanel.llm.common import bit_position, bit_set, in_small_batches, membership_bitmap, written
 
 Digest = Callable[[bytes], str]
 
@@ -52,13 +52,9 @@ def compared(docs: DataFrame, digested: DataFrame, digest: Digest = xxh128) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(m) for m in made], pa.string()), pa.array(made, pa.binary())], names=["doc_id", "digest", "form"])
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow.compute as pc
-
         for batch in batches:
             at = batch.column(3).to_numpy(zero_copy_only=False)
-            hit = (bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            yield batch.select([0, 1, 2]).filter(pc.equal(pa.array(hit), True))
+            yield batch.select([0, 1, 2]).filter(pa.array(bit_set(bitmap.value, at)))
 
     formed = docs.select("doc_id", "text").mapInArrow(forms, f"doc_id {id_type}, digest string, form binary")
     bits = int(len(bitmap.value) * 8).bit_length() - 1

@@ -6,22 +6,29 @@ is split by hash into N partitions: sets that differ in k elements agree in N -
 least. For small k every subset of N - k partitions makes a signature, and one of them is shared.
 For larger k a signature is one partition's content; as N - k of the N are shared, one is among the
 first k + 1 of each set in any common order (prefix filter), and the order puts partitions last
-that are empty or hold only very frequent shingles. No pair above the threshold is lost. Candidates
-are confirmed on the sets themselves.
+that are empty or hold only very frequent shingles. No pair above the threshold is lost.
+
+Sets that share a signature make a group, in which equal sets count once. The pairs of a small group
+are candidates. A larger group is compared with its hub, and where links leave several components
+around a hub, the members outside the largest one are compared with all others, in blocks. So every
+two sets that share a signature are compared or already connected. Candidates are confirmed on the
+sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import bitmap_at, in_small_batches, marked, may_contain, membership_bitmap, trimming, written
+from crosspanel.llm.common import bit_set, bitmap_at, in_small_batches, marked, may_contain, membership_bitmap, trimming, written
 from crosspanel.llm.components import components
 from crosspanel.llm.substrings import Words, mixed, slices
 
@@ -31,11 +38,16 @@ ENUMERATED = 2
 ROOM = 1.5
 #: Members of a group that are still compared pair by pair at once.
 SMALL = 6
-#: Signatures of one slice of documents that share a value are linked there if they are more.
+#: Sets that share a signature in one portion of signatures: of more, one goes on for all, marked as
+#: the centre of a crowd, and the group counts as a large one wherever the centre comes.
 CROWD = 16
+#: Signatures of a portion.
+PORTION = 1 << 19
+#: Tasks whose signatures of one value may meet in one task; with more, they meet in rounds.
+FAN = 2048
 HEAVY_BITS = 22
-#: Documents of a block in the comparison of what hubs leave open.
-BLOCK = 1024
+#: Documents, and their shingles, of a block in the comparison of what hubs leave open.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Candidates of one document that are confirmed in one task.
 PER_TASK = 256
 _SEED = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -79,8 +91,10 @@ class ShingleSets:
         self.first = np.searchsorted(self.of, np.arange(len(texts) + 1))
         self.size = np.diff(self.first)
 
-    def digest(self, i: int) -> bytes:
-        return xxhash.xxh3_128_digest(self.hash[self.first[i] : self.first[i + 1]].tobytes())
+    def digests(self) -> list[bytes | None]:
+        """The 128-bit digest of each set, None of an empty one."""
+        raw, cut = self.hash.tobytes(), (8 * self.first).tolist()
+        return [xxhash.xxh3_128_digest(raw[a:b]) if a < b else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def signatures(sets: ShingleSets, which: np.ndarray, threshold: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +136,7 @@ def signatures(sets: ShingleSets, which: np.ndarray, threshold: int, heavy: np.n
         rank = np.full(len(content), 2, dtype=np.int8)  # 2 empty, 1 frequent shingles only, 0 others
         rank[slot] = 1
         at = (h & np.uint64((1 << HEAVY_BITS) - 1)).astype(np.int64)
-        light = (heavy[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0
-        rank[slot[light]] = 0
+        rank[slot[~bit_set(heavy, at)]] = 0
         slot_of = np.repeat(np.arange(len(large)), n)
         place, before = np.zeros(len(content), dtype=np.int64), np.zeros(len(large), dtype=np.int64)
         for r in (0, 1, 2):
@@ -143,133 +156,189 @@ def signatures(sets: ShingleSets, which: np.ndarray, threshold: int, heavy: np.n
     return np.concatenate(out_sig), np.concatenate(out_of)
 
 
-def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: int, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (kind, x, y) of equal signatures: kind 0, a candidate pair; kind 1, signature x of a
-    larger group that has member y. ``sig`` is sorted; members of a group differ. A group with a
-    ``centre``, which stands for a crowd, is a larger one whatever its number here."""
-    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, dtype=np.int64)
-    count = np.diff(np.concatenate([begin, [len(sig)]]))
-    crowd = np.zeros(len(count), dtype=bool) if centre is None or not len(count) else np.logical_or.reduceat(centre, begin)
-    several = (count > SMALL) | (crowd & (count > 1))
-    x, y = [], []
-    for g in range(2, SMALL + 1):
-        at = begin[(count == g) & ~several]
-        for i, j in combinations(range(g), 2):
-            x.append(at + i)
-            y.append(at + j)
-    large = np.repeat(several, count)
-    x, y = (np.concatenate(v) if v else np.empty(0, dtype=np.int64) for v in (x, y))
-    fit = (np.minimum(size[x], size[y]).astype(np.int64) * 100 >= np.maximum(size[x], size[y]).astype(np.int64) * threshold) & (doc[x] != doc[y])
-    a, b = np.minimum(doc[x], doc[y])[fit], np.maximum(doc[x], doc[y])[fit]
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), dtype=np.int64)
-    m = np.flatnonzero(large)
-    kind = np.concatenate([np.zeros(len(pairs), dtype=np.int32), np.ones(len(m), dtype=np.int32)])
-    return kind, np.concatenate([pairs[:, 0], sig[m].view(np.int64)]), np.concatenate([pairs[:, 1], doc[m]])
-
-
-def _candidates(base: DataFrame, heavy: np.ndarray, size: int, threshold: int) -> DataFrame:
-    """(kind, x, y) as :func:`_pairs` has them, over all documents."""
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    if not len(sorted_keys[0]):
+        return np.empty(0, dtype=np.int64)
+    new = np.ones(len(sorted_keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+class Signed:
+    """Signatures, one for each row: value, doc_id and size and digest of the set, and whether it is
+    the centre of a crowd. Sorted by value and digest, equal sets once, by their least doc_id."""
+
+    KINDS = (np.uint64, np.int64, np.int32, np.uint64, np.bool_)
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]]) -> None:
+        sig, doc, n, digest, centre = (np.concatenate([np.empty(0, dtype=t), *c]) for t, c in zip(self.KINDS, zip(*parts, strict=True) if parts else [[]] * 5, strict=True))
+        order = np.lexsort((doc, digest, sig))
+        sig, doc, n, digest, centre = (c[order] for c in (sig, doc, n, digest, centre))
+        keep = _starts(sig, digest)
+        # equal sets are the centre of a crowd if one of them is
+        self.centre = np.logical_or.reduceat(centre, keep) if len(keep) else centre
+        self.sig, self.doc, self.n, self.digest = sig[keep], doc[keep], n[keep], digest[keep]
+        self.begin = _starts(self.sig)
+        self.count = np.diff(np.append(self.begin, len(self.sig)))
+        self.of_crowd = np.logical_or.reduceat(self.centre, self.begin) if len(self.begin) else np.empty(0, dtype=bool)
+
+    def members(self, rows: np.ndarray) -> pa.RecordBatch:
+        """Rows (kind 1, signature, doc_id, digest) of large groups."""
+        return _found(np.ones(len(rows)), self.sig[rows].view(np.int64), self.doc[rows], self.digest[rows].view(np.int64))
+
+    def blocks(self, parts: int, salts: int, salt: int, most: int) -> Iterator[pa.RecordBatch]:
+        """The members of crowds as rows of kind 1, and all other signatures and the crowds'
+        centres packed by part of the signature domain."""
+        crowd = np.repeat(self.count > most, self.count)
+        if crowd.any():
+            yield _packed(self.members(np.flatnonzero(crowd)))
+        centre, keep = self.centre.copy(), ~crowd
+        lead = self.begin[self.count > most]
+        centre[lead] = keep[lead] = True
+        columns = [c[keep] for c in (self.sig, self.doc, self.n, self.digest, centre)]
+        part = ((columns[0] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(cut))
+        arrays = [pa.array(full, pa.int32()), pa.array(np.full(len(full), salt % salts), pa.int32())]
+        for c in columns:
+            raw, width = c[order].tobytes(), c.dtype.itemsize
+            arrays.append(pa.array([raw[width * a : width * b] for a, b in zip(cut[full].tolist(), cut[full + 1].tolist(), strict=True)], pa.binary()))
+        yield pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(full), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]], names=_BLOCK_NAMES)
+
+    def candidates(self, threshold: int, small: int) -> pa.RecordBatch:
+        """Rows (kind, x, y, digest): kind 0, a candidate pair of a small group; kind 1, signature x
+        of a larger group that has member y. A group with a crowd's centre is a larger one."""
+        several = (self.count > small) | (self.of_crowd & (self.count > 1))
+        x, y = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for g in range(2, small + 1):
+            at = self.begin[(self.count == g) & ~several]
+            for i, j in combinations(range(g), 2):
+                x.append(at + i)
+                y.append(at + j)
+        x, y = np.concatenate(x), np.concatenate(y)
+        n = self.n.astype(np.int64)
+        fit = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * threshold) & (self.doc[x] != self.doc[y])
+        a, b = np.minimum(self.doc[x], self.doc[y])[fit], np.maximum(self.doc[x], self.doc[y])[fit]
+        order = np.lexsort((b, a))
+        pairs = order[_starts(a[order], b[order])]
+        pair_rows = _found(np.zeros(len(pairs)), a[pairs], b[pairs], np.zeros(len(pairs)))
+        large = self.members(np.flatnonzero(np.repeat(several, self.count)))
+        return pa.Table.from_batches([pair_rows, large]).combine_chunks().to_batches()[0] if len(pairs) + len(large) else pair_rows
+
+
+_BLOCK_NAMES = ["part", "salt", "sig", "doc", "n", "digest", "centre", "kind", "x", "y", "d"]
+_BLOCK = "part int, salt int, sig binary, doc binary, n binary, digest binary, centre binary, kind int, x bigint, y bigint, d bigint"
+
+
+def _found(kind: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *[pa.array(v.astype(np.int64)) for v in (x, y, d)]], names=["kind", "x", "y", "d"])
+
+
+def _packed(found: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of ``found`` among packed blocks; their part deals them out evenly."""
+    part = pa.array((found.column(2).to_numpy() & 0x3FFFFFFF).astype(np.int32))
+    return pa.RecordBatch.from_arrays([part, *[pa.nulls(len(found), t) for t in (pa.int32(), *[pa.binary()] * 5)], *found.columns], names=_BLOCK_NAMES)
+
+
+def _candidates(base: DataFrame, tasks: int, heavy: np.ndarray, size: int, threshold: int) -> DataFrame:
+    """(kind, x, y, d) as :meth:`Signed.candidates` has them, over all documents, not distinct."""
     spark = base.sparkSession
     shared = spark.sparkContext.broadcast(heavy)
     parts = max(1024, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = math.ceil(tasks / FAN)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        salt = TaskContext.get().partitionId()
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for at, texts in slices(batch.column(1).to_pylist()):
                 sets = ShingleSets(texts, size)
-                ids = doc[at : at + len(texts)]
-                least: dict[bytes, int] = {}
-                for i in np.argsort(ids, kind="stable").tolist():  # of equal sets the least doc_id stands for all
-                    if sets.size[i]:
-                        least.setdefault(sets.digest(i), i)
-                sig, of = signatures(sets, np.array(sorted(least.values()), dtype=np.int64), threshold, shared.value)
-                order = np.lexsort((ids[of], sig))
-                sig, of = sig[order], of[order]
-                new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (of[1:] != of[:-1])]) if len(sig) else np.empty(0, dtype=bool)
-                sig, of = sig[new], of[new]
-                begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, dtype=np.int64)
-                count = np.diff(np.concatenate([begin, [len(sig)]]))
-                crowded = np.repeat(count > CROWD, count)
-                kind, x, y = _pairs(sig[crowded], ids[of[crowded]], sets.size[of[crowded]], threshold)
-                rows: list[tuple] = [(int(r) % parts, None, None, None, None, k.tobytes(), a.tobytes(), b.tobytes()) for r, k, a, b in [(x[0] & 0x7FFFFFFF, kind, x, y)] if len(kind)] if len(kind) else []
-                # of a crowd, its centre goes on for all, with a mark that there are others
-                centre = np.zeros(len(sig), dtype=bool)
-                for b, g in zip(begin[count > CROWD].tolist(), count[count > CROWD].tolist(), strict=True):
-                    centre[b + int(mixed(ids[of[b : b + g]].astype(np.uint64) ^ _SEED[int(sig[b]) % 3]).argmin())] = True
-                keep = ~crowded | centre
-                sig, of, centre = sig[keep], of[keep], centre[keep]
-                part = ((sig >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((of, part))
-                sig, of, centre, part = sig[order], of[order], centre[order], part[order]
-                cuts = np.searchsorted(part, np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    s, o, c = (v[cuts[p] : cuts[p + 1]] for v in (sig, of, centre))
-                    who, n = np.unique(o, return_counts=True)
-                    head = np.stack([ids[who], sets.size[who], n], axis=1).astype(np.int64)
-                    rows.append((p, s.tobytes(), head[:, 0].tobytes(), head[:, 1:].astype(np.int32).tobytes(), c.tobytes() if c.any() else None, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 7], strict=True)] if rows else [pa.array([], t) for t in [pa.int32(), *[pa.binary()] * 7]], names=names)
-
-    names = ["part", "sig", "doc", "sizes", "centre", "kind", "x", "y"]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            sig, doc, n, centre = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((~centre, doc, sig))  # a document that is a centre anywhere counts as one
-            sig, doc, n, centre = sig[order], doc[order], n[order], centre[order]
-            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in _pairs(sig[new], doc[new], n[new], threshold, centre[new])], names=["kind", "x", "y"])
+                digest = np.array([int.from_bytes(d[:8], "little") if d else 0 for d in sets.digests()], dtype=np.uint64)
+                order = np.lexsort((doc[at : at + len(texts)], digest))
+                of_each = order[_starts(digest[order])]  # of equal sets the one of least doc_id
+                sig, of = signatures(sets, np.sort(of_each[sets.size[of_each] > 0]), threshold, shared.value)
+                held.append((sig, doc[at + of], sets.size[of].astype(np.int32), digest[of], np.zeros(len(sig), dtype=bool)))
+                if sum(len(h[0]) for h in held) >= PORTION:
+                    yield from Signed(held).blocks(parts, salts, salt, CROWD)
+                    held = []
+        yield from Signed(held).blocks(parts, salts, salt, CROWD)
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[Signed | pa.RecordBatch]:
+        """The signatures of each part and salt, and rows that were found before."""
         held: list[tuple[np.ndarray, ...]] = []
-        now = -1
+        now = None
         for batch in batches:
-            for part, sig, doc, sizes, centre, kind, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != now and held:
-                    yield done(held)
+            before = batch.filter(batch.column("kind").is_valid())
+            if len(before):
+                yield before
+            rest = batch.filter(batch.column("kind").is_null())
+            for part, salt, *blobs in zip(*(c.to_pylist() for c in rest.columns[:7]), strict=True):
+                if (part, salt) != now and held:
+                    yield Signed(held)
                     held = []
-                now = part
-                if kind is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, dtype=t)) for v, t in ((kind, np.int32), (x, np.int64), (y, np.int64))], names=["kind", "x", "y"])
-                    continue
-                n, times = np.frombuffer(sizes, dtype=np.int32).reshape(-1, 2).T
-                of_crowd = np.frombuffer(centre, dtype=bool) if centre else np.zeros(len(sig) // 8, dtype=bool)
-                held.append((np.frombuffer(sig, dtype=np.uint64), np.repeat(np.frombuffer(doc, dtype=np.int64), times), np.repeat(n, times), of_crowd))
+                now = part, salt
+                held.append(tuple(np.frombuffer(b, dtype=t) for b, t in zip(blobs, Signed.KINDS, strict=True)))
         if held:
-            yield done(held)
+            yield Signed(held)
 
-    blocks = base.mapInArrow(trimming(sign), "part int, sig binary, doc binary, sizes binary, centre binary, kind binary, x binary, y binary")
-    return written(blocks.repartition("part").sortWithinPartitions("part").mapInArrow(trimming(meet), "kind int, x bigint, y bigint").distinct(), "candidates")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in together(batches):
+            yield met.candidates(threshold, SMALL) if isinstance(met, Signed) else met.select(["kind", "x", "y", "d"])
+
+    blocks = base.mapInArrow(trimming(sign), _BLOCK)
+    while salts > 1:
+        salts, were = math.ceil(salts / FAN), salts
+
+        def narrow(batches: Iterator[pa.RecordBatch], salts: int = salts) -> Iterator[pa.RecordBatch]:
+            for met in together(batches):
+                if isinstance(met, Signed):
+                    yield from met.blocks(parts, salts, TaskContext.get().partitionId(), CROWD)
+                else:
+                    yield met
+
+        blocks = blocks.repartition(max(were, parts // 8), "part", "salt").sortWithinPartitions("part", "salt").mapInArrow(trimming(narrow), _BLOCK)
+    return written(blocks.repartition("part").sortWithinPartitions("part", "salt").mapInArrow(trimming(meet), "kind int, x bigint, y bigint, d bigint"), "candidates")
+
+
+def around_hubs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the hub of each group (sig, node) with the group's other members. The hub is
+    the member of most groups: what many documents were copied from shares signatures with all its
+    copies, while the copies may be too far apart from each other."""
+    met = members.groupBy("node").agg(F.count("*").alias("met"))
+    hub = written(members.join(met, "node").groupBy("sig").agg(F.max(F.struct("met", -F.col("node"))).alias("top")), "hubs")
+    return members.join(hub, "sig").select((-F.col("top.col2")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
 def confirmed(base: DataFrame, pairs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets are similar. A document with many candidates is confirmed in
-    several tasks."""
-    ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "asked")
-    texts = written(may_contain(base, "doc_id", membership_bitmap(ids, "doc_id")).join(ids, "doc_id", "left_semi"), "asked-texts")
-    crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).cast("bigint").alias("salts"))
-    right = pairs.join(crowd, "a").join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", "text")
-    centres = crowd.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("centre")), "a")
-    left = centres.select(F.col("a").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("part"), F.concat("centre", F.lit("")).alias("centre"))
-
-    def compare(key: tuple, one: pa.Table, many: pa.Table) -> pa.Table:
-        out: set[int] = set()
-        centres = [ShingleSets([t.encode("utf-8", "replace")], size).hash for t in one["centre"].to_pylist() if t]
-        for b, text in zip(many["b"].to_pylist(), many["text"].to_pylist(), strict=True):
-            h = ShingleSets([(text or "").encode("utf-8", "replace")], size).hash
-            for c in centres:
-                at = np.searchsorted(c, h)
-                both = int((c[np.minimum(at, len(c) - 1)] == h).sum()) if len(c) else 0
-                if both and 100 * both >= threshold * (len(c) + len(h) - both):
-                    out.add(b)
-        return pa.table({"a": pa.array([key[0].as_py()] * len(out), pa.int64()), "b": pa.array(sorted(out), pa.int64())})
-
-    return written(left.groupBy("of", "part").cogroup(right.groupBy("a", "salt")).applyInArrow(compare, "a bigint, b bigint").distinct(), "links")
-
-
-def links_between(texts: list[str | None], doc: np.ndarray, component: np.ndarray, left: int, size: int, threshold: int) -> list[tuple[int, int]]:
-    """Links of the first ``left`` texts with the others (or among all, if ``left`` is their number)
-    that join components: no more than there are documents. Intersections of all pairs come from
-    products of incidence matrices over the shingles that two texts or more have."""
+    """The ``pairs`` (a, b) whose sets are similar. A document with very many candidates as ``a`` is
+    confirmed in several tasks."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(1).to_pylist()):
+                sets = ShingleSets(texts, size)
+                hashes = pa.ListArray.from_arrays(pa.array(sets.first, pa.int32()), pa.array(sets.hash.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets.digests(), pa.binary()), hashes], names=["doc_id", "digest", "hashes"])
+
+    sets = may_contain(base, "doc_id", membership_bitmap(ids, "doc_id")).mapInArrow(trimming(sets_of), "doc_id bigint, digest binary, hashes array<bigint>")
+    sets = sets.repartition("doc_id").dropDuplicates(["doc_id", "digest"])
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("one")).join(salts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    right = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    right = right.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("two")), "b")
+    both = F.size(F.array_intersect("one", "two"))
+    met = right.join(left, ["a", "salt"]).select("a", "b", both.alias("both"), (F.size("one") + F.size("two")).alias("all"))
+    return written(met.where((F.col("both") > 0) & (100 * F.col("both") >= threshold * (F.col("all") - F.col("both")))).select("a", "b"), "links")
+
+
+def components_joined(texts: list[str | None], component: np.ndarray, left: int, size: int, threshold: int) -> list[tuple[int, int]]:
+    """The components that links of the first ``left`` texts with the others (or among all, if
+    ``left`` is their number) join: fewer pairs than there are components. Intersections of all pairs
+    come from products of incidence matrices over the shingles that two texts or more have."""
     sets = ShingleSets([(t or "").encode("utf-8", "replace") for t in texts], size)
     _, column, times = np.unique(sets.hash, return_inverse=True, return_counts=True)
     often = times[column] > 1
@@ -302,54 +371,44 @@ def links_between(texts: list[str | None], doc: np.ndarray, component: np.ndarra
         a, b = root(int(component[i])), root(int(component[right[j]]))
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((int(doc[i]), int(doc[right[j]])))
+            out.append((a, b))
     return out
 
 
 def compared_in_blocks(base: DataFrame, rest: DataFrame, sizes: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Links (a, b) between the members of groups (``rest``: sig, node, component) that their hubs
-    left in several components.
+    """Pairs (a, b) of components that links join between the members of hubs' groups (``rest``:
+    hub, node, component) that lie in several components.
 
-    Groups that share members are taken together, and their documents dealt into blocks of about
-    ``BLOCK`` by size band and hash. Each block meets itself, its band's other blocks, and those of
-    the next band; texts are shipped once for each meeting, pairs never are.
+    Members outside a hub's largest component meet all others in blocks of about ``BLOCK``; those
+    of the largest are not compared among themselves. Texts are shipped once for each meeting of
+    their block, pairs never are.
     """
-    hub = rest.groupBy("sig").agg(F.min("node").alias("a"))
-    together = components(rest.join(hub, "sig").select("a", F.col("node").alias("b"))).withColumnRenamed("component", "cluster")
-    limits = [b for _, b in bands(threshold, 1 << 40)]
-    band = sum(((F.col("n") > limit).cast("int") for limit in limits), F.lit(0))
-    docs = rest.select("node", "component").distinct().join(together, "node").join(sizes.withColumnRenamed("doc_id", "node"), "node").withColumn("band", band)
-    blocks = docs.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    docs = written(docs.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
-    ids = docs.select(F.col("node").alias("doc_id"))
-    texts = may_contain(base, "doc_id", membership_bitmap(ids, "doc_id")).join(docs.withColumnRenamed("node", "doc_id"), "doc_id")
-    after = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next_blocks"))
-    before = blocks.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("last_blocks"))
-    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("band").alias("band"), F.least("block", o).alias("one"), F.lit(0).alias("step"), F.greatest("block", o).alias("two"), (F.col("block") <= o).alias("is_left")))
-    up = F.transform(F.sequence(F.lit(0), F.coalesce("next_blocks", F.lit(1)) - 1), lambda o: F.struct(F.col("band").alias("band"), F.col("block").alias("one"), F.lit(1).alias("step"), o.alias("two"), F.lit(True).alias("is_left")))
-    down = F.transform(F.sequence(F.lit(0), F.coalesce("last_blocks", F.lit(1)) - 1), lambda o: F.struct((F.col("band") - 1).alias("band"), o.alias("one"), F.lit(1).alias("step"), F.col("block").alias("two"), F.lit(False).alias("is_left")))
-    none = F.slice(own, 1, 0)
-    meetings = F.concat(own, F.when(F.col("next_blocks").isNotNull(), up).otherwise(none), F.when(F.col("last_blocks").isNotNull(), down).otherwise(none))
-    met = texts.join(after, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left").select("cluster", "doc_id", "component", "text", F.explode(meetings).alias("at")).select("cluster", "at.*", "doc_id", "component", "text")
+    n = sizes.withColumnRenamed("doc_id", "node")
+    per = rest.groupBy("hub", "component").agg(F.count("*").alias("docs")).groupBy("hub").agg(F.max_by("component", F.struct("docs", -F.col("component"))).alias("main"))
+    docs = rest.join(per, "hub").withColumn("is_main", F.col("component") == F.col("main")).join(n, "node")
+    need = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = docs.groupBy("hub", "is_main").agg(need.alias("blocks")).groupBy("hub").pivot("is_main", [False, True]).agg(F.first("blocks"))
+    blocks = blocks.select("hub", F.col("false").alias("left_blocks"), F.col("true").alias("main_blocks"))
+    own = F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("left_blocks"))
+    docs = docs.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("node"), own).cast("int"))
+    numbers = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    meeting = lambda one, two, main, left: F.struct(one.alias("one"), two.alias("two"), F.lit(main).alias("with_main"), left.alias("is_left"))
+    block = F.col("block")
+    among = F.transform(numbers("left_blocks"), lambda o: meeting(F.least(block, o), F.greatest(block, o), False, block <= o))
+    onto = F.transform(numbers("main_blocks"), lambda o: meeting(block, o, True, F.lit(True)))
+    from_main = F.transform(numbers("left_blocks"), lambda o: meeting(o, block, True, F.lit(False)))
+    docs = docs.select("hub", F.col("node").alias("doc_id"), "component", F.explode(F.when(F.col("is_main"), from_main).otherwise(F.concat(among, onto))).alias("at"))
+    docs = written(docs.select("hub", "doc_id", "component", "at.*"), "meetings")
+    met = may_contain(base, "doc_id", membership_bitmap(docs, "doc_id")).join(docs, "doc_id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("is_left", "descending"), ("doc_id", "ascending")])
-        left = len(table) if key[2].as_py() == key[4].as_py() and key[3].as_py() == 0 else int(np.count_nonzero(table["is_left"].to_numpy()))
-        found = links_between(table["text"].to_pylist(), table["doc_id"].to_numpy(), table["component"].to_numpy(), left, size, threshold) if left else []
+        alone = key[1].as_py() == key[2].as_py() and not key[3].as_py()  # a block with itself
+        left = len(table) if alone else int(np.count_nonzero(table["is_left"].to_numpy()))
+        found = components_joined(table["text"].to_pylist(), table["component"].to_numpy(), left, size, threshold) if left else []
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return written(met.groupBy("cluster", "band", "one", "step", "two").applyInArrow(compare, "a bigint, b bigint").distinct(), "block-links")
-
-
-def around_hubs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each member of a group (sig, node) with the group's hub: the member that
-    meets most others over all groups. What many documents were copied from meets all its copies,
-    while the copies may be too far apart from each other."""
-    size = members.groupBy("sig").agg(F.count("*").alias("n"))
-    met = members.join(size, "sig").groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
-    hub = members.join(met, "node").groupBy("sig").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("hub"))
-    pairs = members.join(hub, "sig").where("node <> hub")
-    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return written(met.groupBy("hub", "one", "two", "with_main").applyInArrow(compare, "a bigint, b bigint").distinct(), "block-links")
 
 
 def similar_documents(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
@@ -371,7 +430,7 @@ def similar_documents(docs: DataFrame, threshold: int = 80, size: int = 5) -> Da
             for _, texts in slices(batch.column(1).to_pylist()):
                 sets = ShingleSets(texts, size)
                 n += sets.size.tolist()
-                digest += [sets.digest(i) for i in range(len(texts))]
+                digest += sets.digests()
                 values, times = np.unique(sets.hash, return_counts=True)
                 common = values[times >= max(5, len(texts) // 200)] & np.uint64((1 << HEAVY_BITS) - 1)
                 frequent += [common.astype(np.int64), *[None] * (len(texts) - 1)]
@@ -379,37 +438,49 @@ def similar_documents(docs: DataFrame, threshold: int = 80, size: int = 5) -> Da
 
     surveyed = written(base.mapInArrow(trimming(survey), "doc_id bigint, n_shingles bigint, digest binary, frequent array<bigint>"), "sets")
     heavy = bitmap_at(surveyed.select(F.explode("frequent").alias("at")).distinct(), HEAVY_BITS)
-    whole = surveyed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "digest")
-    firsts = whole.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = whole.join(firsts, "digest").where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    whole = surveyed.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest", "n_shingles")
+    # equal sets are one node of the graph, named by the least doc_id
+    firsts = whole.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    of_several = whole.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    same_id = whole.join(of_several, "doc_id").join(firsts, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     known = base.where("doc_id IS NOT NULL")
-    found = _candidates(known, heavy, size, threshold)
-    members = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("node"))
-    stars = written(around_hubs(members), "stars")
-    pairs = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).union(stars).distinct()
-    links = confirmed(known, pairs, size, threshold)
-    labels = components(links.union(copies))
-    # large groups were compared with their hubs only; pairs that those links do not connect follow
-    members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    rest = written(members.join(split, "sig", "left_semi"), "unresolved")
-    if not rest.isEmpty():
-        sizes = surveyed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-        links = links.union(compared_in_blocks(known, rest, sizes, size, threshold))
-        labels = components(links.union(copies))
-    return surveyed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = _candidates(known, len(surveyed.inputFiles()), heavy, size, threshold)
+    members = found.where("kind = 1").groupBy(F.col("x").alias("sig"), "d").agg(F.min("y").alias("node"))
+    alone = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("star")).distinct()
+    pairs = written(alone.union(around_hubs(members).withColumn("star", F.lit(True))), "pairs")
+    labels = components(confirmed(known, pairs.select("a", "b"), size, threshold).union(same_id))
+
+    # members of large groups were compared with hubs only: pairs that those links do not connect follow
+    around = pairs.where("star").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    around = around.union(around.select("hub", F.col("hub").alias("node")).distinct())
+    around = written(around.join(labels, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component")), "around")
+    split = written(around.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub"), "split")
+    if not split.isEmpty():
+        sizes = whole.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+        joined = components(compared_in_blocks(known, around.join(split, "hub"), sizes, size, threshold))
+        alone = joined.select("node", F.col("node").alias("component"))  # components of one node have no label yet
+        into = joined.select(F.col("node").alias("component"), F.col("component").alias("into"))
+        labels = labels.union(alone).distinct().join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    named = firsts.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return surveyed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
-    """``docs`` without the documents that links connect with one of smaller doc_id, and without
-    repeated rows of a doc_id. Rows without a doc_id, and all columns, stay.
+    """``docs`` without the documents that links connect with one of smaller doc_id.
 
-    Only rows that may go are shuffled; a bitmap of fixed size tells which.
+    Of rows that repeat both doc_id and text one stays, the first by its columns in JSON; rows of
+    one doc_id with other texts stay or go with it. Null and empty texts are linked with nothing and
+    stay, as do rows without a doc_id. An empty table gives an empty table. All columns stay,
+    whatever their names. Only rows that may go are shuffled; a bitmap tells which.
     """
-    found = written(similar_documents(docs, threshold, size), "groups")
-    counted = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    touched = written(counted.where("n > 1 OR doc_id <> component_id").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "touched")
-    split = marked(docs, "doc_id", membership_bitmap(touched, "doc_id"))
-    doubtful = split.where("maybe").drop("maybe").join(touched.where("goes").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return split.where("NOT maybe").drop("maybe").unionByName(doubtful).select(*docs.columns)
+    found = similar_documents(docs, threshold, size).where("doc_id IS NOT NULL")
+    counted = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    goes = F.col("doc_id") != F.col("component_id")
+    touched = written(counted.where((F.col("n") > 1) | goes).select("doc_id", goes.alias("goes")), "touched")
+    split = marked(docs, "doc_id", membership_bitmap(touched.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id"))
+    gone = touched.where("goes").select("doc_id")
+    doubtful = split.where("maybe").select("kept", F.col("kept.doc_id").cast("bigint").alias("doc_id")).join(gone, "doc_id", "left_anti")
+    one = doubtful.groupBy("doc_id", F.xxhash64("kept.text"), F.sha2("kept.text", 256)).agg(F.min_by("kept", F.to_json("kept")).alias("kept"))
+    return split.where("NOT maybe").select("kept").union(one.select("kept")).select("kept.*")

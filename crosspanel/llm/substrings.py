@@ -4,8 +4,10 @@ A window's minimiser is the least hash among its runs of ``MER`` words. Consecut
 minimiser (a super-k-mer) travel as one packed string to the minimiser's bucket, where the windows
 are named exactly, by sorting pairs of names of shorter windows, and the least doc_id of each name
 is found. Only super-k-mers whose minimiser occurs in two documents or more need to travel: equal
-windows have equal minimisers. A bucket with very many super-k-mers is not gathered; its windows are
-dealt one by one, by 128-bit digest. Whole copies of a document are found ahead, by digest.
+windows have equal minimisers. Equal strings are merged before they are shuffled, and meet their
+occurrences again once their windows are settled, so that copies do not fill a bucket. A bucket of
+more than ``BUCKET_BYTES`` is dealt on by the windows' own words: its super-k-mers are cut where
+consecutive windows part.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from crosspanel.llm.common import in_small_batches, marked, may_contain, members
 
 #: Words whose hash makes a minimiser.
 MER = 8
-#: Super-k-mers of one minimiser that are still gathered in one place.
-HOT = 2000
+#: Bytes of super-k-mers that a bucket is meant for; larger ones are dealt into several.
+BUCKET_BYTES = 4 << 20
 #: Bytes of text, and words, that are worked on at a time.
-SLICE_BYTES, SLICE_WORDS = 4_000_000, 400_000
+SLICE_BYTES, SLICE_WORDS = 1_000_000, 400_000
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -91,7 +93,17 @@ class Words:
         first = np.flatnonzero(new & valid)
         # a run ends where the next begins or windows stop being valid
         stop = np.flatnonzero(np.concatenate([new | ~valid, [True]]))
-        return least[first].view(np.int64), first, stop[np.searchsorted(stop, first, side="right")] - first
+        windows = stop[np.searchsorted(stop, first, side="right")] - first
+        # repetitive words make long runs; they are cut so that none is longer than others can be
+        pieces = -(-windows // need)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        left = np.repeat(windows, pieces) - nth * need
+        first = np.repeat(first, pieces) + nth * need
+        return least[first].view(np.int64), first, np.minimum(left, need)
+
+    def sizes(self, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Bytes of ``words`` words from each word ``first`` on."""
+        return self.end[first + words - 1] - self.start[first] if len(first) else first
 
     def packed(self, first: int, words: int) -> bytes:
         return self.raw[self.start[first] : self.end[first + words - 1]]
@@ -123,8 +135,10 @@ def window_names(ids: np.ndarray, k: int) -> np.ndarray:
     return names
 
 
-def _repeats(doc: np.ndarray, key: np.ndarray, start: np.ndarray, packed: list[bytes], k: int) -> tuple[np.ndarray, ...]:
-    """Spans of windows that an earlier document has: doc_id, key, first word, end."""
+def owners(first: np.ndarray, last: np.ndarray, packed: list[bytes], k: int) -> tuple[np.ndarray, ...]:
+    """Which windows of the strings an earlier document than some holder has. ``first`` and
+    ``last``: the least and greatest doc_id that has each string. Returns the number of the string,
+    the first word, the end, and the least doc_id of spans of windows that have one."""
     words = b" ".join(packed).split()
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
@@ -134,16 +148,16 @@ def _repeats(doc: np.ndarray, key: np.ndarray, start: np.ndarray, packed: list[b
     at = np.repeat(begin - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
     of = np.repeat(np.arange(len(packed)), windows)
     name = window_names(ids, k)[at]
-    first = np.full(int(name.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, name, doc[of])
-    hit = np.flatnonzero(doc[of] > first[name])
+    least = np.full(int(name.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, name, first[of])
+    owner = least[name]
+    hit = np.flatnonzero(owner < last[of])
     if not len(hit):
-        return doc[:0], key[:0], start[:0], start[:0]
-    new = np.concatenate([[True], (np.diff(hit) != 1) | (of[hit[1:]] != of[hit[:-1]])])
-    lead = hit[new]
-    last = hit[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hit) - 1]])]
-    where = start[of[lead]] + at[lead] - begin[of[lead]]
-    return doc[of[lead]], key[of[lead]], where, where + (last - lead) + k
+        return hit, hit, hit, hit
+    new = np.concatenate([[True], (np.diff(hit) != 1) | (of[hit[1:]] != of[hit[:-1]]) | (owner[hit[1:]] != owner[hit[:-1]])])
+    lead, end = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
+    where = at[lead] - begin[of[lead]]
+    return of[lead], where, where + (end - lead) + k, owner[lead]
 
 
 def covered(spans: list[tuple[int, int]], n_words: int) -> np.ndarray:
@@ -166,97 +180,102 @@ def cut(raw: bytes, gone: np.ndarray) -> bytes:
 _DOC = "doc_id bigint, tk bigint"
 
 
-def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def normal(texts: list[bytes]) -> list[bytes]:
+    """The words of each text joined by one space."""
+    return [b" ".join(t.split()) for t in texts]
+
+
+def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
     """What of ``docs`` repeats windows of documents with smaller doc_ids.
 
-    Returns three tables: every row's doc_id, text key tk, n_words and words_sha256 (of the words
-    joined by one space); the spans (doc_id, tk, spans) of rows that hold such windows; the rows
-    (doc_id, tk) whose words are, all of them, those of an earlier document.
+    Returns two tables: every row's doc_id, text key tk, n_words and words_sha256 (of the words
+    joined by one space); and the texts of those that hold such windows, with the windows' spans
+    (doc_id, tk, text, spans).
     """
     in_small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, sha, minimisers = [], [], []
+            n_words, sha, minimisers, sizes = [], [], [], []
             for _, texts in slices(batch.column(2).to_pylist()):
+                texts = normal(texts)  # noqa: PLW2901
                 words = Words(texts)
-                least, first, _windows = words.runs(k)
+                least, first, windows = words.runs(k)
+                size = words.sizes(first, windows + k - 1)
                 cuts = np.searchsorted(words.of[first] if len(first) else first, np.arange(len(texts) + 1))
                 for i, raw in enumerate(texts):
                     n_words.append(int(words.first[i + 1] - words.first[i]))
-                    sha.append(hashlib.sha256(b" ".join(raw.split())).digest())
+                    sha.append(hashlib.sha256(raw).digest())
                     minimisers.append(least[cuts[i] : cuts[i + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(sha, pa.binary()), pa.array(minimisers, pa.list_(pa.int64()))], names=["doc_id", "tk", "n_words", "words_sha256", "minimisers"])
-
-    surveyed = written(base.mapInArrow(trimming(survey), f"{_DOC}, n_words bigint, words_sha256 binary, minimisers array<bigint>"), "minimisers")
-    whole = surveyed.where(f"n_words >= {k} AND doc_id IS NOT NULL")
-    firsts = whole.groupBy("words_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = written(whole.select("doc_id", "tk", "words_sha256").join(firsts, "words_sha256").where("doc_id > first").select("doc_id", "tk"), "copies")
-
-    # minimisers of two documents or more; a third of all rows may be copies of one, and are left out
-    runs = whole.select("doc_id", "tk", "minimisers").join(copies, ["doc_id", "tk"], "left_anti").select("doc_id", "tk", F.posexplode("minimisers").alias("nth", "minimiser"))
-    shared = runs.groupBy("minimiser").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    travel = runs.join(shared.select("minimiser", (F.col("n") > HOT).alias("hot")), "minimiser").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("nth", "hot")).alias("runs"))
+                    sizes.append(size[cuts[i] : cuts[i + 1]].astype(np.int32))
+            columns = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(sha, pa.binary()), pa.array(minimisers, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tk", "n_words", "words_sha256", "minimisers", "sizes"])
+
+    surveyed = written(base.mapInArrow(trimming(survey), f"{_DOC}, n_words bigint, words_sha256 binary, minimisers array<bigint>, sizes array<int>"), "minimisers")
+    known = surveyed.where(f"n_words >= {k} AND doc_id IS NOT NULL")
+    runs = known.select("doc_id", "tk", F.posexplode(F.arrays_zip("minimisers", "sizes")).alias("nth", "run")).select("doc_id", "tk", "nth", F.col("run.minimisers").alias("minimiser"), F.col("run.sizes").alias("size"))
+    shared = runs.groupBy("minimiser").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("size").alias("bytes")).where("first < last")
+    shared = written(shared.select("minimiser", F.ceil(F.col("bytes") / BUCKET_BYTES).cast("int").alias("salts")), "shared")
+    travel = runs.join(shared, "minimiser").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("nth", "salts")).alias("runs"))
     travel = written(travel, "travel")
-    texts = may_contain(base, "doc_id", membership_bitmap(travel, "doc_id"))
-    held = written(texts.dropDuplicates(["doc_id", "tk"]).join(travel, ["doc_id", "tk"]), "texts")
+    texts = may_contain(base, "doc_id", membership_bitmap(travel, "doc_id")).join(travel, ["doc_id", "tk"])
 
-    def select(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[tuple]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, texts in slices(batch.column(2).to_pylist()):
-                words = Words(texts)
+            for at, raw in slices(batch.column(2).to_pylist()):
+                words = Words(normal(raw))
                 least, first, windows = words.runs(k)
-                cuts = np.searchsorted(words.of[first] if len(first) else first, np.arange(len(texts) + 1))
-                wanted = [np.array([r["nth"] for r in runs if r["hot"] == hot], dtype=np.int64) + cuts[i] for i, runs in enumerate(batch.column(3).slice(at, len(texts)).to_pylist())]
-                chosen = np.concatenate(wanted)
-                of = words.of[first[chosen]] if len(chosen) else chosen
-                yield words, least[chosen], first[chosen], windows[chosen], doc[at + of], key[at + of], first[chosen] - words.first[of]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, least, first, windows, doc, key, start in select(batches, hot=False):
-            packed = [words.packed(f, n + k - 1) for f, n in zip(first.tolist(), windows.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(doc), pa.array(key), pa.array(start), pa.array(packed, pa.binary())], names=["minimiser", "doc_id", "tk", "start", "packed"])
+                cuts = np.searchsorted(words.of[first] if len(first) else first, np.arange(len(raw) + 1))
+                wanted = sorted((int(cuts[i]) + r["nth"], r["salts"]) for i, runs in enumerate(batch.column(3).slice(at, len(raw)).to_pylist()) for r in runs)
+                chosen, salts = np.array(wanted, dtype=np.int64).reshape(-1, 2).T
+                # a window's salt follows from its words; a run is cut where the salt changes
+                of = np.repeat(chosen, windows[chosen])
+                begin = np.repeat(first[chosen] - np.cumsum(windows[chosen]) + windows[chosen], windows[chosen]) + np.arange(len(of))
+                salt = np.zeros(len(of), dtype=np.int64)
+                parted = np.flatnonzero(np.repeat(salts > 1, windows[chosen]))
+                if len(parted):
+                    salt[parted] = (words.mers(k)[begin[parted]] % np.repeat(salts, windows[chosen])[parted].astype(np.uint64)).astype(np.int64)
+                lead = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (salt[1:] != salt[:-1])])) if len(of) else of
+                length = np.diff(np.append(lead, len(of)))
+                packed = [words.packed(f, n + k - 1) for f, n in zip(begin[lead].tolist(), length.tolist(), strict=True)]
+                row = words.of[begin[lead]] if len(lead) else lead
+                columns = [least[of[lead]], salt[lead].astype(np.int32), doc[at + row], key[at + row], begin[lead] - words.first[row]]
+                digest = [xxhash.xxh3_128_digest(p) for p in packed]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed, pa.binary()), pa.array(digest, pa.binary())], names=["minimiser", "salt", "doc_id", "tk", "start", "packed", "digest"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "tk", "a", "b"]
         rest: list[pa.RecordBatch] = []
         size = 0
 
         def done(table: pa.Table) -> pa.RecordBatch:
-            found = _repeats(*(table[c].to_numpy() for c in ("doc_id", "tk", "start")), table["packed"].to_pylist(), k)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+            of, *found = owners(table["first"].to_numpy(), table["last"].to_numpy(), table["packed"].to_pylist(), k)
+            return pa.RecordBatch.from_arrays([table["digest"].combine_chunks().take(pa.array(of)), *map(pa.array, found)], names=["digest", "a", "b", "owner"])
 
         for batch in batches:
             rest.append(batch)
-            size += batch.num_rows * 70
-            if size >= SLICE_WORDS:
+            size += batch.nbytes
+            if size >= SLICE_BYTES:
                 table = pa.Table.from_batches(rest).combine_chunks()
-                bucket = table["minimiser"].to_numpy()
+                bucket, salt = table["minimiser"].to_numpy(), table["salt"].to_numpy()
                 # the last bucket may go on in the next batch
-                n = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
+                other = np.flatnonzero((bucket != bucket[-1]) | (salt != salt[-1]))
+                n = int(other[-1]) + 1 if len(other) else 0
                 if n:
                     yield done(table.slice(0, n))
                 rest = table.slice(n).to_batches()
-                size = (len(table) - n) * 70
+                size = sum(b.nbytes for b in rest)
         if rest and sum(len(r) for r in rest):
             yield done(pa.Table.from_batches(rest).combine_chunks())
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, _, first, windows, doc, key, start in select(batches, hot=True):
-            of = np.repeat(np.arange(len(first)), windows)
-            step = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-            digests = [xxhash.xxh3_128_digest(b" ".join(words.packed(f, k).split())) for f in (first[of] + step).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(doc[of]), pa.array(key[of]), pa.array(start[of] + step)], names=["window", "doc_id", "tk", "a"])
-
-    strings = held.mapInArrow(trimming(pack), f"minimiser bigint, {_DOC}, start bigint, packed binary")
-    cold = strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(trimming(count), f"{_DOC}, a bigint, b bigint")
-    windows = held.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(trimming(single), f"window binary, {_DOC}, a bigint")
-    owner = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    hot = windows.join(owner, "window").where("doc_id > first").select("doc_id", "tk", "a", (F.col("a") + k).alias("b"))
-    spans = cold.unionByName(hot).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return surveyed.drop("minimisers"), held.select("doc_id", "tk", "text").join(spans, ["doc_id", "tk"]), copies
+    pieces = written(texts.mapInArrow(trimming(pack), f"minimiser bigint, salt int, {_DOC}, start bigint, packed binary, digest binary"), "pieces")
+    strings = pieces.groupBy("minimiser", "salt", "packed", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    named = strings.repartition("minimiser", "salt").sortWithinPartitions("minimiser", "salt").mapInArrow(trimming(count), "digest binary, a bigint, b bigint, owner bigint")
+    held = pieces.select("doc_id", "tk", "start", "digest").join(written(named, "named"), "digest").where("doc_id > owner")
+    spans = written(held.groupBy("doc_id", "tk").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans")), "spans")
+    changed = may_contain(base, "doc_id", membership_bitmap(spans, "doc_id")).join(spans, ["doc_id", "tk"])
+    return surveyed.drop("minimisers", "sizes"), changed
 
 
 def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> DataFrame:
@@ -269,7 +288,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> Dat
     rows with equal doc_ids neither is smaller; a null doc_id neither removes nor loses words; an
     empty table gives no rows; columns other than doc_id and text are not read.
     """
-    surveyed, spanned, copies = repeated_spans(docs, k)
+    surveyed, spanned = repeated_spans(docs, k)
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,25 +304,28 @@ def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> Dat
             more = [pa.array(kept, pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), *more], names=["doc_id", "tk", "removed", "sha", *(["kept"] if with_text else [])])
 
-    changed = spanned.mapInArrow(trimming(take_out), f"{_DOC}, removed bigint, sha binary{', kept string' if with_text else ''}")
-    nothing = F.lit(bytearray(hashlib.sha256(b"").digest()))
-    gone = copies.dropDuplicates().withColumn("copied", F.lit(True))
-    out = surveyed.join(changed, ["doc_id", "tk"], "left").join(gone, ["doc_id", "tk"], "left")
-    sha = F.when(F.col("copied"), nothing).otherwise(F.coalesce("sha", "words_sha256"))
-    more = ["tk", F.when(F.col("copied"), F.lit("")).otherwise(F.col("kept")).alias("kept")] if with_text else []
-    return out.select("doc_id", "n_words", F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"), F.lower(F.hex(sha)).alias("kept_sha256"), *more)
+    changed = spanned.mapInArrow(trimming(take_out), f"{_DOC}, removed bigint, sha binary{', kept string' if with_text else ''}").dropDuplicates(["doc_id", "tk"])
+    out = surveyed.join(changed, ["doc_id", "tk"], "left")
+    more = ["tk", "kept"] if with_text else []
+    return out.select("doc_id", "n_words", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.lower(F.hex(F.coalesce("sha", "words_sha256"))).alias("kept_sha256"), *more)
 
 
 def without_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     """``docs`` with the words that :func:`remove_repeats` names taken out of their texts; n_chars,
-    if there is such a column, follows. Documents of which nothing is left go; all other rows, and
-    all columns, stay. Only rows that may change are shuffled."""
-    changed = remove_repeats(docs, k, with_text=True).where("n_removed > 0").select("doc_id", "tk", "kept").dropDuplicates(["doc_id", "tk"])
-    changed = written(changed.withColumnsRenamed({"doc_id": "changed_id", "tk": "changed_tk", "kept": "changed_text"}), "changed")
-    split = marked(docs, "doc_id", membership_bitmap(changed.select(F.col("changed_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")), "doc_id"))
-    same = (F.col("doc_id") == F.col("changed_id")) & (F.xxhash64("text") == F.col("changed_tk"))
-    joined = split.where("maybe").join(changed, same, "left").where("changed_id IS NULL OR changed_text <> ''")
-    text = F.coalesce("changed_text", "text")
-    new = {"text": text, "n_chars": F.when(F.col("changed_id").isNotNull(), F.length("changed_text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    touched = joined.select(*[(new[c].cast(docs.schema[c].dataType).alias(c) if new.get(c) is not None else F.col(c)) for c in docs.columns])
-    return split.where("NOT maybe").select(*docs.columns).unionByName(touched)
+    if there is such a column, follows.
+
+    Documents of which nothing is left go; all other rows, repeated ones too, and all columns,
+    whatever their names, stay. Null and empty texts, texts of fewer than ``k`` words and rows
+    without a doc_id stay as they are. An empty table gives an empty table. Only rows that may
+    change are shuffled.
+    """
+    changed = remove_repeats(docs, k, with_text=True).where("n_removed > 0").select("doc_id", "tk", F.col("kept").alias("new_text")).dropDuplicates(["doc_id", "tk"])
+    changed = written(changed, "changed")
+    split = marked(docs, "doc_id", membership_bitmap(changed.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id"))
+    doubtful = split.where("maybe").select("kept", F.col("kept.doc_id").cast("bigint").alias("doc_id"), F.xxhash64("kept.text").alias("tk"))
+    joined = doubtful.join(changed, ["doc_id", "tk"], "left").where("new_text IS NULL OR new_text <> ''")
+    new = {"text": F.coalesce("new_text", "kept.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("new_text").isNotNull(), F.length("new_text")).otherwise(F.col("kept.n_chars"))
+    touched = joined.select(*[new.get(c, F.col(f"kept.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return split.where("NOT maybe").select("kept.*").unionByName(touched)

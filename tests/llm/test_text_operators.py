@@ -102,12 +102,14 @@ def linked(rows):
     return sorted((i, n, root(i)) for i, n in sizes)
 
 
-@pytest.mark.parametrize(("small", "crowd", "per_task"), [(6, 16, 256), (2, 2, 3)])
-def test_similar_documents_against_all_pairs(spark, monkeypatch, small, crowd, per_task):
+@pytest.mark.parametrize(("small", "crowd", "per_task", "fan"), [(6, 16, 256, 2048), (2, 2, 3, 1), (3, 4, 2, 2)])
+def test_similar_documents_against_all_pairs(spark, monkeypatch, small, crowd, per_task, fan):
     monkeypatch.setattr(similarity, "SMALL", small)
     monkeypatch.setattr(similarity, "CROWD", crowd)
     monkeypatch.setattr(similarity, "PER_TASK", per_task)
     monkeypatch.setattr(similarity, "BLOCK", 4 * small)
+    monkeypatch.setattr(similarity, "PORTION", 100 * small)
+    monkeypatch.setattr(similarity, "FAN", max(fan, 2))
     rows = list(enumerate(some_texts(3, 150))) + [(1000, None), (1001, ""), (5, "one id, two texts " + "k " * 9), (1002, "one id, two texts " + "k " * 9), (7, "A B c"), (1003, "a b\tC")]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similarity.similar_documents(frame(spark, rows)).collect())
     assert got == linked(rows)
@@ -139,13 +141,48 @@ def test_blocks_join_all_that_links_join(spark, monkeypatch, block):
     monkeypatch.setattr(similarity, "BLOCK", block)
     rows = list(enumerate(some_texts(8, 90)))
     want = linked(rows)
-    rest = spark.createDataFrame([(s, i, i) for s, members in ((1, range(0, 60)), (2, range(40, 90))) for i in members], "sig bigint, node bigint, component bigint")
+    known = {i: c if i < 45 else i for i, _, c in want}  # part of the links was found before
+    rest = spark.createDataFrame([(h, i, known[i]) for h, members in ((1, range(0, 60)), (2, range(40, 90))) for i in members], "hub bigint, node bigint, component bigint")
     sizes = spark.createDataFrame([(i, n) for i, n, _ in want], "doc_id bigint, n bigint")
     base = frame(spark, rows).select("doc_id", "text")
     found = similarity.compared_in_blocks(base, rest, sizes, 5, 80)
     assert found.count() < len(rows)
     got = {r.node: r.component for r in components.components(found).collect()}
-    assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, _, c in want}
+    assert {i: got.get(known[i], known[i]) for i, _ in rows} == {i: c for i, _, c in want}
+
+
+def clusters(seed: int, n: int, copies: int, words: int = 96, edits: int = 2):
+    """Originals and copies with edits of their own: some are near the original, others near one another."""
+    draw, rows = random.Random(seed), []
+    for c in range(n):
+        base = [f"c{c}w{i}" for i in range(words)]
+        rows.append((1000 * c, " ".join(base)))
+        for i in range(1, copies + 1):
+            text = (rows[-1][1].split() if i % 5 == 0 else base)[:]
+            for _ in range(edits):
+                text[draw.randrange(words)] = f"e{draw.randrange(10**9)}"
+            rows.append((1000 * c + i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("dealt", [[0], [0, 1], [0, 1, 1, 1, 1, 1, 1, 1], [0, 1, 2]])
+def test_links_do_not_depend_on_partitions(spark, dealt):
+    rows = clusters(4, 6, 40)
+    parts: list[list] = [[] for _ in range(max(dealt) + 1)]
+    for i, row in enumerate(rows):
+        parts[dealt[(i * 7) % len(dealt)]].append(row)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similarity.similar_documents(docs).collect())
+    assert got == linked(rows)
+
+
+CLASHES = "maybe bit_at bit_block bit_map kept key at block bytes changed_id changed_tk changed_text tk goes n component_id a b salt spans".split()
+
+
+def clashing(spark, rows):
+    """Documents with a column for each name that the operators use themselves."""
+    docs = frame(spark, rows)
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
 
 
 def test_one_of_each_stays(spark):
@@ -156,6 +193,17 @@ def test_one_of_each_stays(spark):
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 2]
 
 
+def test_one_of_each_with_odd_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (1, base), (1, base), (2, "clean text"), (2, "another clean text"), (4, None), (4, None), (5, ""), (6, " "), (None, base), (None, base)]
+    docs = clashing(spark, rows)
+    got = similarity.keep_one_of_each(docs)
+    assert got.dtypes == docs.dtypes and similarity.keep_one_of_each(docs.limit(0)).count() == 0
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in got.collect()))
+    assert kept == sorted([(0, base), (0, base), (1, base), (2, "another clean text"), (2, "clean text"), (4, ""), (5, ""), (6, " ")])
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASHES)
+
+
 def test_copies_outside_a_crowd_meet_all_its_members(spark):
     words = [f"w{i}" for i in range(60)]
     places = [i for i in range(60) if i % 15 not in (14, 0, 1)]
@@ -197,10 +245,10 @@ def removed(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
+@pytest.mark.parametrize("most", [4 << 20, 200])
 @pytest.mark.parametrize("k", [9, 20])
-def test_removed_words_against_all_windows(spark, monkeypatch, hot, k):
-    monkeypatch.setattr(substrings, "HOT", hot)
+def test_removed_words_against_all_windows(spark, monkeypatch, most, k):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", most)
     passage = " ".join(f"p{i}" for i in range(30))
     texts = some_texts(4, 60)
     rows = [(i, t + ("\n" + passage + " " + t[:20] if i % 4 == 0 else "")) for i, t in enumerate(texts)]
@@ -209,6 +257,29 @@ def test_removed_words_against_all_windows(spark, monkeypatch, hot, k):
     assert got == removed(rows, k)
 
 
+@pytest.mark.parametrize("most", [4 << 20, 20_000])
+def test_a_passage_in_very_many_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", most)
+    draw = random.Random(12)
+    passage = [f"p{i}" for i in range(55)]
+    rows = []
+    for i in range(10_000):
+        before = [f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(20))]
+        rows.append((i, " ".join([*before, *passage[i % 6 and draw.randrange(5) :], f"z{i % 50}"])))
+    rows += [(20_000 + i, "again " * 400 + str(i)) for i in range(40)]  # one minimiser throughout
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted((max(i, 0), *r) for i, *r in removed(rows, 50))
+
+
+def test_rows_without_repeats_with_odd_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = clashing(spark, [(1, base), (2, base), (2, base), (3, "x " + base), (4, None), (5, ""), (6, " \n"), (None, base), (7, "y"), (7, "z " + base)])
+    got = substrings.without_repeats(docs)
+    assert got.dtypes == docs.dtypes and substrings.without_repeats(docs.limit(0)).count() == 0
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, base), (3, "x "), (4, ""), (5, ""), (6, " \n"), (0, base), (7, "y"), (7, "z ")])
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASHES)
+
+
 def test_removed_words_of_odd_texts(spark, odd):
     assert substrings.remove_repeats(odd).count() == len(ODD) + 3 and substrings.remove_repeats(odd.limit(0)).count() == 0
 
