@@ -20,14 +20,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm.common import as_strings, gathered, in_small_batches, kept
+from crosspanel.llm.common import as_strings, gathered, in_small_batches, kept, trimming
 
 #: White space as the pattern's engine has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Entries a worker remembers before it starts anew: bounds memory, never the result.
-MEMO = 400_000
+#: Entries, and bytes of them, that a worker remembers before it starts anew: bounds memory, never the result.
+MEMO, MEMO_BYTES = 400_000, 48 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,12 +43,15 @@ class Memo(dict):
 
     def __init__(self, make, most: int = MEMO) -> None:  # noqa: ANN001
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.bytes = make, most, 0
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
         value = self.make(key)
-        if len(self) >= self.most:
+        size = len(key) + len(value) if isinstance(value, bytes) else 0
+        if len(self) >= self.most or self.bytes + size > MEMO_BYTES:
             self.clear()
+            self.bytes = 0
+        self.bytes += size
         self[key] = value
         return value
 
@@ -170,10 +173,6 @@ class ByteLevel(BytePairs):
         self.odd = regex.compile(rf" (?:[{SPACE}]|\Z)")
         self.piece = Memo(self._piece)
         self.spaced = Memo(lambda chunk: self._chunk(" " + chunk))
-        text = [str(i) + "," for i in range(len(self.length))]
-        self.decimal = np.frombuffer("".join(text).encode(), dtype=np.uint8)
-        self.decimal_length = np.array([len(x) for x in text], dtype=np.int64)
-        self.decimal_start = np.cumsum(self.decimal_length) - self.decimal_length
 
     def _piece(self, piece: str) -> bytes:
         return np.array(self.encode_units(piece.encode("utf-8", "replace").decode("latin-1")), dtype="<i4").tobytes()
@@ -200,10 +199,6 @@ class ByteLevel(BytePairs):
     def decode(self, ids: np.ndarray) -> str:
         return gathered(self.blob, self.blob_start[ids], self.blob_length[ids]).tobytes().decode("utf-8", "replace")
 
-    def decimals(self, ids: np.ndarray) -> bytes:
-        """The ids in decimal, joined by commas."""
-        return gathered(self.decimal, self.decimal_start[ids], self.decimal_length[ids]).tobytes()[:-1]
-
 
 def loaded(kind: type, spec: str):  # noqa: ANN201
     """A worker's tokenizer, built once."""
@@ -220,34 +215,24 @@ def tokenizer_text(path: str | None, name: str) -> str:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode and decode every whole text.
 
-    Returns doc_id, n_tokens, token_ids (array, only ``with_ids``), decoded (text, only
-    ``with_ids``), ids_sha256 and decoded_sha256. A null text counts as empty: no ids, and the
-    digests of the empty string. Repeated rows each get a row; an empty table gives none; columns
-    other than doc_id and text are not read. Texts of any length go through whole.
+    Returns doc_id, n_tokens, token_ids (array) and decoded (text). A null text counts as empty: no
+    ids, and an empty text. Repeated rows each get a row; an empty table gives none; columns other
+    than doc_id and text, whatever their names, are not read. Texts of any length go through whole.
     """
     spark: SparkSession = docs.sparkSession
     in_small_batches(spark)
     spec = spark.sparkContext.broadcast(tokenizer_text(path, "byte_bpe_50k.json"))
-    more = "token_ids array<int>, decoded string, " if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(ByteLevel, spec.value)
         for batch in batches:
-            n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for text in as_strings(batch.column(1)):
-                ids = model.encode(text)
-                decoded = model.decode(ids)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(model.decimals(ids)).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
-                    texts.append(decoded)
-            kept = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_ids else []
-            names = ["doc_id", "n_tokens", *(["token_ids", "decoded"] if with_ids else []), "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *kept, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, {more}ids_sha256 string, decoded_sha256 string")
+            ids = [model.encode(text) for text in as_strings(batch.column(1))]
+            cut = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
+            all_ids = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *ids])))
+            decoded = pa.array([model.decode(i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut).astype(np.int64)), all_ids, decoded], names=["doc_id", "n_tokens", "token_ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(trimming(run, keeps=True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, token_ids array<int>, decoded string")

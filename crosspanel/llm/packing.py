@@ -2,7 +2,7 @@
 
 Documents longer than a window are first cut into full windows. What is left of each document is
 packed, longest first, into the open window with the least room that suffices; a segment tree over
-the remaining capacities finds it. Rows are dealt by hash into groups of about ``GROUP_ROWS``
+the remaining capacities finds it. Pieces are dealt by hash into groups of about ``GROUP_ROWS``
 documents, each packed in a task of its own; a group wastes room in its last windows only.
 """
 
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.bpe import MEMO, SPACE, BytePairs, loaded, tokenizer_text
+from crosspanel.llm.bpe import MEMO, MEMO_BYTES, SPACE, BytePairs, loaded, tokenizer_text
 from crosspanel.llm.common import as_strings, in_small_batches, trimming
 
 #: Documents packed together: enough for full windows, few enough for any task.
@@ -105,6 +105,7 @@ class WordLevel(BytePairs):
         self.known: dict[str, bytes] = {}
         self.known_pieces: dict[str, bytes] = {s: np.array([i], dtype="<u4").tobytes() for s, i in self.special.items()}
         self.special_pieces = dict(self.known_pieces)
+        self.bytes = self.piece_bytes = 0
 
     def split(self, chunk: str) -> tuple[str, ...]:
         """The pieces of a text without white space."""
@@ -125,14 +126,16 @@ class WordLevel(BytePairs):
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks that are not known, all at once."""
         new = list(chunks)
-        if len(self.known_pieces) > MEMO:
-            self.known_pieces = dict(self.special_pieces)
+        if len(self.known_pieces) > MEMO or self.piece_bytes > MEMO_BYTES:
+            self.known_pieces, self.piece_bytes = dict(self.special_pieces), 0
         split = [self.split(c) for c in new]
         fresh = list({p for ps in split for p in ps} - self.known_pieces.keys())
         for i in range(0, len(fresh), 50_000):
             self._encode(fresh[i : i + 50_000])
         of = self.known_pieces
-        self.known.update(zip(new, [of[p[0]] if len(p) == 1 else b"".join([of[x] for x in p]) for p in split], strict=True))
+        made = [of[p[0]] if len(p) == 1 else b"".join([of[x] for x in p]) for p in split]
+        self.known.update(zip(new, made, strict=True))
+        self.bytes += sum(map(len, new)) + sum(map(len, made))
 
     def _encode(self, pieces: list[str]) -> None:
         raw = [p.encode("utf-8", "replace") for p in pieces]
@@ -142,6 +145,7 @@ class WordLevel(BytePairs):
         ids, word = self.table.merge(self.unit_id[units], np.repeat(np.arange(len(raw)), length))
         cut = 4 * np.searchsorted(word, np.arange(len(raw) + 1))
         all_ids = ids.astype("<u4").tobytes()
+        self.piece_bytes += int(length.sum()) + len(all_ids)
         self.known_pieces.update(zip(pieces, [all_ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], strict=True))
 
     def chunks(self, text: str) -> list[str]:
@@ -158,8 +162,8 @@ class WordLevel(BytePairs):
                 part.append(self.chunks(texts[at]))
                 words += len(part[-1])
                 at += 1
-            if len(self.known) > MEMO:
-                self.known = {}
+            if len(self.known) > MEMO or self.bytes > MEMO_BYTES:
+                self.known, self.bytes = {}, 0
             self.learn({c for chunks in part for c in filterfalse(self.known.__contains__, chunks)})
             get = self.known.__getitem__
             yield from (b"".join(map(get, chunks)) for chunks in part)
@@ -264,5 +268,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = 2048,
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["token_ids"] if with_ids else [])]
     pieces = docs.select("doc_id", "text").mapInArrow(trimming(cut, keeps=True), f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, nth bigint{ids_column}")
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(groups)))
+    # full windows need no company and are dealt out one by one, so that a very long text fills no group
+    alone = F.when(F.col("length") == window, F.col("start"))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "nth", alone), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(pack, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{ids_column}")

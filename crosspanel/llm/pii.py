@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = "0123456789"
-LOWER = "abcdefghijklmnopqrstuvwxyz" + DIGITS
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + DIGITS
-MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + LOWER
+MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + LETTERS + DIGITS
 ROUNDS = 8
 
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -33,14 +33,15 @@ ANY = "|".join([MAIL, ACCESS_KEY, SECRET, ISO_DATE, DAY_DATE, IPV4, SSN, CARD, P
 HINT = r"[@0-9]|(?i:password|passwd|token|secret|api_?key)"
 
 
-def feistel(value: Column, alphabet: str, key: str) -> Column:
-    """Permute strings over ``alphabet`` of equal length. Other characters must not occur. Strings
-    of one character are shifted by the key."""
+def feistel(value: Column, alphabet: str, key: str, tweak: Column | None = None) -> Column:
+    """Permute strings over ``alphabet`` of equal length; for each ``tweak`` in another way. Other
+    characters must not occur. Strings of one character are shifted by the key."""
+    secret = F.lit(key + "|") if tweak is None else F.concat(F.lit(key + "|"), tweak, F.lit("|"))
     half = (F.length(value) / 2).cast("int")
     letters = F.lit(alphabet)
 
     def one(state: Column, i: Column) -> Column:
-        code = F.sha2(F.concat(F.lit(key + "|"), i.cast("string"), F.lit("|"), F.length(state["a"]).cast("string"), F.lit("|"), state["b"]), 512)
+        code = F.sha2(F.concat(secret, i.cast("string"), F.lit("|"), F.length(state["a"]).cast("string"), F.lit("|"), state["b"]), 512)
         shifted = F.transform(
             F.split(state["a"], ""),
             lambda c, at: F.substring(letters, (F.pmod(F.instr(letters, c) - 1 + F.conv(F.substring(code, F.pmod(at, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1)),
@@ -65,6 +66,17 @@ def refill(shape: Column, alphabet_class: str, filling: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), filling.alias("left")), step, lambda s: s["out"])
 
 
+def _mail(m: Column, key: str) -> Column:
+    """Letters of the local part are permuted among letters, whose case stays, and its digits among
+    digits, in a way that depends on the letters. The domain stays."""
+    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    letters = F.lower(only(local, "A-Za-z"))
+    digits = feistel(only(local, "0-9"), DIGITS, key + "mail digits", letters)
+    lower = refill(refill(F.lower(local), "a-z", feistel(letters, LETTERS, key + "mail")), "0-9", digits)
+    cased = F.zip_with(F.split(local, ""), F.split(lower, ""), lambda old, new: F.when(old.rlike("^[A-Z]$"), F.upper(new)).otherwise(new))
+    return F.concat(F.array_join(cased, ""), F.lit("@"), domain)
+
+
 def luhn_digit(payload: Column) -> Column:
     """The check digit that makes a card number of ``payload`` valid."""
 
@@ -120,10 +132,9 @@ def _ipv4(m: Column, key: str) -> Column:
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of :data:`ANY`; itself if it turns out to be no valid value."""
-    local, domain = F.lower(F.substring_index(m, "@", 1)), F.substring_index(m, "@", -1)
     n = F.length(only(m, "0-9"))
     return (
-        F.when(m.contains("@"), F.concat(refill(local, "a-z0-9", feistel(only(local, "a-z0-9"), LOWER, key + "mail")), F.lit("@"), domain))
+        F.when(m.contains("@"), _mail(m, key))
         .when(m.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$"), F.concat(F.substring(m, 1, 4), feistel(F.substring(m, 5, 16), UPPER, key + "access")))
         .when(m.rlike("^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\\2[0-9]{4})$"), _dates(m, key))
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _ipv4(m, key))
@@ -135,8 +146,9 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "change this key", text: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in its text column, and a last column n_pseudonyms (spans replaced).
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with pseudonyms under a secret ``key`` in its text column, and a last column
+    n_pseudonyms (spans replaced).
 
     Null texts stay null with 0; empty texts and texts without personal data stay as they are;
     repeated rows stay repeated; every other column is kept, but one named n_pseudonyms, which is

@@ -23,6 +23,11 @@ from crosspanel.llm.urls import filter_urls
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's secret, spark.crosspanel.pseudonymKey; tables without secrets need none."""
+    return spark.conf.get("spark.crosspanel.pseudonymKey", "for invented data only")
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -41,11 +46,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(documents(spark, sf_dir), with_ids=False)
+    encoded = encode_documents(documents(spark, sf_dir))
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

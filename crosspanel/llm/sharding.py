@@ -1,6 +1,6 @@
 """Balanced sharding of linked documents.
 
-Documents with equal texts are linked. Every document starts in a shard drawn from its id; then, in
+Documents with equal texts are linked. Every document starts in a shard drawn from its id and text; then, in
 rounds of joins, linked documents ask for the shard that holds most of their neighbours. A shard
 admits no more than its quota of movers, as a share of those who ask; groups that fit whole go ahead
 of larger ones. A last exact step moves the rows beyond a quota into the free places. Counts of
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from crosspanel.llm.common import written
 
+#: Rows of a link that meet their link's label in one task.
+PER_TASK = 1000
 #: Runs of slots that are numbered on their own before their offsets are summed.
 RUNS = 256
 
@@ -54,7 +56,7 @@ def _flow(df: DataFrame, a: str, b: str) -> tuple[dict[tuple[int, int], int], di
 
 
 def propagate(linked: DataFrame, free: list[int], shards: int, rounds: int) -> DataFrame:
-    """Label propagation of ``linked`` (row, link, members, label) under ``free`` places for each
+    """Label propagation of ``linked`` (row, draw, link, members, label) under ``free`` places for each
     shard beyond its linked rows. Each round: counts per link and label, the fullest label of each
     link, proposals, and admission of the share of proposals for which there is room.
 
@@ -66,8 +68,10 @@ def propagate(linked: DataFrame, free: list[int], shards: int, rounds: int) -> D
         counts = linked.groupBy("link", "label").agg(F.count("*").alias("n"), F.max("members").alias("members"), F.max("tried").alias("tried"))
         counts = counts.withColumn("fits", F.col("members") - F.col("n") <= _pick(free, F.col("label")))
         fresh = ~F.col("fits") | F.col("tried").isNull() | (F.col("tried") != F.col("label"))
-        best = counts.groupBy("link").agg(F.max(F.struct("fits", fresh.alias("fresh"), "n", F.pmod(F.xxhash64("link", "label"), F.lit(1 << 20)).alias("draw"), "label")).alias("best"))
-        asked = linked.join(best.select("link", F.col("best.label").alias("wish"), F.col("best.fits").alias("fits")), "link")
+        best = counts.groupBy("link").agg(F.max("members").alias("members"), F.max(F.struct("fits", fresh.alias("fresh"), "n", F.pmod(F.xxhash64("link", "label"), F.lit(1 << 20)).alias("draw"), "label")).alias("best"))
+        salts = F.ceil(F.col("members") / PER_TASK)  # a link that very many rows share is joined in parts
+        best = best.select("link", F.col("best.label").alias("wish"), F.col("best.fits").alias("fits"), F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+        asked = linked.withColumn("salt", F.pmod("row", salts)).join(best, ["link", "salt"]).drop("salt")
         whole, part = _flow(asked, "label", "wish")
         if not whole and not part:
             break
@@ -77,11 +81,11 @@ def propagate(linked: DataFrame, free: list[int], shards: int, rounds: int) -> D
             left[a] += int(n * share[b])
             left[b] -= math.ceil(n * share[b])
         rest = _shares(part, left, shards)
-        draw = F.pmod(F.when(F.col("fits"), F.xxhash64("link", F.lit(f"admit {turn}"))).otherwise(F.xxhash64("row", F.lit(f"admit {turn}"))), F.lit(1 << 30)) / float(1 << 30)
+        draw = F.pmod(F.when(F.col("fits"), F.xxhash64("link", F.lit(f"admit {turn}"))).otherwise(F.xxhash64("draw", F.lit(f"admit {turn}"))), F.lit(1 << 30)) / float(1 << 30)
         admitted = draw < F.when(F.col("fits"), _pick(share, F.col("wish"))).otherwise(_pick(rest, F.col("wish")))
         label = F.when(admitted, F.col("wish")).otherwise(F.col("label"))
         tried = F.when(F.col("fits") & ~admitted, F.col("wish"))
-        moved = written(asked.select("row", "link", "members", label.alias("label"), tried.alias("tried"), F.col("label").alias("was"), "fits"), "labels")
+        moved = written(asked.select("row", "draw", "link", "members", label.alias("label"), tried.alias("tried"), F.col("label").alias("was"), "fits"), "labels")
         joined, spread = _flow(moved, "was", "label")
         for out in (joined, spread):
             for (a, b), n in out.items():
@@ -100,30 +104,31 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 4, slack: f
     from 0 in each shard) and grown_shard (null under this law). Null texts have size 1 and the
     checksum of no bytes, and are linked with each other and with empty texts; repeated rows each
     get a place; an empty table gives none; other columns are not read. ``slack``: share of a
-    quota that shards may run over during the rounds; the last step sets it right.
+    quota that shards may run over during the rounds; the last step sets it right. The result depends
+    on the rows alone, not on the files or partitions that they come in.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = written(
-        docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("link"), F.monotonically_increasing_id().alias("row")),
+        docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("link"), F.monotonically_increasing_id().alias("row")).withColumn("draw", F.xxhash64("doc_id", "link")),
         "rows",
-    )
+    )  # the row number only tells rows apart: all choices are drawn from doc_id and text
     n = rows.count()
     target = quotas(n, shards)
-    start = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")
-    several = rows.groupBy("link").agg(F.count("*").alias("members")).where("members > 1")
-    linked = written(rows.select("row", "link", start.alias("label")).join(several, "link"), "linked")
+    start = F.pmod(F.xxhash64("draw", F.lit("start")), F.lit(shards)).cast("int")
+    several = written(rows.groupBy("link").agg(F.count("*").alias("members")).where("members > 1"), "links")
+    linked = written(rows.select("row", "draw", "link", start.alias("label")).join(several, "link"), "linked")
     begun = _counts(rows.select(start.alias("label")), "label", shards)
     labels = propagate(linked, [int(t * (1 + slack)) + 1 - b for t, b in zip(target, begun, strict=True)], shards, rounds)
     placed = rows.drop("link").join(labels.select("row", "label", "members"), "row", "left")
     rank = F.when(F.col("label").isNull(), 2).when(F.col("members") > n // shards, 1).otherwise(0)
-    placed = placed.select("doc_id", "size", "text_crc32", "row", F.coalesce("label", start).alias("label"), rank.alias("kind"))
+    placed = placed.select("doc_id", "size", "text_crc32", "row", "draw", F.coalesce("label", start).alias("label"), rank.alias("kind"))
     # slots are numbered in short runs; linked rows come first, so that rows beyond a quota are single
     # ones, or else rows of groups that no shard holds whole
-    run = (F.pmod(F.xxhash64("row", F.lit("run")), F.lit(RUNS)) + F.col("kind") * RUNS).cast("int")
+    run = (F.pmod(F.xxhash64("draw", F.lit("run")), F.lit(RUNS)) + F.col("kind") * RUNS).cast("int")
     placed = written(placed.withColumn("run", run), "placed")
     per_run = placed.groupBy("label", "run").agg(F.count("*").alias("n"))
     before = per_run.select("label", "run", (F.sum("n").over(Window.partitionBy("label").orderBy("run")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("label", "run").orderBy("row")) - 1
+    local = F.row_number().over(Window.partitionBy("label", "run").orderBy("draw", "doc_id", "size", "text_crc32")) - 1
     ranked = placed.withColumn("local", local).join(F.broadcast(before), ["label", "run"]).withColumn("rank", F.col("before") + F.col("local"))
     have = _counts(placed, "label", shards)
     over = [max(0, h - t) for h, t in zip(have, target, strict=True)]

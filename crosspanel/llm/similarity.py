@@ -42,7 +42,7 @@ SMALL = 6
 #: the centre of a crowd, and the group counts as a large one wherever the centre comes.
 CROWD = 16
 #: Signatures of a portion.
-PORTION = 1 << 19
+PORTION = 1 << 18
 #: Tasks whose signatures of one value may meet in one task; with more, they meet in rounds.
 FAN = 2048
 HEAVY_BITS = 22

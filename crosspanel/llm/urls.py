@@ -1,7 +1,7 @@
 """URL filter: host-suffix and path-prefix expressions against a rule table, in DataFrame functions only.
 
-Each URL is expanded into the expressions that a rule could have (for every shape of rule: so many
-host labels, so many path characters). An equi-join on short hash prefixes finds candidates, the
+Each URL is expanded into its expressions of the shapes that rules have (so many host labels, so
+many path characters): no more than its own labels and characters allow. An equi-join on short hash prefixes finds candidates, the
 full digest confirms them, and the longest rule decides.
 """
 
@@ -35,7 +35,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("pa
     Returns the columns ``keep``, then host, path, rule (null if none fits) and verdict
     (``default`` if none fits). Repeated rows each get a row; a null or malformed URL has an empty
     host and path and fits no rule; other columns of ``pages``, whatever their names, are not read;
-    without rules every row gets the default.
+    without rules every row gets the default; an empty table gives no rows. URLs of any length are
+    read whole.
     """
     # one row for each shape of rule: bounded by label counts and path lengths, not by rules or URLs
     shapes = [tuple(r) for r in rules.select(labels(F.col("host")), F.length("path")).distinct().collect()]
@@ -47,8 +48,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("pa
     )
     host, path = url_parts(F.col(url))
     rows = pages.select(F.struct(*keep).alias("kept"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
-    made = [F.when((labels(F.col("host")) >= n) & (F.length("path") >= p), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, p))) for n, p in shapes]
-    expanded = rows.withColumn("expression", F.explode_outer(F.array_compact(F.array(*made)) if made else F.array(F.lit(None).cast("string"))))
+    known_shapes = F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(p).alias("length")) for n, p in sorted(shapes)])
+    fitting = F.filter(known_shapes, lambda s: (s["labels"] <= labels(F.col("host"))) & (s["length"] <= F.length("path")))
+    suffix = lambda n: F.array_join(F.slice(F.split("host", r"\."), -n, n), ".")
+    made = F.transform(fitting, lambda s: F.concat(suffix(s["labels"]), F.substring(F.col("path"), F.lit(1), s["length"])))
+    expanded = rows.withColumn("expression", F.explode_outer(made if shapes else F.array(F.lit(None).cast("string"))))
     expanded = expanded.withColumn("digest", F.sha2("expression", 256))
     hits = expanded.join(known, F.substring("digest", 1, PREFIX_HEX) == F.col("rule_prefix"), "left")
     # the expressions of a URL are neighbours in one task, so that the partial aggregate shuffles one row a URL

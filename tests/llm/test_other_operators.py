@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crosspanel.llm import neighbours, sharding
 from crosspanel.llm.queries import ORACLES, QUERIES
@@ -47,6 +48,13 @@ def test_small_groups_stay_whole_beside_a_hot_one(spark):
     assert sum(len(s) > 1 for s in pairs.values()) <= 10  # there is room for all of them
 
 
+def test_shards_do_not_depend_on_files(spark):
+    rows = [(i, f"pair{i // 2}" if i < 600 else "hot" if i < 900 else f"t{i}") for i in range(1500)] + [(3, "twice")] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, other = (sorted(map(tuple, sharding.balanced_shards(d).collect())) for d in (docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(2)))
+    assert one == other
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_shards_of_few_rows(spark, n):
     docs = spark.createDataFrame([(7, "same")] * n, "doc_id bigint, text string")
@@ -90,6 +98,23 @@ def test_neighbours_of_few_vectors(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0 and neighbours.nearest(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_doubles(spark):
+    third = [1 / 3, 1 / 5, 0.1]
+    draw = np.random.default_rng(5)
+    rows = [(0, third), (1, [1e300, 0.0, 1.0]), (2, [1e-300, 0.0, 0.0]), (3, [0.1, 0.7, 1 / 7]), (20, [1e300, 1e300, -1e300])]
+    rows += [(100 + i, v.tolist()) for i, v in enumerate(draw.normal(size=(200, 3)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, v in rows:
+            if q % 20 == 0:
+                scored = sorted((-float(np.dot(v, w)), j) for j, w in rows if j != q)[:7]
+                assert [j for j, _ in got[q]] == [j for _, j in scored]
+                assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in scored], rel=1e-14)
+
+
 @tables
 def test_recall_on_the_embeddings(spark):
     got = collections.defaultdict(set)
@@ -127,3 +152,34 @@ def test_pipeline(spark):
     assert counts[1] == counts[0] > counts[2] >= counts[3] == counts[4]
     packed = cp.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+NAMES = "maybe bit_at bit_block bit_map kept key at block bytes changed_id new_text tk goes n kept_0 lang_pred score n_pseudonyms old new start length nth group".split()
+
+
+@pytest.mark.parametrize("stage", ["language", "near_duplicates", "substrings", "pii"])
+def test_stages_with_odd_rows_and_clashing_names(spark, stage):
+    import corpus_pipeline as cp
+
+    run = dict(cp.STAGES)[stage]
+    base = " ".join(f"word{i}" for i in range(70))
+    rows = [(1, base), (2, base), (2, base), (3, "z " + base), (4, None), (5, ""), (6, " \t"), (None, base), (7, "long " * 30_000), (8, "mail a.b1@c.example"), (8, "123 !?")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in NAMES])
+    got = run(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    found = got.collect()
+    assert found and all(r[c] == f"own {c}" for r in found for c in NAMES)
+    empty = run(spark, docs.limit(0), "")
+    assert empty.dtypes == docs.dtypes and empty.count() == 0
+    # rows with nothing to find stay, but texts without letters go in the language stage
+    assert (4 in {r.doc_id for r in found}) == (stage != "language") and 7 in {r.doc_id for r in found}
+
+
+def test_packing_stage_with_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "c")], "doc_id bigint, text string").select("*", *[F.lit("own").alias(c) for c in NAMES])
+    got = dict(cp.STAGES)["packing"](spark, docs, "").collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2, 3, 3] and all(r.token_ids[-1] == 1 and len(r.token_ids) == r.length for r in got)
+    assert dict(cp.STAGES)["packing"](spark, docs.limit(0), "").count() == 0
