@@ -11,8 +11,9 @@ that are empty or hold only very frequent shingles. No pair above the threshold
 Sets that share a signature make a group, in which equal sets count once. The pairs of a small group
 are candidates. A larger group is compared with its hub, and where links leave several components
 around a hub, the members outside the largest one are compared with all others, in blocks. So every
-two sets that share a signature are compared or already connected. Candidates are confirmed on the
-sets themselves.
+two sets that share a signature are compared or already connected. Of the candidates, those whose
+sizes or parity sketches prove them too far apart are left out; the others are confirmed on the sets
+themselves.
 """
 
 from __future__ import annotations
@@ -91,6 +92,16 @@ class ShingleSets:
         self.first = np.searchsorted(self.of, np.arange(len(texts) + 1))
         self.size = np.diff(self.first)
 
+    def sketches(self) -> pa.ListArray:
+        """The parity of each set's elements by hash position, as 64-bit words, a power of two of
+        them. Where two of these differ in d bits the sets differ in d elements or more."""
+        words = 1 << np.ceil(np.log2(np.maximum(64, self.size) / 64)).astype(np.int64)
+        base = np.cumsum(words) - words
+        at = 64 * base[self.of] + (mixed(self.hash ^ _SEED[2]) % (64 * words[self.of]).astype(np.uint64)).astype(np.int64)
+        odd = np.bincount(at, minlength=64 * int(words.sum())) & 1
+        packed = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.append(base, words.sum()), pa.int32()), pa.array(packed))
+
     def digests(self) -> list[bytes | None]:
         """The 128-bit digest of each set, None of an empty one."""
         raw, cut = self.hash.tobytes(), (8 * self.first).tolist()
@@ -166,19 +177,21 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
 
 
 class Signed:
-    """Signatures, one for each row: value, doc_id and size and digest of the set, and whether it is
+    """Signatures, one for each row: value, doc_id, digest of the set in 48 bits, and whether it is
     the centre of a crowd. Sorted by value and digest, equal sets once, by their least doc_id."""
 
-    KINDS = (np.uint64, np.int64, np.int32, np.uint64, np.bool_)
+    KINDS = (np.uint64, np.int64, np.uint64, np.bool_)
+    #: Bytes of each that travel, the lowest ones.
+    BYTES = (8, 8, 6, 1)
 
     def __init__(self, parts: list[tuple[np.ndarray, ...]]) -> None:
-        sig, doc, n, digest, centre = (np.concatenate([np.empty(0, dtype=t), *c]) for t, c in zip(self.KINDS, zip(*parts, strict=True) if parts else [[]] * 5, strict=True))
+        sig, doc, digest, centre = (np.concatenate([np.empty(0, dtype=t), *c]) for t, c in zip(self.KINDS, zip(*parts, strict=True) if parts else [[]] * 4, strict=True))
         order = np.lexsort((doc, digest, sig))
-        sig, doc, n, digest, centre = (c[order] for c in (sig, doc, n, digest, centre))
+        sig, doc, digest, centre = (c[order] for c in (sig, doc, digest, centre))
         keep = _starts(sig, digest)
         # equal sets are the centre of a crowd if one of them is
         self.centre = np.logical_or.reduceat(centre, keep) if len(keep) else centre
-        self.sig, self.doc, self.n, self.digest = sig[keep], doc[keep], n[keep], digest[keep]
+        self.sig, self.doc, self.digest = sig[keep], doc[keep], digest[keep]
         self.begin = _starts(self.sig)
         self.count = np.diff(np.append(self.begin, len(self.sig)))
         self.of_crowd = np.logical_or.reduceat(self.centre, self.begin) if len(self.begin) else np.empty(0, dtype=bool)
@@ -196,18 +209,29 @@ class Signed:
         centre, keep = self.centre.copy(), ~crowd
         lead = self.begin[self.count > most]
         centre[lead] = keep[lead] = True
-        columns = [c[keep] for c in (self.sig, self.doc, self.n, self.digest, centre)]
-        part = ((columns[0] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        columns = [c[keep] for c in (self.sig, self.doc, self.digest, centre)]
+        part = (columns[0] >> np.uint64(64 - parts)).astype(np.int64)  # ascending, as the signatures are
+        cut = np.searchsorted(part, np.arange((1 << parts) + 1))
         full = np.flatnonzero(np.diff(cut))
+        spans = list(zip(cut[full].tolist(), cut[full + 1].tolist(), strict=True))
         arrays = [pa.array(full, pa.int32()), pa.array(np.full(len(full), salt % salts), pa.int32())]
-        for c in columns:
-            raw, width = c[order].tobytes(), c.dtype.itemsize
-            arrays.append(pa.array([raw[width * a : width * b] for a, b in zip(cut[full].tolist(), cut[full + 1].tolist(), strict=True)], pa.binary()))
+        for c, width in zip(columns, self.BYTES, strict=True):
+            raw = c.view(np.uint8).reshape(-1, c.dtype.itemsize)[:, :width]
+            # bytes of one place stand together, which shuffles compress well
+            arrays.append(pa.array([raw[a:b].T.tobytes() for a, b in spans], pa.binary()))
         yield pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(full), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]], names=_BLOCK_NAMES)
 
-    def candidates(self, threshold: int, small: int) -> pa.RecordBatch:
+    @classmethod
+    def unpacked(cls, blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+        out = []
+        for blob, kind, width in zip(blobs, cls.KINDS, cls.BYTES, strict=True):
+            raw = np.frombuffer(blob, dtype=np.uint8).reshape(width, -1).T
+            held = np.zeros((len(raw), np.dtype(kind).itemsize), dtype=np.uint8)
+            held[:, :width] = raw
+            out.append(held.view(kind).ravel())
+        return tuple(out)
+
+    def candidates(self, small: int) -> pa.RecordBatch:
         """Rows (kind, x, y, digest): kind 0, a candidate pair of a small group; kind 1, signature x
         of a larger group that has member y. A group with a crowd's centre is a larger one."""
         several = (self.count > small) | (self.of_crowd & (self.count > 1))
@@ -218,8 +242,7 @@ class Signed:
                 x.append(at + i)
                 y.append(at + j)
         x, y = np.concatenate(x), np.concatenate(y)
-        n = self.n.astype(np.int64)
-        fit = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * threshold) & (self.doc[x] != self.doc[y])
+        fit = self.doc[x] != self.doc[y]
         a, b = np.minimum(self.doc[x], self.doc[y])[fit], np.maximum(self.doc[x], self.doc[y])[fit]
         order = np.lexsort((b, a))
         pairs = order[_starts(a[order], b[order])]
@@ -228,8 +251,8 @@ class Signed:
         return pa.Table.from_batches([pair_rows, large]).combine_chunks().to_batches()[0] if len(pairs) + len(large) else pair_rows
 
 
-_BLOCK_NAMES = ["part", "salt", "sig", "doc", "n", "digest", "centre", "kind", "x", "y", "d"]
-_BLOCK = "part int, salt int, sig binary, doc binary, n binary, digest binary, centre binary, kind int, x bigint, y bigint, d bigint"
+_BLOCK_NAMES = ["part", "salt", "sig", "doc", "digest", "centre", "kind", "x", "y", "d"]
+_BLOCK = "part int, salt int, sig binary, doc binary, digest binary, centre binary, kind int, x bigint, y bigint, d bigint"
 
 
 def _found(kind: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
@@ -239,14 +262,14 @@ def _found(kind: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> pa.
 def _packed(found: pa.RecordBatch) -> pa.RecordBatch:
     """Rows of ``found`` among packed blocks; their part deals them out evenly."""
     part = pa.array((found.column(2).to_numpy() & 0x3FFFFFFF).astype(np.int32))
-    return pa.RecordBatch.from_arrays([part, *[pa.nulls(len(found), t) for t in (pa.int32(), *[pa.binary()] * 5)], *found.columns], names=_BLOCK_NAMES)
+    return pa.RecordBatch.from_arrays([part, *[pa.nulls(len(found), t) for t in (pa.int32(), *[pa.binary()] * 4)], *found.columns], names=_BLOCK_NAMES)
 
 
 def _candidates(base: DataFrame, tasks: int, heavy: np.ndarray, size: int, threshold: int) -> DataFrame:
-    """(kind, x, y, d) as :meth:`Signed.candidates` has them, over all documents, not distinct."""
+    """Rows (kind, x, y, d) as :meth:`Signed.candidates` has them, over all documents, not distinct."""
     spark = base.sparkSession
     shared = spark.sparkContext.broadcast(heavy)
-    parts = max(1024, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(10, math.ceil(math.log2(16 * int(spark.conf.get("spark.sql.shuffle.partitions")))))  # a power of two
     salts = math.ceil(tasks / FAN)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,11 +279,11 @@ def _candidates(base: DataFrame, tasks: int, heavy: np.ndarray, size: int, thres
             doc = batch.column(0).to_numpy()
             for at, texts in slices(batch.column(1).to_pylist()):
                 sets = ShingleSets(texts, size)
-                digest = np.array([int.from_bytes(d[:8], "little") if d else 0 for d in sets.digests()], dtype=np.uint64)
+                digest = np.array([int.from_bytes(d[:6], "little") if d else 0 for d in sets.digests()], dtype=np.uint64)
                 order = np.lexsort((doc[at : at + len(texts)], digest))
                 of_each = order[_starts(digest[order])]  # of equal sets the one of least doc_id
                 sig, of = signatures(sets, np.sort(of_each[sets.size[of_each] > 0]), threshold, shared.value)
-                held.append((sig, doc[at + of], sets.size[of].astype(np.int32), digest[of], np.zeros(len(sig), dtype=bool)))
+                held.append((sig, doc[at + of], digest[of], np.zeros(len(sig), dtype=bool)))
                 if sum(len(h[0]) for h in held) >= PORTION:
                     yield from Signed(held).blocks(parts, salts, salt, CROWD)
                     held = []
@@ -275,18 +298,18 @@ def _candidates(base: DataFrame, tasks: int, heavy: np.ndarray, size: int, thres
             if len(before):
                 yield before
             rest = batch.filter(batch.column("kind").is_null())
-            for part, salt, *blobs in zip(*(c.to_pylist() for c in rest.columns[:7]), strict=True):
+            for part, salt, *blobs in zip(*(c.to_pylist() for c in rest.columns[:6]), strict=True):
                 if (part, salt) != now and held:
                     yield Signed(held)
                     held = []
                 now = part, salt
-                held.append(tuple(np.frombuffer(b, dtype=t) for b, t in zip(blobs, Signed.KINDS, strict=True)))
+                held.append(Signed.unpacked(blobs))
         if held:
             yield Signed(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in together(batches):
-            yield met.candidates(threshold, SMALL) if isinstance(met, Signed) else met.select(["kind", "x", "y", "d"])
+            yield met.candidates(SMALL) if isinstance(met, Signed) else met.select(["kind", "x", "y", "d"])
 
     blocks = base.mapInArrow(trimming(sign), _BLOCK)
     while salts > 1:
@@ -299,7 +322,7 @@ def _candidates(base: DataFrame, tasks: int, heavy: np.ndarray, size: int, thres
                 else:
                     yield met
 
-        blocks = blocks.repartition(max(were, parts // 8), "part", "salt").sortWithinPartitions("part", "salt").mapInArrow(trimming(narrow), _BLOCK)
+        blocks = blocks.repartition(max(were, 2 ** (parts - 3)), "part", "salt").sortWithinPartitions("part", "salt").mapInArrow(trimming(narrow), _BLOCK)
     return written(blocks.repartition("part").sortWithinPartitions("part", "salt").mapInArrow(trimming(meet), "kind int, x bigint, y bigint, d bigint"), "candidates")
 
 
@@ -312,6 +335,20 @@ def around_hubs(members: DataFrame) -> DataFrame:
     return members.join(hub, "sig").select((-F.col("top.col2")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The ``pairs`` (a, b, star) without those whose sizes or sketches (doc_id, n, sketch) rule out
+    that their sets are similar. Rows with one doc_id each count."""
+    one = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("n_one"), F.col("sketch").alias("one"))
+    two = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("n_two"), F.col("sketch").alias("two"))
+    n_a, n_b = F.col("n_one"), F.col("n_two")
+    met = pairs.join(two, "b").join(one, "a").where(100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b))
+    words = F.least(F.size("one"), F.size("two"))
+    # sizes that fit differ by less than a factor of two, and so do the sketches' powers of two
+    folded = lambda c: F.when(F.size(c) > words, F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(folded("one"), folded("two"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return met.where((100 + threshold) * apart <= (100 - threshold) * (n_a + n_b)).select("a", "b").distinct()
+
+
 def confirmed(base: DataFrame, pairs: DataFrame, size: int, threshold: int) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar. A document with very many candidates as ``a`` is
     confirmed in several tasks."""
@@ -383,14 +420,14 @@ def compared_in_blocks(base: DataFrame, rest: DataFrame, sizes: DataFrame, size:
     of the largest are not compared among themselves. Texts are shipped once for each meeting of
     their block, pairs never are.
     """
-    n = sizes.withColumnRenamed("doc_id", "node")
-    per = rest.groupBy("hub", "component").agg(F.count("*").alias("docs")).groupBy("hub").agg(F.max_by("component", F.struct("docs", -F.col("component"))).alias("main"))
-    docs = rest.join(per, "hub").withColumn("is_main", F.col("component") == F.col("main")).join(n, "node")
-    need = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    blocks = docs.groupBy("hub", "is_main").agg(need.alias("blocks")).groupBy("hub").pivot("is_main", [False, True]).agg(F.first("blocks"))
-    blocks = blocks.select("hub", F.col("false").alias("left_blocks"), F.col("true").alias("main_blocks"))
-    own = F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("left_blocks"))
-    docs = docs.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("node"), own).cast("int"))
+    docs = rest.join(sizes.withColumnRenamed("doc_id", "node"), "node")
+    per = docs.groupBy("hub", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    hubs = per.groupBy("hub").agg(F.max(F.struct("docs", -F.col("component"), "n")).alias("most"), F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    count = lambda docs, n: F.ceil(F.greatest(docs / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    left_blocks = count(F.col("docs") - F.col("most.docs"), F.col("n") - F.col("most.n"))
+    hubs = written(hubs.select("hub", (-F.col("most.col2")).alias("main"), left_blocks.alias("left_blocks"), count(F.col("most.docs"), F.col("most.n")).alias("main_blocks")), "hub-blocks")
+    docs = docs.join(hubs, "hub").withColumn("is_main", F.col("component") == F.col("main"))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("left_blocks"))).cast("int"))
     numbers = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
     meeting = lambda one, two, main, left: F.struct(one.alias("one"), two.alias("two"), F.lit(main).alias("with_main"), left.alias("is_left"))
     block = F.col("block")
@@ -426,17 +463,19 @@ def similar_documents(docs: DataFrame, threshold: int = 80, size: int = 5) -> Da
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, frequent = [], [], []
+            n, digest, sketch, frequent = [], [], [], []
             for _, texts in slices(batch.column(1).to_pylist()):
                 sets = ShingleSets(texts, size)
                 n += sets.size.tolist()
                 digest += sets.digests()
+                sketch += sets.sketches().to_pylist()
                 values, times = np.unique(sets.hash, return_counts=True)
                 common = values[times >= max(5, len(texts) // 200)] & np.uint64((1 << HEAVY_BITS) - 1)
                 frequent += [common.astype(np.int64), *[None] * (len(texts) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(frequent, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "frequent"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(frequent, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketch", "frequent"])
 
-    surveyed = written(base.mapInArrow(trimming(survey), "doc_id bigint, n_shingles bigint, digest binary, frequent array<bigint>"), "sets")
+    surveyed = written(base.mapInArrow(trimming(survey), "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, frequent array<bigint>"), "sets")
     heavy = bitmap_at(surveyed.select(F.explode("frequent").alias("at")).distinct(), HEAVY_BITS)
     whole = surveyed.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest", "n_shingles")
     # equal sets are one node of the graph, named by the least doc_id
@@ -449,7 +488,9 @@ def similar_documents(docs: DataFrame, threshold: int = 80, size: int = 5) -> Da
     members = found.where("kind = 1").groupBy(F.col("x").alias("sig"), "d").agg(F.min("y").alias("node"))
     alone = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("star")).distinct()
     pairs = written(alone.union(around_hubs(members).withColumn("star", F.lit(True))), "pairs")
-    labels = components(confirmed(known, pairs.select("a", "b"), size, threshold).union(same_id))
+    sketches = surveyed.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    left = written(possible(pairs.select("a", "b").distinct(), sketches, threshold), "possible")
+    labels = components(confirmed(known, left, size, threshold).union(same_id))
 
     # members of large groups were compared with hubs only: pairs that those links do not connect follow
     around = pairs.where("star").select(F.col("a").alias("hub"), F.col("b").alias("node"))
