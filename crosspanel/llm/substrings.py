@@ -4,10 +4,11 @@ A window's minimiser is the least hash among its runs of ``MER`` words. Consecut
 minimiser (a super-k-mer) travel as one packed string to the minimiser's bucket, where the windows
 are named exactly, by sorting pairs of names of shorter windows, and the least doc_id of each name
 is found. Only super-k-mers whose minimiser occurs in two documents or more need to travel: equal
-windows have equal minimisers. Equal strings are merged before they are shuffled, and meet their
-occurrences again once their windows are settled, so that copies do not fill a bucket. A bucket of
-more than ``BUCKET_BYTES`` is dealt on by the windows' own words: its super-k-mers are cut where
-consecutive windows part.
+windows have equal minimisers. Equal texts are worked on once, and equal strings are merged before
+they are shuffled and meet their occurrences again once their windows are settled, so that copies do
+not fill a bucket; each document then loses the windows whose least doc_id is below its own. A bucket of
+more than ``BUCKET_BYTES`` is dealt on by the windows' second minimiser, the least hash but the first:
+its super-k-mers are cut where consecutive windows part.
 """
 
 from __future__ import annotations
@@ -101,6 +102,15 @@ class Words:
         first = np.repeat(first, pieces) + nth * need
         return least[first].view(np.int64), first, np.minimum(left, need)
 
+    def seconds(self, begin: np.ndarray, least: np.ndarray, k: int, m: int = MER) -> np.ndarray:
+        """The least hash but ``least`` of the windows from the words ``begin`` on."""
+        out = np.empty(len(begin), dtype=np.uint64)
+        of_each = np.lib.stride_tricks.sliding_window_view(self.mers(m), k - m + 1)
+        for at in range(0, len(begin), 10_000):
+            part = of_each[begin[at : at + 10_000]]
+            out[at : at + 10_000] = np.where(part == least[at : at + 10_000, None], np.uint64(2**64 - 1), part).min(axis=1)
+        return out
+
     def sizes(self, first: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Bytes of ``words`` words from each word ``first`` on."""
         return self.end[first + words - 1] - self.start[first] if len(first) else first
@@ -138,7 +148,8 @@ def window_names(ids: np.ndarray, k: int) -> np.ndarray:
 def owners(first: np.ndarray, last: np.ndarray, packed: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     """Which windows of the strings an earlier document than some holder has. ``first`` and
     ``last``: the least and greatest doc_id that has each string. Returns the number of the string,
-    the first word, the end, and the least doc_id of spans of windows that have one."""
+    the first word, the end, and the least doc_id of spans of windows that have one, ordered by
+    string."""
     words = b" ".join(packed).split()
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
@@ -185,12 +196,12 @@ def normal(texts: list[bytes]) -> list[bytes]:
     return [b" ".join(t.split()) for t in texts]
 
 
-def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What of ``docs`` repeats windows of documents with smaller doc_ids.
 
-    Returns two tables: every row's doc_id, text key tk, n_words and words_sha256 (of the words
-    joined by one space); and the texts of those that hold such windows, with the windows' spans
-    (doc_id, tk, text, spans).
+    Returns three tables: every row's doc_id, text key tk, n_words and words_sha256 (of the words
+    joined by one space); the texts of those that hold such windows, with the windows' spans
+    (doc_id, tk, text, spans); and the rows (doc_id, tk) that such windows cover whole.
     """
     in_small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
@@ -214,21 +225,28 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
 
     surveyed = written(base.mapInArrow(trimming(survey), f"{_DOC}, n_words bigint, words_sha256 binary, minimisers array<bigint>, sizes array<int>"), "minimisers")
     known = surveyed.where(f"n_words >= {k} AND doc_id IS NOT NULL")
-    runs = known.select("doc_id", "tk", F.posexplode(F.arrays_zip("minimisers", "sizes")).alias("nth", "run")).select("doc_id", "tk", "nth", F.col("run.minimisers").alias("minimiser"), F.col("run.sizes").alias("size"))
-    shared = runs.groupBy("minimiser").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("size").alias("bytes")).where("first < last")
+    # the first row of equal texts stands for all of them
+    holders = known.groupBy("words_sha256").agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    several = written(holders.where("n > 1").select("words_sha256", "rep", "last"), "equal-texts")
+    others = known.select("doc_id", "tk", "words_sha256").join(several, "words_sha256").where((F.col("doc_id") != F.col("rep.doc_id")) | (F.col("tk") != F.col("rep.tk"))).select("doc_id", "tk").distinct()
+    ones = known.select("doc_id", "tk", "minimisers", "sizes").join(others, ["doc_id", "tk"], "left_anti")
+    ones = ones.join(several.select("rep.*", "last"), ["doc_id", "tk"], "left").withColumn("last", F.coalesce("last", "doc_id"))
+    runs = ones.select("doc_id", "tk", "last", F.posexplode(F.arrays_zip("minimisers", "sizes")).alias("nth", "run")).select("doc_id", "tk", "last", "nth", F.col("run.minimisers").alias("minimiser"), F.col("run.sizes").alias("size"))
+    runs = written(runs, "runs")
+    shared = runs.groupBy("minimiser").agg(F.min("doc_id").alias("first"), F.max("last").alias("last"), F.sum("size").alias("bytes")).where("first < last")
     shared = written(shared.select("minimiser", F.ceil(F.col("bytes") / BUCKET_BYTES).cast("int").alias("salts")), "shared")
-    travel = runs.join(shared, "minimiser").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("nth", "salts")).alias("runs"))
+    travel = runs.join(shared, "minimiser").groupBy("doc_id", "tk").agg(F.max("last").alias("last"), F.collect_set(F.struct("nth", "salts")).alias("runs"))
     travel = written(travel, "travel")
-    texts = may_contain(base, "doc_id", membership_bitmap(travel, "doc_id")).join(travel, ["doc_id", "tk"])
+    texts = may_contain(base, "doc_id", membership_bitmap(travel, "doc_id")).dropDuplicates(["doc_id", "tk"]).join(travel, ["doc_id", "tk"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, raw in slices(batch.column(2).to_pylist()):
+            doc, key, last = (batch.column(c).to_numpy() for c in ("doc_id", "tk", "last"))
+            for at, raw in slices(batch.column("text").to_pylist()):
                 words = Words(normal(raw))
                 least, first, windows = words.runs(k)
                 cuts = np.searchsorted(words.of[first] if len(first) else first, np.arange(len(raw) + 1))
-                wanted = sorted((int(cuts[i]) + r["nth"], r["salts"]) for i, runs in enumerate(batch.column(3).slice(at, len(raw)).to_pylist()) for r in runs)
+                wanted = sorted((int(cuts[i]) + r["nth"], r["salts"]) for i, runs in enumerate(batch.column("runs").slice(at, len(raw)).to_pylist()) for r in runs)
                 chosen, salts = np.array(wanted, dtype=np.int64).reshape(-1, 2).T
                 # a window's salt follows from its words; a run is cut where the salt changes
                 of = np.repeat(chosen, windows[chosen])
@@ -236,14 +254,15 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
                 salt = np.zeros(len(of), dtype=np.int64)
                 parted = np.flatnonzero(np.repeat(salts > 1, windows[chosen]))
                 if len(parted):
-                    salt[parted] = (words.mers(k)[begin[parted]] % np.repeat(salts, windows[chosen])[parted].astype(np.uint64)).astype(np.int64)
+                    second = mixed(words.seconds(begin[parted], least[of[parted]].view(np.uint64), k))
+                    salt[parted] = (second % np.repeat(salts, windows[chosen])[parted].astype(np.uint64)).astype(np.int64)
                 lead = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (salt[1:] != salt[:-1])])) if len(of) else of
                 length = np.diff(np.append(lead, len(of)))
                 packed = [words.packed(f, n + k - 1) for f, n in zip(begin[lead].tolist(), length.tolist(), strict=True)]
                 row = words.of[begin[lead]] if len(lead) else lead
-                columns = [least[of[lead]], salt[lead].astype(np.int32), doc[at + row], key[at + row], begin[lead] - words.first[row]]
+                columns = [least[of[lead]], salt[lead].astype(np.int32), doc[at + row], key[at + row], last[at + row], begin[lead] - words.first[row]]
                 digest = [xxhash.xxh3_128_digest(p) for p in packed]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed, pa.binary()), pa.array(digest, pa.binary())], names=["minimiser", "salt", "doc_id", "tk", "start", "packed", "digest"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed, pa.binary()), pa.array(digest, pa.binary())], names=["minimiser", "salt", "doc_id", "tk", "last", "start", "packed", "digest"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -251,7 +270,10 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
 
         def done(table: pa.Table) -> pa.RecordBatch:
             of, *found = owners(table["first"].to_numpy(), table["last"].to_numpy(), table["packed"].to_pylist(), k)
-            return pa.RecordBatch.from_arrays([table["digest"].combine_chunks().take(pa.array(of)), *map(pa.array, found)], names=["digest", "a", "b", "owner"])
+            strings, begin = np.unique(of, return_index=True)
+            spans = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "owner"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(of)), pa.int32()), spans)
+            return pa.RecordBatch.from_arrays([table["digest"].combine_chunks().take(pa.array(strings, pa.int64())), lists], names=["digest", "spans"])
 
         for batch in batches:
             rest.append(batch)
@@ -269,13 +291,21 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
         if rest and sum(len(r) for r in rest):
             yield done(pa.Table.from_batches(rest).combine_chunks())
 
-    pieces = written(texts.mapInArrow(trimming(pack), f"minimiser bigint, salt int, {_DOC}, start bigint, packed binary, digest binary"), "pieces")
-    strings = pieces.groupBy("minimiser", "salt", "packed", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    named = strings.repartition("minimiser", "salt").sortWithinPartitions("minimiser", "salt").mapInArrow(trimming(count), "digest binary, a bigint, b bigint, owner bigint")
-    held = pieces.select("doc_id", "tk", "start", "digest").join(written(named, "named"), "digest").where("doc_id > owner")
-    spans = written(held.groupBy("doc_id", "tk").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans")), "spans")
-    changed = may_contain(base, "doc_id", membership_bitmap(spans, "doc_id")).join(spans, ["doc_id", "tk"])
-    return surveyed.drop("minimisers", "sizes"), changed
+    pieces = written(texts.mapInArrow(trimming(pack), f"minimiser bigint, salt int, {_DOC}, last bigint, start bigint, packed binary, digest binary"), "pieces")
+    strings = pieces.groupBy("minimiser", "salt", "packed", "digest").agg(F.min("doc_id").alias("first"), F.max("last").alias("last"))
+    named = strings.repartition("minimiser", "salt").sortWithinPartitions("minimiser", "salt").mapInArrow(trimming(count), "digest binary, spans array<struct<a: bigint, b: bigint, owner: bigint>>")
+    held = pieces.select("doc_id", "tk", "last", "start", "digest").join(written(named, "named"), "digest")
+    moved = F.transform(F.filter("spans", lambda s: s["owner"] < F.col("last")), lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b"), s["owner"].alias("owner")))
+    held = held.select("doc_id", "tk", moved.alias("spans")).groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    shas = surveyed.select("doc_id", "tk", "n_words", "words_sha256")
+    spans = written(shas.join(held, ["doc_id", "tk"]).select("words_sha256", "spans").dropDuplicates(["words_sha256"]), "spans")
+    lost = shas.where("doc_id IS NOT NULL").join(spans, "words_sha256").withColumn("spans", F.array_sort(F.filter("spans", lambda s: s["owner"] < F.col("doc_id")))).where(F.size("spans") > 0)
+    # where the spans cover all words, nothing of the text is needed
+    reach = F.aggregate("spans", F.lit(0).cast("bigint"), lambda to, s: F.when(s["a"] <= to, F.greatest(to, s["b"])).otherwise(to))
+    lost = written(lost.select("doc_id", "tk", "n_words", "spans", (reach == F.col("n_words")).alias("all")), "lost")
+    part = lost.where("NOT all").select("doc_id", "tk", "spans").dropDuplicates(["doc_id", "tk"])
+    changed = may_contain(base, "doc_id", membership_bitmap(part, "doc_id")).join(part, ["doc_id", "tk"])
+    return surveyed.drop("minimisers", "sizes"), changed, lost.where("all").select("doc_id", "tk").distinct()
 
 
 def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> DataFrame:
@@ -288,7 +318,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> Dat
     rows with equal doc_ids neither is smaller; a null doc_id neither removes nor loses words; an
     empty table gives no rows; columns other than doc_id and text are not read.
     """
-    surveyed, spanned = repeated_spans(docs, k)
+    surveyed, spanned, covered_whole = repeated_spans(docs, k)
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,9 +335,12 @@ def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), *more], names=["doc_id", "tk", "removed", "sha", *(["kept"] if with_text else [])])
 
     changed = spanned.mapInArrow(trimming(take_out), f"{_DOC}, removed bigint, sha binary{', kept string' if with_text else ''}").dropDuplicates(["doc_id", "tk"])
-    out = surveyed.join(changed, ["doc_id", "tk"], "left")
+    none = [F.col("doc_id"), F.col("tk"), F.lit(None).cast("bigint").alias("removed"), F.lit(bytearray(hashlib.sha256(b"").digest())).alias("sha")]
+    gone = covered_whole.select(*none, *([F.lit("").alias("kept")] if with_text else []))
+    out = surveyed.join(changed.unionByName(gone), ["doc_id", "tk"], "left")
+    removed = F.when(F.col("sha").isNotNull(), F.coalesce("removed", "n_words")).otherwise(0)
     more = ["tk", "kept"] if with_text else []
-    return out.select("doc_id", "n_words", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.lower(F.hex(F.coalesce("sha", "words_sha256"))).alias("kept_sha256"), *more)
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.lower(F.hex(F.coalesce("sha", "words_sha256"))).alias("kept_sha256"), *more)
 
 
 def without_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
