@@ -51,7 +51,7 @@ def funding(held: DataFrame, rates: DataFrame, most_gap_hours: int, boundary_sec
     overlaps = (F.col("at") < F.col("exit_at")) & (F.col("next_at") > F.col("entry_at"))
     edge = F.least(seconds(F.col("at"), F.col("entry_at")), seconds(F.col("at"), F.col("exit_at"))) <= boundary_seconds
     g = j.groupBy("key").agg(F.sum(F.when(inside, F.col("rate"))).alias("rate_sum"), F.count(F.when(inside, 1)).alias("n"), F.max((overlaps & (seconds(F.col("next_at"), F.col("at")) > most_gap_hours * 3600)).cast("int")).alias("gap"), F.max(edge.cast("int")).alias("edge"))
-    out = held.join(F.broadcast(span), "entity", "left").join(g, "key", "left")
+    out = held.join(span, "entity", "left").join(g, "key", "left")
     bracketed = (F.col("first_at") <= F.col("entry_at")) & (F.col("exit_at") <= F.col("last_at"))
     status = F.when(~F.coalesce(bracketed, F.lit(False)), "unbracketed").when(F.col("gap") == 1, "gap").when(F.col("edge") == 1, "boundary_uncertain").otherwise("observed")
     return out.select("key", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"), F.when(status == "observed", F.coalesce("rate_sum", F.lit(0.0)) * 10_000).alias("rate_sum_bps"))

@@ -28,7 +28,7 @@ def venue_factors(one: DataFrame, two: DataFrame) -> DataFrame:
     """Second venue against the first, on the timestamps both have: lead of the last return, log
     premium, and the premium's z-score over 24 rows, negated."""
     both = one.select("ts").distinct().join(two.select("ts").distinct(), "ts", "left_semi")
-    joined = one.select("ts", "entity", F.col("close").alias("px1")).join(F.broadcast(both), "ts", "left_semi").join(two.select("ts", "entity", F.col("close").alias("px2")), ["ts", "entity"], "left")
+    joined = one.select("ts", "entity", F.col("close").alias("px1")).join(both, "ts", "left_semi").join(two.select("ts", "entity", F.col("close").alias("px2")), ["ts", "entity"], "left")
     w = by_entity()
     premium = F.when((F.col("px1") > 0) & (F.col("px2") > 0), F.ln(F.col("px1") / F.col("px2")))
     lagged = joined.withColumn("premium", premium).withColumn("lead_1h", change(F.col("px2"), 1, w) - change(F.col("px1"), 1, w))
@@ -96,7 +96,7 @@ def purged_split(frame: DataFrame, share: float, horizon_hours: int) -> DataFram
     size = F.greatest(F.lit(1), F.floor(F.col("all") * share + 1e-9))
     slots = slots.withColumn("start", F.max(F.when(F.col("n") == F.col("all") - size + 1, F.col("ts"))).over(Window.partitionBy()))
     split = F.when(F.col("ts") >= F.col("start"), "holdout").when(F.col("ts") + F.make_interval(hours=F.lit(horizon_hours)) < F.col("start"), "train").otherwise("purged")
-    return frame.join(F.broadcast(slots.select("ts", split.alias("split"))), "ts")
+    return frame.join(slots.select("ts", split.alias("split")), "ts")
 
 
 def dense_hours(bars: DataFrame, entity: str) -> DataFrame:

@@ -114,7 +114,7 @@ def exact_returns(prices: DataFrame, slots_: DataFrame, lag_hours: int, horizon_
     def leg(name: str, hours: int) -> DataFrame:
         at = slots_.select("slot", (F.col("slot") + F.make_interval(hours=F.lit(hours))).alias("ts"))
         good = (F.count("*") == 1) & (F.min("close") > 0) & ~F.isnan(F.min("close")) & (F.max("close") < float("inf"))
-        return prices.join(F.broadcast(at), "ts").groupBy("slot", "entity").agg(F.when(good, F.min("close")).alias(name))
+        return prices.join(at, "ts").groupBy("slot", "entity").agg(F.when(good, F.min("close")).alias(name))
 
     both = leg("entry", lag_hours).join(leg("exit", lag_hours + horizon_hours), ["slot", "entity"], "full")
     ret = F.col("exit") / F.col("entry") - 1

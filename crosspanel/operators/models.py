@@ -59,7 +59,7 @@ def renamed_features(frame: DataFrame, wanted: list[str], flipped: dict[str, str
 def sensitivity(frame: DataFrame, weights: dict[str, float], feature: str, *by: str) -> DataFrame:
     """How much the score of each row moves if ``feature`` is put at its cross-section's median."""
     median = frame.groupBy(*by).agg(F.percentile(feature, 0.5).alias("_median"))
-    return frame.join(F.broadcast(median), list(by)).withColumn("delta", weights[feature] * (F.col(feature) - F.col("_median"))).drop("_median")
+    return frame.join(median, list(by)).withColumn("delta", weights[feature] * (F.col(feature) - F.col("_median"))).drop("_median")
 
 
 def promotion(candidate_ic: Column, live_ic: Column, n: Column, net: Column, floor: float = 0.04, slack: float = 0.015, least: int = 10) -> Column:

@@ -13,7 +13,7 @@ FIELDS = ("open", "high", "low", "close", "volume")
 def grid(bars: DataFrame) -> DataFrame:
     """Every ts that any entity has, for every entity. The list of entities is what is broadcast:
     it grows with the universe, not with time."""
-    return bars.select("ts").distinct().crossJoin(F.broadcast(bars.select("entity").distinct()))
+    return bars.select("ts").distinct().crossJoin(bars.select("entity").distinct())
 
 
 def forward_filled(bars: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -35,7 +35,7 @@ def ordinal(panel: DataFrame) -> DataFrame:
 
 def warmed(panel: DataFrame, rows: int) -> DataFrame:
     """Without the first ``rows`` timestamps of the grid."""
-    return panel.join(F.broadcast(ordinal(panel).where(F.col("ordinal") > rows).select("ts")), "ts", "left_semi")
+    return panel.join(ordinal(panel).where(F.col("ordinal") > rows).select("ts"), "ts", "left_semi")
 
 
 def traded_value(rows: int = 24) -> Column:
@@ -79,7 +79,7 @@ def non_overlapping(slots: DataFrame, hours: int) -> DataFrame:
 
 def every(frame: DataFrame, step: int) -> DataFrame:
     """Rows at every ``step``-th timestamp."""
-    return frame.join(F.broadcast(ordinal(frame).where((F.col("ordinal") - 1) % step == 0).select("ts")), "ts", "left_semi")
+    return frame.join(ordinal(frame).where((F.col("ordinal") - 1) % step == 0).select("ts"), "ts", "left_semi")
 
 
 def neutral(frame: DataFrame, factors: list[str], target: str) -> DataFrame:
@@ -105,10 +105,10 @@ def churn(universe: DataFrame, least_previous: int = 50) -> DataFrame:
     """Entities added and removed at each timestamp against the one before, and their share; no
     share if the universe before had fewer than ``least_previous``."""
     slots = ordinal(universe)
-    now = universe.join(F.broadcast(slots), "ts").select("entity", "ordinal")
+    now = universe.join(slots, "ts").select("entity", "ordinal")
     before = now.select("entity", (F.col("ordinal") + 1).alias("ordinal"), F.lit(1).alias("was"))
     both = now.withColumn("is", F.lit(1)).join(before, ["entity", "ordinal"], "full").groupBy("ordinal").agg(
         F.count("is").alias("n_now"), F.count("was").alias("n_before"), F.sum((F.col("is").isNotNull() & F.col("was").isNull()).cast("bigint")).alias("added"), F.sum((F.col("is").isNull() & F.col("was").isNotNull()).cast("bigint")).alias("removed")
     )
     share = F.when(F.col("n_before") >= least_previous, F.greatest("added", "removed") / F.nullif(F.col("n_now"), F.lit(0)))
-    return both.join(F.broadcast(slots), "ordinal").select("ts", "n_now", "n_before", "added", "removed", share.alias("churn"))
+    return both.join(slots, "ordinal").select("ts", "n_now", "n_before", "added", "removed", share.alias("churn"))

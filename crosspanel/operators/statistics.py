@@ -25,7 +25,7 @@ def block_bootstrap(values: DataFrame, value: str, order: str, block: int = 4, d
     starts = np.random.default_rng(seed).integers(0, n, size=(draws, blocks))
     plan = spark.createDataFrame([(d, b, int(s)) for d, row in enumerate(starts) for b, s in enumerate(row)], "draw int, block int, start bigint")
     offsets = plan.select("draw", (F.col("block") * block).alias("base"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o")).where(F.col("base") + F.col("o") < n)
-    means = offsets.withColumn("i", F.pmod(F.col("start") + F.col("o"), F.lit(n))).join(F.broadcast(data), "i").groupBy("draw").agg(F.avg("v").alias("mean"))
+    means = offsets.withColumn("i", F.pmod(F.col("start") + F.col("o"), F.lit(n))).join(data, "i").groupBy("draw").agg(F.avg("v").alias("mean"))
     return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high")).crossJoin(data.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))).select("n", "mean", "low", "high")
 
 
@@ -44,7 +44,7 @@ def power_table(values: DataFrame, value: str, order: str, effects: tuple[float,
     variance = plain.unionByName(block_variance(values, value, order, 4)).unionByName(block_variance(values, value, order, 8)).agg(F.max("variance").alias("variance"))
     grid = values.sparkSession.createDataFrame([(e, m) for e in effects for m in (1.0, 1.5, 2.0)], "effect double, multiplier double")
     n = F.greatest(F.lit(8), F.ceil(F.lit(z * z) * F.col("variance") * F.col("multiplier") / (F.col("effect") * F.col("effect"))))
-    return grid.crossJoin(F.broadcast(variance)).withColumn("n_windows", (F.ceil(n / 4) * 4).cast("bigint")).withColumn("calendar_days", F.ceil(F.col("n_windows") / 3.6).cast("bigint"))
+    return grid.crossJoin(variance).withColumn("n_windows", (F.ceil(n / 4) * 4).cast("bigint")).withColumn("calendar_days", F.ceil(F.col("n_windows") / 3.6).cast("bigint"))
 
 
 def trial_groups(rows: DataFrame, value: str, order: str) -> DataFrame:
@@ -59,4 +59,4 @@ def attribution(picks: DataFrame, value: str) -> DataFrame:
     size = F.count("*").over(Window.partitionBy("ts"))
     slots = picks.select("ts").distinct().agg(F.count("*").alias("slots"))
     part = picks.withColumn("part", F.col(value) / size)
-    return part.groupBy("entity").agg(F.sum("part").alias("part"), F.count("*").alias("n")).crossJoin(F.broadcast(slots)).select("entity", "n", (F.col("part") / F.col("slots")).alias("contribution"))
+    return part.groupBy("entity").agg(F.sum("part").alias("part"), F.count("*").alias("n")).crossJoin(slots).select("entity", "n", (F.col("part") / F.col("slots")).alias("contribution"))

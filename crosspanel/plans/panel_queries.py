@@ -17,8 +17,8 @@ ORACLES: dict[str, str] = {}
 
 #: Common table expressions that the SQL of the queries is put together from.
 CTE = {
-    "a": """bars AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 10)::VARCHAR AS entity, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
-  arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)""",
+    "a": """bars AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 10)::VARCHAR AS entity, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)""",
     "b": """bars AS (SELECT date_trunc('week', l_shipdate)::TIMESTAMP AS ts, (l_partkey % 40)::VARCHAR AS entity,
   first(p ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS open, max(p) AS high, min(p) AS low,
   last(p ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS close, sum(l_quantity) AS volume
@@ -174,8 +174,8 @@ for _name, _fields in (("reversal", FACTORS[:2]), ("volatility_inv", FACTORS[2:3
     query(_name, sql("a", "panel", "factors", body=f"SELECT {TS}, entity, {six_sql(*_fields)} FROM factors"))(lambda s, d, _fields=_fields: shown(factors_a(s, d), ["ts", "entity"], _fields))
 
 
-VENUES = """v1 AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 10)::VARCHAR AS entity, arg_max(value, ts) AS close FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
-v2 AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 10)::VARCHAR AS entity, arg_max(value, ts) AS close FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2),
+VENUES = """v1 AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 10)::VARCHAR AS entity, arg_max(value, (ts, event_id)) AS close FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+v2 AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 10)::VARCHAR AS entity, arg_max(value, (ts, event_id)) AS close FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2),
 p1 AS (SELECT ts, entity, last_value(close IGNORE NULLS) OVER w AS px FROM (SELECT * FROM (SELECT DISTINCT ts FROM v1), (SELECT DISTINCT entity FROM v1)) LEFT JOIN v1 USING (ts, entity) WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING)),
 p2 AS (SELECT ts, entity, last_value(close IGNORE NULLS) OVER w AS px FROM (SELECT * FROM (SELECT DISTINCT ts FROM v2), (SELECT DISTINCT entity FROM v2)) LEFT JOIN v2 USING (ts, entity) WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING)),
 both_v AS (SELECT p1.ts, p1.entity, p1.px AS px1, p2.px AS px2 FROM p1 LEFT JOIN p2 ON p1.ts = p2.ts AND p1.entity = p2.entity WHERE p1.ts IN (SELECT ts FROM p2)),

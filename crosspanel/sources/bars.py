@@ -12,8 +12,9 @@ def hourly(spark: SparkSession, sf_dir: str, entities: int = 10, venue: int | No
     """Hourly bars of ``events``: users in ten groups; ``venue`` takes the events of one parity."""
     e = table(spark, sf_dir, "events")
     e = e.where(F.col("event_id") % 2 == venue) if venue is not None else e
+    order = F.struct("ts", "event_id")
     return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), (F.col("user_id") % entities).cast("string").alias("entity")).agg(
-        F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").cast("double").alias("volume")
+        F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").cast("double").alias("volume")
     ).withColumnRenamed("hour", "ts")
 
 

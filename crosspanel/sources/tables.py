@@ -75,9 +75,14 @@ def broken_envelopes(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for checkpoints, in the one the session shares; local only where none is set."""
+    """A fresh folder for checkpoints, in the one the session shares. Where none is set, a temporary
+    one serves in local mode; a cluster without one is an error."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crosspanel-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="crosspanel-")
     return f"{root}/crosspanel/{name}-{uuid.uuid4().hex}"
