@@ -22,7 +22,7 @@ WORD_GAP = rb"\x20\x09-\x0D"
 BITMAP_BITS = (16, 27)
 
 #: Bytes of an Arrow batch of texts, of which the JVM and the Python worker hold several copies at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of a row group of written tables: what a task's writer holds in memory.
 ROW_GROUP_BYTES = 16 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -63,13 +63,18 @@ def trimming(run: Callable[[Batches], Batches], keeps: bool = False) -> Callable
             _KEPT.clear()
             gc.collect()  # tokenizers refer to themselves
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return trimmed
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it. Where it names none, a temporary
     folder serves in local mode; a cluster without one is an error."""

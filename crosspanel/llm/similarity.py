@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import bit_set, bitmap_at, in_small_batches, marked, may_contain, membership_bitmap, trimming, written
+from crosspanel.llm.common import bit_set, bitmap_at, give_back, in_small_batches, marked, may_contain, membership_bitmap, trimming, written
 from crosspanel.llm.components import components
 from crosspanel.llm.substrings import Words, mixed, slices
 
@@ -376,11 +376,12 @@ def components_joined(texts: list[str | None], component: np.ndarray, left: int,
     """The components that links of the first ``left`` texts with the others (or among all, if
     ``left`` is their number) join: fewer pairs than there are components. Intersections of all pairs
     come from products of incidence matrices over the shingles that two texts or more have."""
-    sets = ShingleSets([(t or "").encode("utf-8", "replace") for t in texts], size)
-    _, column, times = np.unique(sets.hash, return_inverse=True, return_counts=True)
+    portions = [(at, ShingleSets(part, size)) for at, part in slices(texts)]
+    of, sizes = np.concatenate([at + s.of for at, s in portions]), np.concatenate([s.size for _, s in portions])
+    _, column, times = np.unique(np.concatenate([s.hash for _, s in portions]), return_inverse=True, return_counts=True)
     often = times[column] > 1
     number = np.cumsum(times > 1) - 1
-    row, column = sets.of[often], number[column[often]]
+    row, column = of[often], number[column[often]]
     same = left == len(texts)
     right = np.arange(0 if same else left, len(texts))
     both = np.zeros((left, len(right)), dtype=np.float32)
@@ -392,7 +393,7 @@ def components_joined(texts: list[str | None], component: np.ndarray, left: int,
         m = np.zeros((len(texts), step), dtype=np.float32)
         m[row[part], column[part] - lo] = 1
         both += m[:left] @ m[right].T
-    either = sets.size[:left, None] + sets.size[right][None, :] - both
+    either = sizes[:left, None] + sizes[right][None, :] - both
     hit = (both > 0) & (100 * both >= threshold * either) & (component[:left, None] != component[right][None, :])
     if same:
         hit = np.triu(hit)
@@ -443,6 +444,7 @@ def compared_in_blocks(base: DataFrame, rest: DataFrame, sizes: DataFrame, size:
         alone = key[1].as_py() == key[2].as_py() and not key[3].as_py()  # a block with itself
         left = len(table) if alone else int(np.count_nonzero(table["is_left"].to_numpy()))
         found = components_joined(table["text"].to_pylist(), table["component"].to_numpy(), left, size, threshold) if left else []
+        give_back()
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return written(met.groupBy("hub", "one", "two", "with_main").applyInArrow(compare, "a bigint, b bigint").distinct(), "block-links")

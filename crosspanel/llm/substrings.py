@@ -30,6 +30,8 @@ MER = 8
 BUCKET_BYTES = 4 << 20
 #: Bytes of text, and words, that are worked on at a time.
 SLICE_BYTES, SLICE_WORDS = 1_000_000, 400_000
+#: Words hashed at a time: eight bytes and more for each of their characters are held.
+HASHED_WORDS = 1 << 15
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,11 +63,15 @@ class Words:
         length = self.end - self.start
         with np.errstate(over="ignore"):
             power = np.cumprod(np.full(int(length.max()), _BASE, dtype=np.uint64))
-            used = data[~gap]
-            begin = np.cumsum(length) - length
-            value = power[np.arange(len(used), dtype=np.int32) - np.repeat(begin.astype(np.int32), length)]
-            value *= used.astype(np.uint64) + np.uint64(1)
-            self.hash = mixed(np.add.reduceat(value, begin))
+            self.hash = np.empty(len(length), dtype=np.uint64)
+            for lo in range(0, len(length), HASHED_WORDS):
+                size = length[lo : lo + HASHED_WORDS]
+                span = slice(self.start[lo], self.end[lo + len(size) - 1])
+                used = data[span][~gap[span]]
+                begin = np.cumsum(size) - size
+                value = power[np.arange(len(used), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)]
+                value *= used.astype(np.uint64) + np.uint64(1)
+                self.hash[lo : lo + len(size)] = mixed(np.add.reduceat(value, begin))
 
     def mers(self, m: int) -> np.ndarray:
         """Hash of the ``m`` words from each word on (of those that have as many after them)."""
