@@ -177,8 +177,8 @@ def reviews_known(s: SparkSession, d: str) -> DataFrame:
     return wf.latest_known(slots, known, "id").select("id", F.coalesce("verdict.verdict", F.lit("none")).alias("verdict"))
 
 
-@query("reliability_tags", "SELECT o_orderstatus AS side, CASE WHEN n_name < 'F' THEN 'proven' ELSE '' END AS tag, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
-def reliability_tags(s: SparkSession, d: str) -> DataFrame:
+@query("tagged_orders", "SELECT o_orderstatus AS side, CASE WHEN n_name < 'F' THEN 'proven' ELSE '' END AS tag, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
+def tagged_orders(s: SparkSession, d: str) -> DataFrame:
     tags = table(s, d, "nation").where("n_name < 'F'").select(F.col("n_nationkey").alias("c_nationkey"), F.lit("proven").alias("tag"))
     rows = table(s, d, "orders").join(table(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderstatus", "c_nationkey")
     return wf.tagged(rows, tags, ["c_nationkey"]).groupBy(F.col("o_orderstatus").alias("side"), "tag").agg(F.count("*").alias("n"))
