@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,7 +21,13 @@ def connect(sf_dir: str):
 
 def rows(frame) -> list[str]:
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+
+    def plain(v):
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return None
+        v = v.item() if hasattr(v, "item") else v
+        return int(v) if isinstance(v, float) and v.is_integer() else v  # whole numbers beside nulls come as floats
+
     return sorted(repr([plain(v) for v in r]) for r in frame.itertuples(index=False, name=None))
 
 
