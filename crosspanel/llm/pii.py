@@ -26,8 +26,16 @@ DAY_DATE = r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9]|[./][0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})(?![0-9])"
-PHONE = r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
-ANY = "|".join([MAIL, ACCESS_KEY, SECRET, ISO_DATE, DAY_DATE, IPV4, SSN, CARD, PHONE])
+#: The country calling codes of ITU E.164, those of one, two and three digits.
+CALLING = (
+    r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+    r"|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[7-9][0-9]|8[03578][0-9]|96[0-8]|97[0-79]|99[2-68])"
+)
+#: Numbers with a calling code, and North American ones (area and exchange from 200 on) in three groups
+#: set apart by parentheses, hyphens or dots. Digits grouped in another way are no telephone numbers.
+INTERNATIONAL = rf"(?<![A-Za-z0-9+])\+{CALLING}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})){{2,6}}+(?![0-9])"
+NATIONAL = r"(?<![A-Za-z0-9(.-])(?:\([2-9][0-9]{2}\) ?[2-9][0-9]{2}-|[2-9][0-9]{2}([.-])[2-9][0-9]{2}\4)[0-9]{4}(?![0-9]|[.-][0-9])"
+ANY = "|".join([MAIL, ACCESS_KEY, SECRET, ISO_DATE, DAY_DATE, IPV4, SSN, CARD, NATIONAL, INTERNATIONAL])
 
 #: A text with neither of these holds none of the above.
 HINT = r"[@0-9]|(?i:password|passwd|token|secret|api_?key)"
@@ -96,10 +104,37 @@ def _card(m: Column, key: str) -> Column:
     return F.when(luhn_digit(payload) == F.substring(digits, F.length(digits), F.lit(1)), refill(m, "0-9", filled)).otherwise(m)
 
 
+def permuted(numbers: Column, sizes: Column, key: str) -> Column:
+    """Permute tuples of whole numbers from 0 to below their ``sizes``: in turn each is shifted, modulo
+    its size, by a keyed digest of the others."""
+
+    def step(state: Column, i: Column) -> Column:
+        at = F.pmod(i, F.size(state))
+        others = F.array_join(F.transform(state, lambda x, j: F.when(j == at, F.lit("")).otherwise(x.cast("string"))), ",")
+        code = F.conv(F.substring(F.sha2(F.concat(F.lit(key + "|"), i.cast("string"), F.lit("|"), others), 256), 1, 12), 16, 10).cast("bigint")
+        return F.transform(state, lambda x, j: F.when(j == at, F.pmod(x + code, F.element_at(sizes, j + 1))).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(0), 3 * F.size(sizes) - 1), numbers.cast("array<bigint>"), step)
+
+
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .-])", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, refill(rest, "0-9", feistel(only(rest, "0-9"), DIGITS, key + "phone")))
+    """The calling code stays. Ten digits of North America keep what area and exchange they may have:
+    those from 200 on stay so."""
+    digits = only(m, "0-9")
+    code = F.regexp_extract(m, rf"^\+({CALLING})", 1)
+    national = F.substring(digits, F.length(code) + 1, F.length(digits))
+    groups = F.array(*[F.substring(national, a, n).cast("bigint") for a, n in ((1, 3), (4, 3), (7, 4))])
+    least = F.transform(groups, lambda g, i: F.when((i < 2) & (g >= 200), 200).otherwise(0).cast("bigint"))
+    sizes = F.transform(least, lambda low, i: F.when(i == 2, 10_000).when(low == 200, 800).otherwise(200).cast("bigint"))
+    moved = F.zip_with(permuted(F.zip_with(groups, least, lambda g, low: g - low), sizes, key + "phone"), least, lambda g, low: (g + low).cast("string"))
+    american = F.array_join(F.transform(moved, lambda g, i: F.lpad(g, F.when(i == 2, 4).otherwise(3), F.lit("0"))), "")
+    new = F.when(code.isin("", "1"), american).otherwise(feistel(national, DIGITS, key + "phone", code))
+    return refill(m, "0-9", F.concat(code, new))
+
+
+def is_phone(m: Column, digits: Column) -> Column:
+    """A match of the telephone patterns that has as many ``digits`` as its calling code wants."""
+    return m.rlike(r"^[+(2-9]") & F.when(m.startswith("+1"), digits == 11).when(m.startswith("+"), (digits >= 8) & (digits <= 15)).otherwise(digits == 10)
 
 
 def _date(m: Column, pattern: Column, key: str) -> Column:
@@ -140,27 +175,32 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _ipv4(m, key))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), refill(m, "0-9", feistel(only(m, "0-9"), DIGITS, key + "ssn")))
         .when(m.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$"), _card(m, key))
-        .when(m.rlike(r"^[+0-9(][0-9 ().-]+$") & (n >= 8) & (n <= 15), _phone(m, key))
+        .when(m.rlike(r"^[+0-9(][0-9 ().-]+$") & is_phone(m, n), _phone(m, key))
         .when(m.rlike("[A-Za-z_/]") & ~m.rlike("^[+(]"), refill(m, "A-Za-z0-9", feistel(only(m, "A-Za-z0-9"), MIXED, key + "secret")))
         .otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | None = "n_pseudonyms") -> DataFrame:
     """``docs`` with pseudonyms under a secret ``key`` in its text column, and a last column
-    n_pseudonyms (spans replaced).
+    ``counted`` (spans replaced), if it is to have one.
 
     Null texts stay null with 0; empty texts and texts without personal data stay as they are;
-    repeated rows stay repeated; every other column is kept, but one named n_pseudonyms, which is
-    replaced. An empty table gives an empty table. Texts are read whole.
+    repeated rows stay repeated; every other column is kept, whatever its name, but one named as
+    ``counted``, which is replaced. An empty table gives an empty table. Texts are read whole. An empty
+    key is an error.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    has = F.col(text).rlike(HINT)
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     empty = F.array().cast("array<string>")
-    out = docs.withColumn("n_pseudonyms", F.when(has, found).otherwise(empty))
-    out = out.withColumn("n_pseudonyms", F.transform("n_pseudonyms", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
+    # the row is one column beside the work, so that no name of its columns can clash
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != counted]).alias("row"), F.col(f"`{text}`").alias("text"))
+    out = out.withColumn("spans", F.when(F.col("text").rlike(HINT), found).otherwise(empty))
+    out = out.withColumn("spans", F.transform("spans", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
     # texts without a match are passed on; the others are cut at the matches and joined again
-    parts = F.zip_with(F.split(F.col(text), ANY, -1), "n_pseudonyms", lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit(""))))
-    changed = F.size(F.filter("n_pseudonyms", lambda x: x["old"] != x["new"]))
-    columns = [F.when(F.size("n_pseudonyms") > 0, F.array_join(parts, "")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_pseudonyms"]
-    return out.select(*columns, F.coalesce(changed, F.lit(0)).cast("bigint").alias("n_pseudonyms"))
+    parts = F.zip_with(F.split("text", ANY, -1), "spans", lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit(""))))
+    changed = F.size(F.filter("spans", lambda x: x["old"] != x["new"]))
+    new = F.when(F.size("spans") > 0, F.array_join(parts, "")).otherwise(F.col("text"))
+    columns = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != counted]
+    return out.select(*columns, *([F.coalesce(changed, F.lit(0)).cast("bigint").alias(counted)] if counted else []))

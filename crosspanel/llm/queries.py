@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,15 @@ from crosspanel.llm.urls import filter_urls
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+#: The key of this process, where the session names none.
+_OWN_KEY = token_hex(32)
+
+
 def pseudonym_key(spark: SparkSession) -> str:
-    """The session's secret, spark.crosspanel.pseudonymKey; tables without secrets need none."""
-    return spark.conf.get("spark.crosspanel.pseudonymKey", "for invented data only")
+    """The session's secret, spark.crosspanel.pseudonymKey. Where it names none, a key is drawn at
+    random that no one knows and that ends with the process: pseudonyms made under it are linked among
+    each other, not with those of other runs."""
+    return spark.conf.get("spark.crosspanel.pseudonymKey", None) or _OWN_KEY
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
-NAMES = "maybe bit_at bit_block bit_map kept key at block bytes changed_id new_text tk goes n kept_0 lang_pred score n_pseudonyms old new start length nth group".split()
+NAMES = "maybe bit_at bit_block bit_map kept key at block bytes changed_id new_text tk goes n kept_0 lang_pred score n_pseudonyms old new start length nth group row spans".split() + ["own n_pseudonyms", "a.b"]
 
 
 @pytest.mark.parametrize("stage", ["language", "near_duplicates", "substrings", "pii"])
@@ -176,6 +176,13 @@ def test_stages_with_odd_rows_and_clashing_names(spark, stage):
     assert (4 in {r.doc_id for r in found}) == (stage != "language") and 7 in {r.doc_id for r in found}
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
 def test_packing_stage_with_odd_rows(spark):
     import corpus_pipeline as cp
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosspanel.llm import bpe, components, fingerprints, language, packing, pii, similarity, substrings, urls
-from crosspanel.llm.queries import ORACLES, QUERIES
+from crosspanel.llm.queries import ORACLES, QUERIES, pseudonym_key
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, label string"
@@ -486,6 +487,55 @@ def test_mail_addresses_keep_case_and_digits(spark):
     assert got[1][0].lower() == got[1][2].lower() and got[1][2] == got[3][0] != old[3][0]
 
 
+def test_telephone_numbers_are_validated(spark):
+    plain = ["2021 100 2000 items", "12 345 678 units", "pages 100-2000-3000", "+999 12 34 5678", "555-1234", "call +1 212 555 01875", "id 1-212-555-0187-4", "0.212.555.0187", "112-555-0187"]
+    phones = ["+1 (988) 555-2485", "+1 988 555 2485", "(212) 555-0187", "212-555-0187", "212.555.0187", "+1 (017) 555-7713", "+49 30 1234567", "+44 20 7946 0958", "+33 1 42 68 53 00", "+34912345678"]
+    rows = [*enumerate(plain), *enumerate([f"Call {p}. Or not" for p in phones], 100)]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, rows), "key").collect()}
+    assert all(got[i].text == t and got[i].n_pseudonyms == 0 for i, t in enumerate(plain))
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    new = [got[100 + i].text[5:-8] for i in range(len(phones))]
+    for old, p in zip(phones, new, strict=True):
+        assert shape(p) == shape(old) and p != old
+    digits = [re.sub("[^0-9]", "", p)[-10:] for p in new]
+    assert digits[0] == digits[1] and digits[2] == digits[3] == digits[4]  # one number, however it is written
+    assert all(d[0] > "1" and d[3] > "1" for d in digits[:5]) and digits[5][0] in "01"
+    assert [p[:3] for p in new[6:]] == ["+49", "+44", "+33", "+34"]
+
+
+def test_tuples_are_permuted(spark):
+    sizes = (8, 2, 10)
+    every = [[a, b, c] for a in range(8) for b in range(2) for c in range(10)]
+    got = spark.createDataFrame([(x,) for x in every], "v array<bigint>").select(pii.permuted(F.col("v"), F.array(*[F.lit(s).cast("bigint") for s in sizes]), "k").alias("p")).collect()
+    assert sorted(r.p for r in got) == every and sum(r.p == x for r, x in zip(got, every, strict=True)) < 10
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_pseudonyms_of_the_documents(spark):
+    """Every card with a valid checksum, mail address, number with a calling code and access key goes;
+    all words without a digit or mark stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    new = {r.doc_id: r.text for r in pii.pseudonymise(docs, "key").collect()}
+    cards = lambda t: {m for m in re.findall(r"(?<!\d)\d{16}(?!\d)", t) if sum(sum(divmod(2 * int(x), 10)) if i % 2 == 0 else int(x) for i, x in enumerate(m)) % 10 == 0}
+    found = 0
+    for r in docs.collect():
+        old, now = r.text or "", new[r.doc_id] or ""
+        for hit in [*cards(old), *re.findall(r"[\w.]+@[\w.]+\.\w+", old), *re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", old), *re.findall(r"\bAKIA[A-Z0-9]{16}\b", old)]:
+            found += 1
+            assert hit not in now
+        plain = lambda t: [w for w in t.split() if re.fullmatch(r"[^\W\d_]+", w)]
+        assert plain(old) == plain(now)
+    assert found > 10
+
+
+def test_keys_are_needed(spark, odd):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(odd, "")
+    named = odd.select("*", F.lit(1).alias("a.b"), F.lit(2).alias("n_pseudonyms"), F.lit(3).alias("own n_pseudonyms"))
+    assert pii.pseudonymise(named, "key", counted=None).dtypes == named.dtypes
+    assert pseudonym_key(spark) == pseudonym_key(spark) and len(pseudonym_key(spark)) == 64
+
+
 def feistel_by_hand(value: str, alphabet: str, key: str) -> str:
     a, b = value[: len(value) // 2], value[len(value) // 2 :]
     for i in range(1, pii.ROUNDS + 1):
