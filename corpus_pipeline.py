@@ -45,11 +45,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal data, under the session's key.
 
-    Null texts stay null; texts without personal data stay as they are; a column n_pseudonyms of the
-    input is not overwritten.
+    Null texts stay null; texts without personal data stay as they are. Without a key of the session
+    one is drawn at random for this run.
     """
-    made = pseudonymise(docs.withColumnRenamed("n_pseudonyms", "own n_pseudonyms"), pseudonym_key(spark))
-    made = made.drop("n_pseudonyms").withColumnRenamed("own n_pseudonyms", "n_pseudonyms")
+    made = pseudonymise(docs, pseudonym_key(spark), counted=None)
     return made.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
