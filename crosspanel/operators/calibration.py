@@ -42,7 +42,7 @@ def predict(scores: DataFrame, calibration: DataFrame, volatility: DataFrame) ->
     """Direction, sigma, tier and size, expected outcome and its 95 % band for each score of one
     batch. The band comes from the entity's own volatility, else from the bucket's spread."""
     s = scores.where("score IS NOT NULL").withColumn("sigma", F.abs("score") / F.nullif(F.stddev_samp("score").over(Window.partitionBy()), F.lit(0.0))).where("sigma IS NOT NULL")  # one batch: one row an entity
-    s = s.withColumn("bucket", bucket(F.col("sigma"))).join(F.broadcast(calibration.drop("n")), "bucket", "left").join(F.broadcast(volatility), "entity", "left")
+    s = s.withColumn("bucket", bucket(F.col("sigma"))).join(F.broadcast(calibration.drop("n")), "bucket", "left").join(volatility, "entity", "left")
     direction = F.when(F.col("score") > 0, 1).otherwise(-1)
     expected = direction * F.col("mean_signed_pct")
     spread = F.coalesce(F.col("volatility") * 100, F.col("std_pct"))

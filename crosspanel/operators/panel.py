@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import by_entity, by_time, full
+from crosspanel.operators.chains import carried
 
 FIELDS = ("open", "high", "low", "close", "volume")
 
@@ -65,16 +68,16 @@ def anchored(ts: str, hours: tuple[int, ...]) -> Column:
 
 
 def non_overlapping(slots: DataFrame, hours: int) -> DataFrame:
-    """Greedy choice of slots (ts): each at least ``hours`` after the last one chosen. A fold over
-    the list of distinct slots, which is as long as the calendar, not as the data."""
-    gap = F.make_interval(hours=F.lit(hours))
+    """Greedy choice of slots (ts): each at least ``hours`` after the last one chosen, which is all
+    that is remembered."""
+    gap = timedelta(hours=hours)
 
-    def step(kept: Column, ts: Column) -> Column:
-        return F.when((F.size(kept) == 0) | (ts >= F.element_at(kept, -1) + gap), F.array_append(kept, ts)).otherwise(kept)
+    def step(last, slot):  # noqa: ANN001, ANN202
+        ts = slot["ts"]
+        return (ts, [(ts,)]) if last is None or ts >= last + gap else (last, [])
 
-    listed = slots.agg(F.array_sort(F.collect_set("ts")).alias("all"))
-    start = F.array().cast("array<timestamp_ntz>")
-    return listed.select(F.explode(F.aggregate("all", start, step)).alias("ts"))
+    kind = slots.schema["ts"].dataType.simpleString()
+    return carried(slots.select("ts").where("ts IS NOT NULL").distinct(), [], ["ts"], step, f"ts {kind}")
 
 
 def every(frame: DataFrame, step: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import by_time, ratio, t_stat
+from crosspanel.operators.chains import carried
 
 NAMES = "array<string>"
 
@@ -17,34 +18,36 @@ def top_k(scores: DataFrame, k: int, ascending: bool = False, *by: str) -> DataF
 
 
 def ranked_slots(scores: DataFrame, depth: int, *by: str) -> DataFrame:
-    """One row per slot: the ``depth`` best and worst names in order. Only these travel, not the
-    whole cross-section."""
-    best = top_k(scores, depth, False, *by, "ts").groupBy(*by, "ts").agg(F.array_sort(F.collect_list(F.struct("place", "entity"))).alias("best"))
-    worst = top_k(scores, depth, True, *by, "ts").groupBy(*by, "ts").agg(F.array_sort(F.collect_list(F.struct("place", "entity"))).alias("worst"))
-    return best.join(worst, [*by, "ts"]).select(*by, "ts", F.col("best.entity").alias("best"), F.col("worst.entity").alias("worst"))
+    """One row per slot: the ``depth`` best and worst names in order. One shuffle ranks both ends;
+    only they are gathered, not the whole cross-section."""
+    w = Window.partitionBy(*by, "ts")
+    ends = scores.where("score IS NOT NULL").select(
+        *by, "ts", "entity", F.row_number().over(w.orderBy(F.desc("score"), "entity")).alias("high"), F.row_number().over(w.orderBy("score", "entity")).alias("low")
+    ).where((F.col("high") <= depth) | (F.col("low") <= depth))
+    named = lambda place: F.array_sort(F.collect_list(F.when(F.col(place) <= depth, F.struct(place, "entity"))))["entity"]
+    return ends.groupBy(*by, "ts").agg(named("high").alias("best"), named("low").alias("worst"))
 
 
 def buffered(slots: DataFrame, long_n: int, short_n: int, buffer: int, *by: str) -> DataFrame:
     """Buffered selection: a held name stays while it is among the first n + buffer. What is held
-    depends on the slot before, so each strategy's slots are folded in order, one row a strategy,
-    as long as its calendar. Returns by, ts, longs, shorts, prev_longs, prev_shorts."""
-
-    def within(names: Column, n: int) -> Column:
-        return F.slice(names, 1, n) if n else F.array().cast(NAMES)
-
-    def step(state: Column, slot: Column) -> Column:
-        first = (F.size(state["longs"]) == 0) & (F.size(state["shorts"]) == 0) | F.lit(buffer <= 0)
-        keep_l = F.filter(within(slot["best"], long_n + buffer if long_n else 0), lambda m: F.array_contains(state["longs"], m))
-        longs = F.when(first, within(slot["best"], long_n)).otherwise(F.slice(F.concat(keep_l, F.array_except(within(slot["best"], long_n), keep_l)), 1, max(long_n, 1)))
-        keep_s = F.filter(within(slot["worst"], short_n + buffer if short_n else 0), lambda m: F.array_contains(state["shorts"], m) & ~F.array_contains(longs, m))
-        new_s = F.array_except(F.array_except(within(slot["worst"], short_n), keep_s), longs)
-        shorts = F.when(first, within(slot["worst"], short_n)).otherwise(F.slice(F.concat(keep_s, new_s), 1, max(short_n, 1)))
-        return F.struct(longs.alias("longs"), shorts.alias("shorts"), F.array_append(state["out"], F.struct(slot["ts"].alias("ts"), longs.alias("longs"), shorts.alias("shorts"), state["longs"].alias("prev_longs"), state["shorts"].alias("prev_shorts"))).alias("out"))
-
-    none = F.array().cast(NAMES)
-    start = F.struct(none.alias("longs"), none.alias("shorts"), F.array().cast("array<struct<ts:timestamp_ntz,longs:array<string>,shorts:array<string>,prev_longs:array<string>,prev_shorts:array<string>>>").alias("out"))
-    folded = slots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", "best", "worst"))).alias("slots"))
-    return folded.select(*by, F.explode(F.aggregate("slots", start, step, lambda s: s["out"])).alias("s")).select(*by, "s.*")
+    depends on the slot before: each strategy's slots are gone through in order, with the last baskets
+    as the only state. Returns by, ts, longs, shorts, prev_longs, prev_shorts."""
+
+    def step(state, slot):  # noqa: ANN001, ANN202
+        held_l, held_s = state or ([], [])
+        best, worst = slot["best"] or [], slot["worst"] or []
+        if buffer <= 0 or not (held_l or held_s):
+            longs, shorts = best[:long_n], worst[:short_n]
+        else:
+            stay = [m for m in best[: long_n + buffer] if m in held_l]
+            longs = (stay + [m for m in best[:long_n] if m not in stay])[:long_n]
+            stay = [m for m in worst[: short_n + buffer] if m in held_s and m not in longs]
+            shorts = (stay + [m for m in worst[:short_n] if m not in stay and m not in longs])[:short_n]
+        return (longs, shorts), [(*[slot[c] for c in by], slot["ts"], longs, shorts, held_l, held_s)]
+
+    kinds = {f.name: f.dataType.simpleString() for f in slots.schema}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*by, "ts")], *[f"{c} {NAMES}" for c in ("longs", "shorts", "prev_longs", "prev_shorts")]])
+    return carried(slots.select(*by, "ts", "best", "worst"), list(by), ["ts"], step, schema)
 
 
 def new_share(now: str, before: str) -> Column:
@@ -97,7 +100,7 @@ def pnl_stats(pnl: DataFrame, periods_per_year: float, *by: str) -> DataFrame:
 
 def beta_to(pnl: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Beta of a P&L series to the benchmark's returns (ts, bench)."""
-    both = pnl.join(F.broadcast(benchmark), "ts").where("bench IS NOT NULL")
+    both = pnl.join(benchmark, "ts").where("bench IS NOT NULL")
     return both.agg(F.when(F.count("*") > 3, ratio(F.covar_samp("net", "bench"), F.var_samp("bench"))).alias("beta"))
 
 
@@ -118,7 +121,7 @@ def long_economics(scores: DataFrame, returns: DataFrame, active: DataFrame, top
     """Top-n slots: (ts, n_picks, turnover, gross, net). A missing return voids the slot, the next
     rank never steps in; a slot where ``active`` (ts, active) does not hold resets the holdings."""
     slots = top_k(scores, top).join(returns, ["ts", "entity"], "left").groupBy("ts").agg(F.count("*").alias("n_picks"), F.count("ret").alias("n_ret"), F.avg("ret").alias("mean_ret"), F.collect_set("entity").alias("picks"))
-    slots = slots.join(F.broadcast(active), "ts", "left").withColumn("active", F.coalesce("active", F.lit(False)))
+    slots = slots.join(active, "ts", "left").withColumn("active", F.coalesce("active", F.lit(False)))
     before = F.lag(F.when(F.col("active"), F.col("picks"))).over(Window.orderBy("ts"))  # one row a slot
     s = slots.withColumn("before", F.coalesce(before, F.array().cast(NAMES))).where("active")
     gross = F.when(F.col("n_ret") == F.col("n_picks"), F.col("mean_ret"))
@@ -127,22 +130,19 @@ def long_economics(scores: DataFrame, returns: DataFrame, active: DataFrame, top
 
 
 def quality_shorts(candidates: DataFrame, n: int, entry_sigma: float, stay_sigma: float, least_net: float) -> DataFrame:
-    """Shorts by score with thresholds that are milder for held names; folded over the slots.
+    """Shorts by score with thresholds that are milder for held names, slot by slot.
     ``candidates``: ts, entity, score, sigma, expected_net, consensus. Returns ts and shorts."""
     c = candidates.where("score < 0").withColumn("place", F.row_number().over(by_time().orderBy("score", "entity")))
     c = c.where((F.col("consensus") | (F.col("sigma") >= 2)) & (F.col("sigma") >= min(entry_sigma, stay_sigma)) & (F.col("expected_net") >= min(0.0, least_net)))
     slots = candidates.select("ts").distinct().join(c.groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("place", "entity", "sigma", "expected_net"))).alias("names")), "ts", "left")
 
-    def step(state: Column, slot: Column) -> Column:
-        held = state["shorts"]
-        fit = F.filter(slot["names"], lambda x: F.when(F.array_contains(held, x["entity"]), (x["sigma"] >= stay_sigma) & (x["expected_net"] >= 0)).otherwise((x["sigma"] >= entry_sigma) & (x["expected_net"] >= least_net)))
-        shorts = F.slice(F.transform(F.coalesce(fit, F.filter(slot["names"], lambda x: F.lit(False))), lambda x: x["entity"]), 1, n)
-        shorts = F.coalesce(shorts, F.array().cast(NAMES))
-        return F.struct(shorts.alias("shorts"), F.array_append(state["out"], F.struct(slot["ts"].alias("ts"), shorts.alias("shorts"))).alias("out"))
+    def step(held, slot):  # noqa: ANN001, ANN202
+        held = held or []
+        fits = lambda x: x["sigma"] >= stay_sigma and x["expected_net"] >= 0 if x["entity"] in held else x["sigma"] >= entry_sigma and x["expected_net"] >= least_net
+        shorts = [x["entity"] for x in slot["names"] or [] if x["sigma"] is not None and x["expected_net"] is not None and fits(x)][:n]
+        return shorts, [(slot["ts"], shorts)]
 
-    start = F.struct(F.array().cast(NAMES).alias("shorts"), F.array().cast("array<struct<ts:timestamp_ntz,shorts:array<string>>>").alias("out"))
-    folded = slots.agg(F.array_sort(F.collect_list(F.struct("ts", "names"))).alias("slots"))
-    return folded.select(F.explode(F.aggregate("slots", start, step, lambda s: s["out"])).alias("s")).select("s.*")
+    return carried(slots, [], ["ts"], step, f"ts {slots.schema['ts'].dataType.simpleString()}, shorts {NAMES}")
 
 
 def daily(legs: DataFrame, value: str) -> DataFrame:

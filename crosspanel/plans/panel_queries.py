@@ -395,7 +395,7 @@ def regime_bull(s, d):  # noqa: ANN001, ANN201
 
 @query("regime_slice", sql("a", "panel", "factors", "scored", "ics", REGIME, body="SELECT regime, count(*) AS n, round(avg(ic), 6) + 0.0::DOUBLE AS mean_ic, round(avg((round(ic, 12) > 0)::INT), 6) AS hit FROM ics JOIN regime USING (ts) WHERE ic IS NOT NULL GROUP BY regime"))
 def regime_slice(s, d):  # noqa: ANN001, ANN201
-    joined = ics_a(s, d).where("ic IS NOT NULL").join(F.broadcast(regime_a(s, d).select("ts", "regime")), "ts")
+    joined = ics_a(s, d).where("ic IS NOT NULL").join(regime_a(s, d).select("ts", "regime"), "ts")
     return shown(joined.groupBy("regime").agg(F.count("*").alias("n"), F.avg("ic").alias("mean_ic"), F.avg((F.round("ic", 12) > 0).cast("double")).alias("hit")), ["regime", "n"], ["mean_ic", "hit"])
 
 
