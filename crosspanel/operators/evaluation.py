@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import average_rank, by_time, correlation, t_stat
+from crosspanel.sources.tables import kept_table
 
 
 def rank_ic(frame: DataFrame, score: str, target: str, keys: tuple[str, ...] = ("ts",), least: int = 5, distinct: int = 1) -> DataFrame:
@@ -17,6 +18,26 @@ def rank_ic(frame: DataFrame, score: str, target: str, keys: tuple[str, ...] = (
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), ic.alias("ic")).where(F.col("n") >= least)
 
 
+def pooled_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the average rank of ``column`` over all of them: ranges of values are dealt out and
+    written, ranked within, and shifted by the rows of the ranges before. Equal values share a range; the
+    driver sees a count for each range."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept_table(rows.repartitionByRange(ranges, column).withColumn("_range", F.spark_partition_id()), "ranks")
+    before, shifts = 0, []
+    for r in sorted(dealt.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
+        shifts.append((r["_range"], before))
+        before += r["count"]
+    table = rows.sparkSession.createDataFrame(shifts, "_range int, _before bigint")
+    return dealt.join(F.broadcast(table), "_range").withColumn(name, F.col("_before") + average_rank(column, "_range")).drop("_range", "_before")
+
+
+def pooled_ic(frame: DataFrame, score: str, target: str) -> DataFrame:
+    """n and Spearman correlation of score and target over all rows together."""
+    rows = frame.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(F.col(score).alias("s"), F.col(target).alias("t"))
+    return pooled_ranks(pooled_ranks(rows, "s", "rs"), "t", "rt").agg(F.count("*").alias("n"), correlation("rs", "rt").alias("ic"))
+
+
 def summary(ics: DataFrame, *by: str) -> DataFrame:
     """Mean, spread, t and number of an IC series."""
     return ics.where("ic IS NOT NULL").groupBy(*by).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), t_stat("ic").alias("t_stat"), F.count("*").alias("n"))

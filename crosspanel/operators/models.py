@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,35 @@ def sensitivity(frame: DataFrame, weights: dict[str, float], feature: str, *by:
     return frame.join(median, list(by)).withColumn("delta", weights[feature] * (F.col(feature) - F.col("_median"))).drop("_median")
 
 
-def promotion(candidate_ic: Column, live_ic: Column, n: Column, net: Column, floor: float = 0.04, slack: float = 0.015, least: int = 10) -> Column:
-    """Whether a candidate may replace the live model."""
-    return F.when(candidate_ic < floor, "below_floor").when(candidate_ic < live_ic - slack, "worse").when((n < least) | (net <= 0), "economics").otherwise("promote")
+def promotion(new_ic: Column, old_ic: Column, horizon: Column, n: Column, net: Column, force: Column | None = None, delta: float = -0.015, floor: float = 0.04, least: int = 10) -> Column:
+    """Why a candidate may not replace the live model, or ``promote``. What is missing or no number
+    fails; a live model without a measurement (null) leaves only the floor. Economics (``n`` periods of
+    mean ``net``) count at a horizon of 12 alone. ``force`` promotes whatever the rest says."""
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    number = lambda x: x.isNotNull() & ~F.isnan(x)
+    pass_floor = holds(number(new_ic) & (new_ic >= floor))
+    pass_delta = holds(number(new_ic) & (old_ic.isNull() | (number(old_ic) & (new_ic - old_ic >= delta))))
+    earns = holds((n >= least) & number(net) & (F.abs(net) < float("inf")) & (net > 0))
+    reason = F.when(~pass_floor, "below_floor").when(~pass_delta, "worse").when(holds(horizon == 12) & ~earns, "economics").otherwise("promote")
+    return reason if force is None else F.when(holds(force), "promote").otherwise(reason)
+
+
+def importances(models: list[dict[str, float]]) -> dict[str, float]:
+    """Mean share of each feature over the models, each normalised to a sum of 1; shares sum to 1."""
+    shares = []
+    for m in models:
+        size = {f: abs(w) for f, w in m.items() if f != "intercept"}
+        total = sum(size.values())
+        shares.append({f: w / total if total else 0.0 for f, w in size.items()})
+    names = sorted({f for s in shares for f in s})
+    return {f: sum(s.get(f, 0.0) for s in shares) / len(shares) for f in names}
+
+
+def sensitivities(frame: DataFrame, weights: dict[str, float], *by: str) -> DataFrame:
+    """``frame`` unpivoted to a row (by, entity, feature, delta) for each feature: how much the score
+    moves if that feature is put at the median of its cross-section. One pass for all features."""
+    features = [f for f in weights if f != "intercept"]
+    long = frame.select(*by, "entity", *features).unpivot([*by, "entity"], features, "feature", "value")
+    w = Window.partitionBy(*by, "feature")
+    weight = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(weights[f]))])
+    return long.select(*by, "entity", "feature", (weight[F.col("feature")] * (F.col("value") - F.percentile("value", 0.5).over(w))).alias("delta"))

@@ -6,27 +6,77 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def block_bootstrap(values: DataFrame, value: str, order: str, block: int = 4, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Mean and 95 % interval of the mean by circular moving blocks.
+#: Words of the generator's stream that one task draws at a time.
+PORTION = 1 << 18
 
-    The starts come from NumPy's generator on the driver, as many as draws x n / block; the draws
-    themselves are a join and a grouping.
+
+def drawn_starts(spark: SparkSession, n: int, count: int, seed: int) -> DataFrame:
+    """(at, start): the first ``count`` whole numbers below ``n`` that NumPy's generator of this seed
+    draws, made in tasks. Each advances the generator to its own portion of 32-bit words; a word that
+    the bounded draw rejects shifts all that follow, so that accepted words are counted first."""
+
+    def accepted(portion: int) -> np.ndarray:
+        state = np.random.PCG64(seed)
+        state.advance(portion * (PORTION // 2))
+        words = state.random_raw(PORTION // 2).astype("<u8").view("<u4").astype(np.uint64)
+        scaled = words * np.uint64(n)
+        good = (scaled & np.uint64(0xFFFFFFFF)) >= np.uint64(((1 << 32) - n) % n)
+        return (scaled >> np.uint64(32))[good].astype(np.int64)
+
+    def counts(batches):  # noqa: ANN001, ANN202
+        for got in batches:
+            yield pd.DataFrame({"portion": got["id"], "n": [len(accepted(int(p))) for p in got["id"]]})
+
+    if n == 1:
+        return spark.range(count).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("start"))
+    portions = math.ceil(count / PORTION * 1.001) + 1 if n < 1 << 20 else 2 * math.ceil(count / PORTION) + 1
+    sizes = spark.range(portions, numPartitions=portions).mapInPandas(counts, "portion bigint, n bigint").toPandas().sort_values("portion")  # a row a portion
+    first = dict(zip(sizes["portion"].tolist(), (sizes["n"].cumsum() - sizes["n"]).tolist(), strict=True))
+
+    def values(batches):  # noqa: ANN001, ANN202
+        for got in batches:
+            for p in got["id"]:
+                start = accepted(int(p))
+                at = first[int(p)] + np.arange(len(start))
+                yield pd.DataFrame({"at": at[at < count], "start": start[at < count]})
+
+    return spark.range(portions, numPartitions=portions).mapInPandas(values, "at bigint, start bigint")
+
+
+def block_bootstrap(values: DataFrame, value: str, order: str, block: int = 4, draws: int = 2000, seed: int = 42, by: str | None = None) -> DataFrame:
+    """Mean and 95 % interval of the mean by circular moving blocks, for each series ``by``.
+
+    The starts are those of NumPy's generator, drawn in tasks; series of equal length share them. Sums of
+    all circular blocks are made once, so that a draw joins one row a block, and the last block of a draw
+    is cut to the series' length. Series are numbered within, one row a value.
     """
     spark = values.sparkSession
-    data = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
-    n = data.count()
-    if not n:
-        return spark.createDataFrame([], "n bigint, mean double, low double, high double")
-    blocks = math.ceil(n / block)
-    starts = np.random.default_rng(seed).integers(0, n, size=(draws, blocks))
-    plan = spark.createDataFrame([(d, b, int(s)) for d, row in enumerate(starts) for b, s in enumerate(row)], "draw int, block int, start bigint")
-    offsets = plan.select("draw", (F.col("block") * block).alias("base"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o")).where(F.col("base") + F.col("o") < n)
-    means = offsets.withColumn("i", F.pmod(F.col("start") + F.col("o"), F.lit(n))).join(data, "i").groupBy("draw").agg(F.avg("v").alias("mean"))
-    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high")).crossJoin(data.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))).select("n", "mean", "low", "high")
+    key = F.col(by) if by else F.lit(0)
+    w = Window.partitionBy("series")
+    data = values.where(F.col(value).isNotNull()).select(key.alias("series"), F.col(value).alias("v"), F.col(order).alias("o"))
+    data = data.select("series", "v", (F.row_number().over(w.orderBy("o")) - 1).cast("bigint").alias("i"), F.count("*").over(w).alias("n"))
+    around = data.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("start", F.pmod(F.col("i") - F.col("o"), F.col("n")))
+    left = F.col("n") - (F.ceil(F.col("n") / block) - 1) * block  # elements of the last block
+    inside = F.col("o") < F.least(F.lit(block), F.col("n"))
+    sums = around.where(inside | (F.col("n") < block)).groupBy("series", "n", "start").agg(F.sum("v").alias("all"), F.sum(F.when(F.col("o") < left, F.col("v"))).alias("rest"))
+    means = None
+    for r in data.select("n").distinct().collect():  # the lengths of the series
+        blocks = math.ceil(r.n / block)
+        starts = drawn_starts(spark, r.n, draws * blocks, seed)
+        hit = starts.select(F.floor(F.col("at") / blocks).alias("draw"), (F.col("at") % blocks == blocks - 1).alias("last"), "start").join(sums.where(F.col("n") == r.n), "start")
+        part = hit.groupBy("series", "draw").agg((F.sum(F.when(F.col("last"), F.col("rest")).otherwise(F.col("all"))) / r.n).alias("mean"))
+        means = part if means is None else means.unionAll(part)
+    name = by or "series"
+    if means is None:
+        return spark.createDataFrame([], f"{name} {values.schema[by].dataType.simpleString() if by else 'int'}, n bigint, mean double, low double, high double")
+    bounds = means.groupBy("series").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    plain = data.groupBy("series").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    return plain.join(bounds, "series").select(F.col("series").alias(name), "n", "mean", "low", "high")
 
 
 def block_variance(values: DataFrame, value: str, order: str, length: int) -> DataFrame:
@@ -48,10 +98,11 @@ def power_table(values: DataFrame, value: str, order: str, effects: tuple[float,
 
 
 def trial_groups(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """Mean and number of the values by regime, by thirds of the trial and by hour of day."""
-    rows = rows.withColumn("third", F.ntile(3).over(Window.orderBy(order)).cast("string"))
-    keyed = rows.withColumn("group", F.explode(F.array(F.concat(F.lit("regime:"), F.col("regime")), F.concat(F.lit("third:"), F.col("third")), F.concat(F.lit("hour:"), F.hour("ts").cast("string")))))
-    return keyed.groupBy("group").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    """Mean and number of the values by regime, by thirds of the trial (of its distinct ``order``, which
+    is as long as the calendar) and by hour of day."""
+    thirds = rows.select(order).distinct().withColumn("third", F.ntile(3).over(Window.orderBy(order)).cast("string"))
+    named = rows.join(thirds, order).withColumn("group", F.explode(F.array(F.concat(F.lit("regime:"), F.col("regime")), F.concat(F.lit("third:"), F.col("third")), F.concat(F.lit("hour:"), F.hour("ts").cast("string")))))
+    return named.groupBy("group").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
 def attribution(picks: DataFrame, value: str) -> DataFrame:

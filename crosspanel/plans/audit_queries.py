@@ -263,7 +263,7 @@ def power_table(s, d):  # noqa: ANN001, ANN201
 @query("block_bootstrap_ci", None)
 def block_bootstrap_ci(s, d):  # noqa: ANN001, ANN201
     w = picked(s, d).groupBy("ts").agg(F.avg("ret").alias("v"))
-    return shown(sx.block_bootstrap(w, "v", "ts", draws=500), ["n"], ["mean", "low", "high"])
+    return shown(sx.block_bootstrap(w, "v", "ts"), ["n"], ["mean", "low", "high"])
 
 
 @query("equal_weight_scores", sql("a", "panel", "factors", body=f"SELECT {TS}, entity, round(list_avg([reversal_1h, reversal_4h, order_flow_bear]), 6) + 0.0::DOUBLE AS score FROM factors"))

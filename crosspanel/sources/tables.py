@@ -86,3 +86,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     root = root or tempfile.mkdtemp(prefix="crosspanel-")
     return f"{root}/crosspanel/{name}-{uuid.uuid4().hex}"
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared folder and read again, for plans that use it more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
