@@ -37,6 +37,21 @@ def depth_cost(books: DataFrame, notional: float, fee_bps: float) -> DataFrame:
     return b.select("key", status.alias("status"), F.when(ok, 100 * (gross - fee_bps / 10_000)).alias("net_pct"), F.when(ok, 10_000 * (1 - ask / bid - gross)).alias("additional_bps"), F.when(ok, F.col("proceeds") / F.col("quantity")).alias("entry_vwap"), F.when(ok, F.col("expense") / F.col("quantity")).alias("exit_vwap"))
 
 
+def overlapping(spans: DataFrame, points: DataFrame, by: str, seconds: int) -> DataFrame:
+    """Rows of ``spans`` (by, lo, hi, ...) joined with those of ``points`` (by, from_at, to_at, ...) whose
+    intervals overlap, as a struct column ``point``.
+
+    Time is cut into buckets of ``seconds``; both sides go to every bucket that they touch, and a pair
+    counts in the first bucket that both have, so that it is met once. Rows met grow with what overlaps,
+    as long as intervals are of the order of a bucket; a null end leaves an interval out.
+    """
+    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / seconds)
+    left = spans.withColumn("_bucket", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    right = points.select(by, F.struct(*points.columns).alias("point"), F.explode(F.sequence(bucket("from_at"), bucket("to_at"))).alias("_bucket"))
+    first = F.greatest(bucket("lo"), bucket("point.from_at")) == F.col("_bucket")
+    return left.join(right, [by, "_bucket"]).where(first & (F.col("lo") <= F.col("point.to_at")) & (F.col("point.from_at") <= F.col("hi"))).drop("_bucket")
+
+
 def funding(held: DataFrame, rates: DataFrame, most_gap_hours: int, boundary_seconds: int) -> DataFrame:
     """Sum of the rates in (entry, exit] of each position (key, entity, entry_at, exit_at), with a
     status: unbracketed if the history does not surround it, gap if rates are too far apart,
@@ -45,12 +60,17 @@ def funding(held: DataFrame, rates: DataFrame, most_gap_hours: int, boundary_sec
     r = rates.select("entity", "at", "rate", F.lead("at").over(w).alias("next_at"))
     span = r.groupBy("entity").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     seconds = lambda a, b: F.abs(F.unix_timestamp(a.cast("timestamp")) - F.unix_timestamp(b.cast("timestamp")))
-    near = (F.col("at") <= F.col("exit_at") + F.make_interval(secs=F.lit(boundary_seconds))) & (F.coalesce("next_at", "at") >= F.col("entry_at") - F.make_interval(secs=F.lit(boundary_seconds)))
-    j = held.join(r, "entity").where(near)
+    margin = F.make_interval(secs=F.lit(boundary_seconds))
+    wide = held.where(F.col("entry_at") <= F.col("exit_at")).select("key", "entity", "entry_at", "exit_at", (F.col("entry_at") - margin).alias("lo"), (F.col("exit_at") + margin).alias("hi"))
+    gap = seconds(F.col("next_at"), F.col("at")) > most_gap_hours * 3600
+    settled = r.select("entity", F.col("at").alias("from_at"), F.col("at").alias("to_at"), "at", "rate", F.lit(False).alias("gap"))
+    gaps = r.where(gap).select("entity", F.col("at").alias("from_at"), F.col("next_at").alias("to_at"), F.lit(None).cast(r.schema["at"].dataType).alias("at"), F.lit(None).cast("double").alias("rate"), F.lit(True).alias("gap"))
+    size = max(3600, most_gap_hours * 3600)
+    j = overlapping(wide, settled.unionAll(gaps), "entity", size).select("key", "entry_at", "exit_at", "point.*")
     inside = (F.col("at") > F.col("entry_at")) & (F.col("at") <= F.col("exit_at"))
-    overlaps = (F.col("at") < F.col("exit_at")) & (F.col("next_at") > F.col("entry_at"))
+    overlaps = F.col("gap") & (F.col("from_at") < F.col("exit_at")) & (F.col("to_at") > F.col("entry_at"))
     edge = F.least(seconds(F.col("at"), F.col("entry_at")), seconds(F.col("at"), F.col("exit_at"))) <= boundary_seconds
-    g = j.groupBy("key").agg(F.sum(F.when(inside, F.col("rate"))).alias("rate_sum"), F.count(F.when(inside, 1)).alias("n"), F.max((overlaps & (seconds(F.col("next_at"), F.col("at")) > most_gap_hours * 3600)).cast("int")).alias("gap"), F.max(edge.cast("int")).alias("edge"))
+    g = j.groupBy("key").agg(F.sum(F.when(inside, F.col("rate"))).alias("rate_sum"), F.count(F.when(inside, 1)).alias("n"), F.max(overlaps.cast("int")).alias("gap"), F.max(edge.cast("int")).alias("edge"))
     out = held.join(span, "entity", "left").join(g, "key", "left")
     bracketed = (F.col("first_at") <= F.col("entry_at")) & (F.col("exit_at") <= F.col("last_at"))
     status = F.when(~F.coalesce(bracketed, F.lit(False)), "unbracketed").when(F.col("gap") == 1, "gap").when(F.col("edge") == 1, "boundary_uncertain").otherwise("observed")

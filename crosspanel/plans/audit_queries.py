@@ -144,7 +144,7 @@ o AS (SELECT held.key, coalesce(j.n, 0) AS n, j.rate, CASE WHEN NOT coalesce(lo
 def funding_window(s, d):  # noqa: ANN001, ANN201
     b = hourly(s, d)
     days = s.range(1).select(F.explode(le.slots("2023-12-31 00:00:00", "2024-01-30 00:00:00", 24)).alias("day"))
-    held = b.select("entity").distinct().crossJoin(F.broadcast(days))
+    held = b.select("entity").distinct().crossJoin(days)
     held = held.select(F.concat_ws("/", "entity", F.date_format("day", "MM-dd")).alias("key"), "entity", (F.col("day") + F.expr("INTERVAL 330 MINUTES")).alias("entry_at"), (F.col("day") + F.expr("INTERVAL 750 MINUTES")).alias("exit_at"))
     rates = b.where(F.hour("ts") % 2 == 0).select("entity", F.col("ts").alias("at"), (F.col("close") / 1e6).alias("rate"))
     return bo.funding(held, rates, 5, 1800).select("key", "status", F.round("rate_sum_bps", 6).alias("rate_sum_bps"))
