@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.columns import t_stat, wilson
+from crosspanel.operators.evaluation import rank_ic
 
 
 def realized_stats(history: DataFrame) -> DataFrame:
@@ -94,3 +95,47 @@ def worst_share(values: DataFrame, value: str, share: float, *by: str) -> DataFr
     w = Window.partitionBy(*by)
     r = values.withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.count("*").over(w) * share)))
     return r.where("_i <= _n").groupBy(*by).agg(F.avg(value).alias("worst_mean"), F.count("*").alias("worst_n"))
+
+
+def left_out(parts: DataFrame, by: str, costs_bps: tuple[float, ...] = (0, 10, 20, 30)) -> DataFrame:
+    """Means of baskets without each entity in turn, at each further cost. ``parts``: ``by``, ts, entity,
+    part (what the position adds to its slot's result, in percent) and weight (its share of the slot).
+
+    The weight of an entity left out stays in cash: its part and its costs go, the others are not scaled
+    up. Sums are additive, so that one pass gives every mean by subtraction: by, entity (null for all of
+    them), cost_bps, n_slots, mean and, for an entity, what it contributed.
+    """
+    slots = parts.groupBy(by).agg(F.count_distinct("ts").alias("n_slots"))
+    sums = parts.groupBy(by, "entity").agg(F.sum("part").alias("part"), F.sum("weight").alias("weight"))
+    all_of = sums.groupBy(by).agg(F.sum("part").alias("all_part"), F.sum("weight").alias("all_weight"))
+    nobody = all_of.select(by, F.lit(None).cast(parts.schema["entity"].dataType).alias("entity"), F.lit(0.0).alias("part"), F.lit(0.0).alias("weight"))
+    rows = sums.unionByName(nobody).join(all_of, by).join(slots, by).withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs_bps])))
+    net = lambda part, weight: (part - weight * F.col("cost_bps") / 100) / F.col("n_slots")
+    return rows.select(by, "entity", "cost_bps", "n_slots", net(F.col("all_part") - F.col("part"), F.col("all_weight") - F.col("weight")).alias("mean"), F.when(F.col("entity").isNotNull(), net(F.col("part"), F.col("weight"))).alias("contribution"))
+
+
+def compared_replay(saved: DataFrame, replayed: DataFrame, actual: DataFrame, places: int = 5, tolerance: float = 1e-4, least: int = 10) -> DataFrame:
+    """Saved scores against those made anew (both ts, entity, score), slot by slot, with the returns
+    ``actual`` (ts, entity, ret).
+
+    Returns ts, n_saved, n_replay, n_common, the names added and removed, how many common scores differ
+    by more than ``tolerance`` and the largest difference (the replay is rounded to the ``places`` of the
+    saved ones), rank correlations of either pool and of the common names with what came of them and with
+    each other, and a status: insufficient (fewer than ``least`` common names), members, scores, or same.
+    A slot that one side lacks is insufficient.
+    """
+    one = saved.select("ts", "entity", F.col("score").alias("saved"))
+    both = one.join(replayed.select("ts", "entity", F.col("score").alias("replay")), ["ts", "entity"], "full").join(actual.select("ts", "entity", "ret"), ["ts", "entity"], "left")
+    in_both = F.col("saved").isNotNull() & F.col("replay").isNotNull()
+    apart = F.when(in_both, F.abs(F.col("saved") - F.round("replay", places)))
+    names = lambda missing, there: F.array_sort(F.collect_list(F.when(F.col(missing).isNull() & F.col(there).isNotNull(), F.col("entity"))))
+    slots = both.groupBy("ts").agg(
+        F.count("saved").alias("n_saved"), F.count("replay").alias("n_replay"), F.count_if(in_both).alias("n_common"), names("saved", "replay").alias("added"), names("replay", "saved").alias("removed"),
+        F.count_if(apart > tolerance).alias("n_changed"), F.max(apart).alias("largest"),
+    )
+    common = both.where(in_both)
+    pairs = (("replay_ic", both, "replay", "ret"), ("saved_common_ic", common, "saved", "ret"), ("replay_common_ic", common, "replay", "ret"), ("agreement", common, "saved", "replay"))
+    for name, rows, a, b in pairs:
+        slots = slots.join(rank_ic(rows, a, b, ("ts",), least).select("ts", F.col("ic").alias(name)), "ts", "left")
+    moved = (F.size("added") > 0) | (F.size("removed") > 0)
+    return slots.withColumn("status", F.when(F.col("n_common") < least, "insufficient").when(moved, "members").when(F.col("n_changed") > 0, "scores").otherwise("same"))

@@ -333,3 +333,23 @@ def stream_late(s, d):  # noqa: ANN001, ANN201
 @query("recommended_sides", "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'SHORT' WHEN o_orderpriority = '5-LOW' THEN 'WATCH_LONG' ELSE 'LONG' END AS side, count(*) AS n FROM orders GROUP BY 1")
 def recommended_sides(s, d):  # noqa: ANN001, ANN201
     return recommendations(s, d).groupBy("side").agg(F.count("*").alias("n"))
+
+
+OPEN = """m AS (SELECT event_id AS id, ts, event_id % 60 > 45 AS late, CASE WHEN event_id % 7 = 3 THEN 0 ELSE 1 END AS entries, CASE WHEN event_id % 9 = 4 THEN 0 WHEN event_id % 13 = 5 THEN 2 ELSE 1 END AS exits, value + 1 AS entry, value + 1 + (event_id % 11 - 5)::DOUBLE / 100 AS leave FROM events),
+wm AS (SELECT max(CASE WHEN exits > 0 THEN ts + INTERVAL 7 HOUR WHEN entries > 0 THEN ts + INTERVAL 1 HOUR ELSE ts END + to_minutes(id % 60)) - INTERVAL 2 HOUR AS now FROM m)"""
+
+
+@query("stream_maturation", f"""WITH {OPEN}, o AS (SELECT id, CASE WHEN late THEN 'late' WHEN entries = 1 AND exits = 1 THEN CASE WHEN now > ts + INTERVAL 8 HOUR THEN 'matured' END WHEN now > ts + INTERVAL 55 HOUR THEN CASE WHEN entries > 0 AND exits > 0 THEN 'invalid' ELSE 'expired' END END AS status, leave / entry - 1 AS ret FROM m, wm)
+SELECT status, count(*) AS n, round(avg(CASE WHEN status = 'matured' THEN ret END), 6) + 0.0::DOUBLE AS ret FROM (SELECT status, ret FROM o WHERE status IS NOT NULL UNION ALL SELECT 'recorded', NULL FROM m WHERE NOT late) GROUP BY status""")
+def stream_maturation(s, d):  # noqa: ANN001, ANN201
+    """Signals and their prices, replayed from the events: some are recorded late, some lack a price, some
+    have one twice."""
+    e, k = stream(s, d), F.col("event_id")
+    message = lambda kind, hours, price: F.struct(F.lit(kind).alias("kind"), (F.col("at") + F.make_interval(hours=F.lit(hours))).alias("at"), price.alias("open"))
+    first, last = F.col("value") + 1, F.col("value") + 1 + (k % 11 - 5).cast("double") / 100
+    entry, leave = message("entry", 1, first), message("exit", 7, last)
+    several = F.array_compact(F.array(message("signal", 0, F.lit(None).cast("double")), F.when(k % 7 != 3, entry), F.when(k % 9 != 4, leave), F.when((k % 9 != 4) & (k % 13 == 5), leave)))
+    messages = e.select(k.alias("id"), F.explode(several).alias("m")).select("id", "m.*")
+    messages = messages.withColumn("recorded_at", F.col("at") + F.make_interval(mins=(F.col("id") % 60).cast("int")))
+    out = se.run_once(se.maturation(messages), "stream_maturation_out", scratch(s, "stream_maturation"))
+    return out.groupBy("status").agg(F.count("*").alias("n"), six(F.avg("ret")).alias("ret"))

@@ -180,9 +180,13 @@ def ledger_mature(s, d):  # noqa: ANN001, ANN201
     return shown(ledger(s, d), ["o_orderkey", "side"], ["gross_return", "cost_return", "net_return"])
 
 
-@query("ledger_pending", sql("b", SIDES, body="SELECT o_orderkey FROM recs WHERE NOT (target_time <= (SELECT max(ts) FROM bars))"))
+@query("ledger_pending", sql("b", SIDES, body="SELECT o_orderkey FROM recs WHERE NOT (target_time <= (SELECT max(ts) FROM bars WHERE ts <= (SELECT max(ts) FROM bars) - INTERVAL 1200 DAY))"))
 def ledger_pending(s, d):  # noqa: ANN001, ANN201
-    return le.pending(recommendations(s, d), ledger(s, d), ["o_orderkey"]).select("o_orderkey")
+    """What is still open to one who knows no price of the last 1200 days."""
+    bars, r = traded(s, d), recommendations(s, d)
+    last = bars.agg(F.max("ts").alias("last"))  # one row
+    known = bars.join(F.broadcast(last), F.col("ts") <= F.col("last") - F.expr("INTERVAL 1200 DAYS")).drop("last")
+    return le.pending(r, le.matured(r, known), ["o_orderkey"]).select("o_orderkey")
 
 
 @query("ledger_append", sql(SIDES, body="SELECT entity, side, strftime(entry_time, '%Y-%m-%d') AS entry FROM recs WHERE entry_time >= TIMESTAMP '1998-01-01' GROUP BY ALL HAVING NOT bool_or(o_orderkey % 3 = 0)"))
@@ -213,11 +217,58 @@ def replay_diff(s, d):  # noqa: ANN001, ANN201
     return le.replayed(stored, new, ["o_orderkey"], ["gross_return"]).select("o_orderkey", "reason")
 
 
-@query("sealed_rows", "SELECT count(*) AS n, 0::BIGINT AS n_broken FROM customer")
+@query("sealed_rows", "SELECT count(*) AS n, count(*) FILTER (c_custkey % 97 = 5 OR c_custkey % 89 = 3) AS n_broken, min(c_custkey) FILTER (c_custkey % 97 = 5 OR c_custkey % 89 = 3) AS first_broken FROM customer")
 def sealed_rows(s, d):  # noqa: ANN001, ANN201
-    sealed = enveloped(table(s, d, "customer"), ["c_custkey"])
-    broken = broken_envelopes(sealed).agg(F.count("*").alias("n_broken"))
-    return sealed.agg(F.count("*").alias("n")).crossJoin(F.broadcast(broken))
+    """Rows sealed with their checksum, of which some were changed and some lost their seal afterwards."""
+    sealed, k = enveloped(table(s, d, "customer"), ["c_custkey"]), F.col("c_custkey")
+    payload = F.when(k % 97 == 5, F.concat(F.substring("payload", 1, 20), F.lit("x"), F.substring("payload", 22, 1 << 20))).otherwise(F.col("payload"))
+    handled = sealed.select("c_custkey", payload.alias("payload"), F.when(k % 89 != 3, F.col("sha256")).alias("sha256"))
+    broken = broken_envelopes(handled).agg(F.count("*").alias("n_broken"), F.min("c_custkey").alias("first_broken"))
+    return handled.agg(F.count("*").alias("n")).crossJoin(broken)  # one row each
+
+
+LEFT_OUT = """lp AS (SELECT side, ts, entity, 100 * CASE side WHEN 'long' THEN ret ELSE -ret END / n AS part, 1.0::DOUBLE / n AS weight FROM pr),
+ls AS (SELECT side, count(DISTINCT ts) AS n_slots, sum(part) AS all_part, sum(weight) AS all_weight FROM lp GROUP BY side),
+lo AS (SELECT side, entity, sum(part) AS part, sum(weight) AS weight FROM lp GROUP BY side, entity UNION ALL SELECT side, NULL, 0, 0 FROM ls)"""
+
+
+@query("leave_one_out", recursive(*P, SLOTS, FOLD, PERIODS, POS, LEFT_OUT, body="""SELECT side, entity, cost_bps::DOUBLE AS cost_bps, n_slots, round((all_part - part - (all_weight - weight) * cost_bps / 100) / n_slots, 6) + 0.0::DOUBLE AS mean,
+CASE WHEN entity IS NOT NULL THEN round((part - weight * cost_bps / 100) / n_slots, 6) + 0.0::DOUBLE END AS contribution FROM lo JOIN ls USING (side), (SELECT unnest([0, 10, 20, 30]) AS cost_bps)"""))
+def leave_one_out(s, d):  # noqa: ANN001, ANN201
+    size = F.count("*").over(Window.partitionBy("ts", "side"))
+    signed = F.when(F.col("side") == "long", F.col("raw_return")).otherwise(-F.col("raw_return"))
+    parts = weekly_positions(s, d).select("side", "ts", "entity", (100 * signed / size).alias("part"), (F.lit(1.0) / size).alias("weight"))
+    return shown(re.left_out(parts, "side"), ["side", "entity", "cost_bps", "n_slots"], ["mean", "contribution"])
+
+
+#: Saved scores and their replay: one with an entity less, with a new one, with changed scores, in some weeks.
+REPLAY = """sv AS (SELECT ts, entity, round(score, 5) AS score FROM weekly WHERE score IS NOT NULL AND NOT (extract(week FROM ts) % 8 = 1 AND entity = '7')),
+rv AS (SELECT ts, entity, score + CASE WHEN extract(week FROM ts) % 8 = 3 AND entity IN ('3', '5') THEN 0.01::DOUBLE ELSE 0 END AS score FROM weekly WHERE score IS NOT NULL AND NOT (extract(week FROM ts) % 8 = 2 AND entity IN ('2', '9')) AND NOT (extract(week FROM ts) % 8 = 5 AND entity >= '2')),
+bo AS (SELECT coalesce(sv.ts, rv.ts) AS ts, coalesce(sv.entity, rv.entity) AS entity, sv.score AS saved, rv.score AS replay FROM sv FULL JOIN rv ON sv.ts = rv.ts AND sv.entity = rv.entity),
+bt AS (SELECT bo.*, ret FROM bo LEFT JOIN weekly USING (ts, entity)),
+rs AS (SELECT ts, count(saved) AS n_saved, count(replay) AS n_replay, count(saved + replay) AS n_common, coalesce(string_agg(entity, ',' ORDER BY entity) FILTER (saved IS NULL), '') AS added, coalesce(string_agg(entity, ',' ORDER BY entity) FILTER (replay IS NULL), '') AS removed,
+  count(*) FILTER (abs(saved - round(replay, 5)) > 0.0001::DOUBLE) AS n_changed FROM bt GROUP BY ts)"""
+
+
+def _ranked(name, where, a, b):  # noqa: ANN001, ANN202
+    tied = lambda c: f"rank() OVER (PARTITION BY ts ORDER BY {c}) + (count(*) OVER (PARTITION BY ts, {c}) - 1) / 2.0::DOUBLE"
+    return f"""{name}_r AS (SELECT ts, {tied(a)} AS x, {tied(b)} AS y FROM (SELECT ts, {a}, {b} FROM bt WHERE {where} AND {a} IS NOT NULL AND {b} IS NOT NULL)), {name} AS (SELECT ts, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS ic FROM {name}_r GROUP BY ts HAVING count(*) >= 10)"""
+
+
+COMMON = "saved IS NOT NULL AND replay IS NOT NULL"
+REPLAY_ICS = {"replay_ic": ("true", "replay", "ret"), "saved_common_ic": (COMMON, "saved", "ret"), "replay_common_ic": (COMMON, "replay", "ret"), "agreement": (COMMON, "saved", "replay")}
+
+
+@query("replay_compare", sql(*P, REPLAY, *[_ranked(f"q_{n}", *x) for n, x in REPLAY_ICS.items()], body=f"""SELECT strftime(rs.ts, '%Y-%m-%d %H:%M') AS ts, n_saved, n_replay, n_common, added, removed, n_changed, CASE WHEN n_common < 10 THEN 'insufficient' WHEN added <> '' OR removed <> '' THEN 'members' WHEN n_changed > 0 THEN 'scores' ELSE 'same' END AS status,
+{', '.join(f'round(q_{n}.ic, 6) + 0.0::DOUBLE AS {n}' for n in REPLAY_ICS)} FROM rs {' '.join(f'LEFT JOIN q_{n} ON q_{n}.ts = rs.ts' for n in REPLAY_ICS)}"""))
+def replay_compare(s, d):  # noqa: ANN001, ANN201
+    w = weekly_scores(s, d)
+    week, of = F.weekofyear("ts") % 8, F.col("entity")
+    good = w.where("score IS NOT NULL")
+    saved = good.where(~((week == 1) & (of == "7"))).select("ts", "entity", F.round("score", 5).alias("score"))
+    replayed = good.where(~((week == 2) & of.isin("2", "9")) & ~((week == 5) & (of >= "2"))).withColumn("score", F.col("score") + F.when((week == 3) & of.isin("3", "5"), 0.01).otherwise(0.0))
+    out = re.compared_replay(saved, replayed, w)
+    return out.select(stamp(F.col("ts")).alias("ts"), "n_saved", "n_replay", "n_common", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), "n_changed", "status", *[six(F.col(c)).alias(c) for c in REPLAY_ICS])
 
 
 RE = ["avg", "avg_net", "std", "tstat", "tstat_clustered", "avg_net_per_window", "win_pct", "win_ci_lo", "win_ci_hi", "sharpe"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,16 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], keep: str = "new") ->
     return keep_first(both, keys, [F.desc("_side") if keep == "new" else F.asc("_side")]).drop("_side")
 
 
+def merge_largest(old: DataFrame, new: DataFrame, keys: list[str], largest: list[str]) -> DataFrame:
+    """Upsert in which the columns ``largest`` never fall: of rows whose keys meet they keep the greater
+    value that is there, and the new row gives the rest."""
+    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*keys, *largest, "_side")]
+    last = F.max_by(F.struct(*rest), "_side") if rest else None
+    out = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in largest], *([last.alias("_rest")] if rest else []))
+    return out.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in both.columns if c != "_side"])
+
+
 def append_missing(ledger: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Idempotent append: the rows whose keys the ledger lacks (and, of each key, one)."""
     return rows.join(ledger.select(*keys), keys, "left_anti").dropDuplicates(keys)
@@ -56,6 +67,34 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED").withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """A row (file, header, n_lines) for each CSV file that is not empty: its first line."""
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    return lines.groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("header"), F.count("*").alias("n_lines"))
+
+
+def read_csv_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the CSV files that have all columns of ``schema``, in whatever order and beside whatever
+    others, and a report (file, status, missing) on every file that is not empty: read or short.
+
+    A short file is left out whole. Values that do not fit their column's type are null. Files of equal
+    headers are read together: there are as many scans as different headers, which the driver lists as
+    it lists the files.
+    """
+    wanted = StructType.fromDDL(schema)
+    names = [f.name for f in wanted]
+    columns = F.transform(F.split(F.coalesce("header", F.lit("")), ","), lambda c: F.regexp_replace(F.trim(c), r'^\uFEFF?"?|"$', ""))
+    files = csv_headers(spark, path).withColumn("missing", F.array_except(F.array(*[F.lit(n) for n in names]), columns))
+    status = F.when(F.size("missing") > 0, "short").otherwise("read")
+    report = files.select("file", status.alias("status"), "missing", "header")
+    groups = report.where("status = 'read'").groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    out = spark.createDataFrame([], f"{schema}, source_file string")
+    for g in groups:
+        rows = spark.read.csv(sorted(g.files), header=True, enforceSchema=True).withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+        out = out.unionByName(rows.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in wanted], "source_file"))
+    return out, report.select(F.element_at(F.split("file", "/"), -1).alias("file"), "status", "missing")
+
+
 def write_result(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite", by: list[str] | None = None) -> None:
     """Result sink in parquet, csv or json."""
     w = df.write.mode(mode).format(form)
@@ -70,8 +109,8 @@ def enveloped(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def broken_envelopes(df: DataFrame) -> DataFrame:
-    """Rows whose payload does not have the checksum it came with."""
-    return df.where(F.sha2("payload", 256) != F.col("sha256"))
+    """Rows whose payload does not have the checksum it came with, or came with none."""
+    return df.where(~F.sha2("payload", 256).eqNullSafe(F.col("sha256")))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

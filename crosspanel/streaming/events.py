@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -67,3 +69,81 @@ def append_matured(batch: DataFrame, ledger_path: str, keys: list[str]) -> None:
             raise
         ledger = batch.limit(0)
     batch.join(ledger.select(*keys), keys, "left_anti").dropDuplicates(keys).write.mode("append").parquet(ledger_path)
+
+
+HOUR_MS = 3_600_000
+_STATE = "signal_ms bigint, entry double, exit double, entries int, exits int"
+_OUTCOME = "id bigint, status string, ret double"
+
+
+def maturation(messages: DataFrame, late: str = "2 hours", grace_minutes: int = 45, exit_hours: int = 7, deadline_hours: int = 55) -> DataFrame:
+    """Outcomes of signals as time passes: rows (id, status, ret) in append mode.
+
+    ``messages``: id, kind (signal, entry, exit), at (what it tells of), recorded_at (when it was told;
+    time passes by it), open. A signal that was
+    recorded more than ``grace_minutes`` after its time is ``late`` and ends there; another is ``recorded``
+    once, and its state waits. An hour after the exit, by the watermark, it is ``matured`` with its return
+    if it has exactly one usable price at either end; else it may still mature until its deadline, when it
+    is ``invalid`` (prices that repeat or are no positive numbers) or ``expired`` (prices missing). Prices
+    that no signal comes for go at their deadline. State is a row of fixed width for each open signal;
+    timers are on the time of recording, so that a restart from the checkpoint goes on where it was.
+    """
+    usable = lambda x: x == x and 0 < x < float("inf")
+
+    def framed(out: list[tuple]) -> list[pd.DataFrame]:
+        return [pd.DataFrame(out, columns=["id", "status", "ret"])] if out else []
+
+    def settle(key: tuple, state: GroupState, row: tuple, now: int) -> list[tuple]:
+        """What a signal whose exit is an hour past comes to now; waits on if it can still mature."""
+        signal, entry, leave, entries, exits = row
+        due = signal + deadline_hours * HOUR_MS
+        if entries == 1 and exits == 1 and usable(entry) and usable(leave):
+            state.remove()
+            return [(key[0], "matured", leave / entry - 1)]
+        if now >= due:
+            state.remove()
+            return [(key[0], "invalid" if entries and exits else "expired", None)]
+        state.update(row)
+        state.setTimeoutTimestamp(due)
+        return []
+
+    def step(key, batches, state):  # noqa: ANN001, ANN202
+        now = state.getCurrentWatermarkMs()
+        row = state.get if state.exists else (None, None, None, 0, 0)
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            if row[0] is None or row[0] < 0:
+                state.remove()
+            else:
+                out = settle(key, state, row, now)
+            yield from framed(out)
+            return
+        signal, entry, leave, entries, exits = row
+        newest = 0
+        for got in batches:
+            for m in got.itertuples(index=False):
+                ms = m.at_ms
+                newest = max(newest, ms)
+                if m.kind == "signal" and signal is None:
+                    if m.recorded_ms > ms + grace_minutes * 60_000:
+                        signal = -1
+                        out.append((key[0], "late", None))
+                    else:
+                        signal = ms
+                        out.append((key[0], "recorded", None))
+                elif m.kind == "entry":
+                    entry, entries = m.open, entries + 1
+                elif m.kind == "exit":
+                    leave, exits = m.open, exits + 1
+        if signal is None or signal < 0:  # kept for a while, so that what follows finds that it ended
+            state.update((signal, entry, leave, entries, exits))
+            state.setTimeoutTimestamp(max(now + 1, newest + deadline_hours * HOUR_MS))
+        elif now >= (mature := signal + (exit_hours + 1) * HOUR_MS):
+            out += settle(key, state, (signal, entry, leave, entries, exits), now)
+        else:
+            state.update((signal, entry, leave, entries, exits))
+            state.setTimeoutTimestamp(mature)
+        yield from framed(out)
+
+    marked = messages.select("id", "kind", "open", "recorded_at", F.unix_millis("at").alias("at_ms"), F.unix_millis("recorded_at").alias("recorded_ms")).withWatermark("recorded_at", late)
+    return marked.groupBy("id").applyInPandasWithState(step, _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
