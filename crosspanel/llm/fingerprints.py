@@ -110,7 +110,8 @@ def edited_fingerprints(docs: DataFrame, digest: Digest = xxh128) -> DataFrame:
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next. Null texts count as empty; repeated rows each get a row and follow each other, in
-    no set order; an empty table gives no rows; a single document follows itself.
+    no set order; an empty table gives no rows; a single document follows itself. Texts of any length
+    are read whole; columns other than doc_id and text, whatever their names, are not read.
 
     Documents are dealt by ranges of doc_id, one shuffle of the texts; a task walks its range in
     order and holds two texts at a time. The last document of a range meets the first of the next

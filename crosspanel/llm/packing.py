@@ -225,7 +225,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = 2048,
     ``with_ids``, token_ids. A null text counts as empty and gives one piece of one id; repeated
     rows are packed once each; an empty table gives no rows; columns other than doc_id and text
     are not read. Each id lies in exactly one piece, pieces in one sequence do not overlap and
-    leave no gap, and no sequence is longer than ``window``.
+    leave no gap, and no sequence is longer than ``window``. Texts of any length are read whole; a text's
+    ids must fit into a task's memory. Of pieces of equal length any may come first; rooms of equal size
+    are filled in the order in which they were opened.
     """
     spark = docs.sparkSession
     in_small_batches(spark)

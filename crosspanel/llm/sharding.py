@@ -105,7 +105,8 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 4, slack: f
     checksum of no bytes, and are linked with each other and with empty texts; repeated rows each
     get a place; an empty table gives none; other columns are not read. ``slack``: share of a
     quota that shards may run over during the rounds; the last step sets it right. The result depends
-    on the rows alone, not on the files or partitions that they come in.
+    on the rows alone, not on the files or partitions that they come in. Texts of any length count
+    with all their bytes; ties between shards go by a hash of doc_id and text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = written(

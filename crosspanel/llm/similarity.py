@@ -459,6 +459,7 @@ def similar_documents(docs: DataFrame, threshold: int = 80, size: int = 5) -> Da
     null texts and texts without words have none and are linked with nothing. Rows with one doc_id
     are one document, linked if any of its texts is. A null doc_id is linked with nothing and has
     a null component. An empty table gives no rows; columns other than doc_id and text are not read.
+    Texts of any length are read whole; the shingles of one text must fit into a task's memory.
     """
     in_small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

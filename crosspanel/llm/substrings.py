@@ -322,7 +322,8 @@ def remove_repeats(docs: DataFrame, k: int = 50, with_text: bool = False) -> Dat
     space); with ``with_text`` also tk and kept, the text without the removed words (null where
     nothing is removed). Null texts have no words; texts of fewer than ``k`` words stay whole; of
     rows with equal doc_ids neither is smaller; a null doc_id neither removes nor loses words; an
-    empty table gives no rows; columns other than doc_id and text are not read.
+    empty table gives no rows; columns other than doc_id and text are not read. Texts of any length are
+    read whole; the words of one text must fit into a task's memory.
     """
     surveyed, spanned, covered_whole = repeated_spans(docs, k)
 
