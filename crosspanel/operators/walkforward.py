@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.operators import boosting
 from crosspanel.operators.chains import carried
 from crosspanel.operators.evaluation import rank_ic
 from crosspanel.operators.panel import anchored, non_overlapping
@@ -74,6 +75,20 @@ def walk_forward(frame: DataFrame, features: list[str], target: str, train: int,
     return models, scored_by(tested, models, features)
 
 
+def boosted_walk(frame: DataFrame, features: list[str], target: str, train: int, test: int, calendar: DataFrame, rounds: int = boosting.ROUNDS, depth: int = boosting.DEPTH, gap: int = 0) -> DataFrame:
+    """The rows of each fold's test slots with the scores of boosted trees of its training slots. The
+    folds are trained together, on bins that all of them share."""
+    times = calendar.select("ts").distinct()
+    slots = times.count()
+    rows = frame.join(times.withColumn("slot", F.row_number().over(Window.orderBy("ts")) - 1), "ts")  # a row for each timestamp
+    last = (slots - train - gap - test) // test
+    first, until = F.greatest(F.lit(0), F.ceil((F.col("slot") - train + 1) / test)), F.least(F.floor(F.col("slot") / test), F.lit(last))
+    dealt = rows.where(first <= until).withColumn("fold", F.explode(F.sequence(first.cast("int"), until.cast("int"))))
+    models, edges = boosting.train(dealt, "fold", features, target, depth, rounds)
+    tested = rows.withColumn("fold", F.floor((F.col("slot") - train - gap) / test).cast("int")).where((F.col("fold") >= 0) & (F.col("fold") <= last))
+    return boosting.scored(tested, models, edges, "fold", features).where("score IS NOT NULL")
+
+
 def trading_slots(tested: DataFrame, train: int, test: int, gap: int, every: int) -> DataFrame:
     """Of the tested rows those of every ``every``-th slot of their fold."""
     return tested.where((F.col("slot") - train - gap - F.col("fold") * test) % every == 0)
