@@ -75,6 +75,30 @@ def dirty_bool(text: Column) -> Column:
     return F.when(t.isin("true", "1", "yes", "y", "t"), True).when(t.isin("false", "0", "no", "n", "f", ""), False)
 
 
+def dirty_number(text: Column) -> Column:
+    """Number of texts as ledgers hold them; NULL for anything else, and for NaN and infinities."""
+    return finite(F.trim(text).try_cast("double"))
+
+
+#: Spellings of a time, tried in turn: the longest first.
+SPELLINGS = ("yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd'T'HHmmss", "yyyyMMdd")
+
+
+def dirty_time(text: Column) -> Column:
+    """Time, in UTC, of texts as ledgers hold them: ISO 8601 with a T or a space, with or without seconds,
+    fractions and an offset, dates with hyphens, slashes or nothing between. NULL for anything else and
+    for days that do not exist. A time without an offset is UTC, whatever the session's time zone."""
+    t = F.regexp_replace(F.trim(text), r"^([0-9]{4}[-/][0-9]{2}[-/][0-9]{2})T", "$1 ")
+    offset = F.regexp_extract(t, r"[0-9]:?[0-9]{2}(?:\.[0-9]+)?\s?(Z|[+-][0-9]{2}:?[0-9]{2})$", 1)
+    plain = F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(offset)))
+    fraction = F.regexp_extract(plain, r"\.([0-9]+)$", 1)
+    whole = F.when(fraction != "", F.concat(F.regexp_replace(plain, r"\.[0-9]+$", "."), F.substring(F.rpad(fraction, 6, "0"), 1, 6))).otherwise(plain)
+    parsed = F.coalesce(*[F.try_to_timestamp(whole, F.lit(f)).cast("timestamp_ntz") for f in SPELLINGS])
+    digits = F.regexp_replace(offset, "[^0-9]", "")
+    minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    return parsed - F.make_interval(mins=F.when(offset.startswith("-"), -minutes).otherwise(minutes))
+
+
 def wilson(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval of a proportion."""
     p = wins / n

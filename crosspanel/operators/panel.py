@@ -115,3 +115,14 @@ def churn(universe: DataFrame, least_previous: int = 50) -> DataFrame:
     )
     share = F.when(F.col("n_before") >= least_previous, F.greatest("added", "removed") / F.nullif(F.col("n_now"), F.lit(0)))
     return both.join(slots, "ordinal").select("ts", "n_now", "n_before", "added", "removed", share.alias("churn"))
+
+
+def membership_changes(universe: DataFrame) -> DataFrame:
+    """Who came, who went and how many stayed at each timestamp against the one before: ts, added,
+    removed (sorted names), n_common. At the first timestamp all come."""
+    slots = ordinal(universe)
+    now = universe.select("ts", "entity").distinct().join(slots, "ts").select("entity", "ordinal", F.lit(1).alias("is"))
+    before = now.select("entity", (F.col("ordinal") + 1).alias("ordinal"), F.lit(1).alias("was"))
+    names = lambda there, missing: F.array_sort(F.collect_list(F.when(F.col(there).isNotNull() & F.col(missing).isNull(), F.col("entity"))))
+    both = now.join(before, ["entity", "ordinal"], "full").groupBy("ordinal").agg(names("is", "was").alias("added"), names("was", "is").alias("removed"), F.count_if(F.col("is").isNotNull() & F.col("was").isNotNull()).alias("n_common"))
+    return both.join(slots, "ordinal").select("ts", "added", "removed", "n_common")

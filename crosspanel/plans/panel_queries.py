@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.functions.columns import six, stamp
+from crosspanel.functions.columns import dirty_number, dirty_time, six, stamp
 from crosspanel.operators import evaluation as ev
 from crosspanel.operators import factors as fa
 from crosspanel.operators import panel as pa
@@ -415,3 +415,38 @@ ch AS (SELECT coalesce(c.k, p.k + 1) AS k, count(c.k) AS n_now, count(p.k) AS n_
     body=f"SELECT {TS}, n_now, n_before, added, removed, round(CASE WHEN n_before >= 5 THEN greatest(added, removed) / nullif(n_now, 0)::DOUBLE END, 6) AS churn FROM ch JOIN sl USING (k)"))
 def universe_churn(s, d):  # noqa: ANN001, ANN201
     return shown(pa.churn(pa.liquid_universe(panel_b(s, d), 10), 5), ["ts", "n_now", "n_before", "added", "removed"], ["churn"])
+
+
+@query("universe_members", sql("b", "panel", LIQUID.format(n=10), """sl AS (SELECT ts, row_number() OVER (ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM liquid)), ml AS (SELECT k, ts, list(entity ORDER BY entity) AS m FROM liquid JOIN sl USING (ts) GROUP BY k, ts), mp AS (SELECT a.ts, a.m, coalesce(b.m, []) AS p FROM ml a LEFT JOIN ml b ON a.k = b.k + 1)""",
+    body=f"SELECT {TS}, array_to_string(list_filter(m, lambda x: NOT list_contains(p, x)), ',') AS added, array_to_string(list_filter(p, lambda x: NOT list_contains(m, x)), ',') AS removed, len(list_filter(m, lambda x: list_contains(p, x))) AS n_common FROM mp"))
+def universe_members(s, d):  # noqa: ANN001, ANN201
+    out = pa.membership_changes(pa.liquid_universe(panel_b(s, d), 10))
+    return out.select(stamp(F.col("ts")).alias("ts"), F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), "n_common")
+
+
+@query("within_universe", sql("b", "panel", "factors", LIQUID.format(n=10), body=f"SELECT strftime(f.ts, '%Y-%m-%d %H:%M') AS ts, f.entity, {six_sql('reversal_1h')} FROM factors f SEMI JOIN liquid l ON f.ts = l.ts AND f.entity = l.entity"))
+def within_universe(s, d):  # noqa: ANN001, ANN201
+    panel = panel_b(s, d)
+    return shown(pa.within(fa.price_factors(panel), pa.liquid_universe(panel, 10)), ["ts", "entity"], ["reversal_1h"])
+
+
+@query("venue_range", """WITH a AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 10)::VARCHAR AS entity, arg_max(value, (ts, event_id)) AS close FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2), b AS (SELECT max(date_trunc('hour', ts)) AS last FROM events WHERE event_id % 2 = 0 AND user_id % 10 IN (1, 3))
+SELECT entity, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M') AS first, round(avg(close), 6) AS close FROM a, b WHERE ts >= last - INTERVAL 5 DAY GROUP BY entity""")
+def venue_range(s, d):  # noqa: ANN001, ANN201
+    """The second venue's bars of the five days up to the last bar of two entities of the first."""
+    two, one = hourly(s, d, venue=1), hourly(s, d, venue=0).where(F.col("entity").isin("1", "3"))
+    return tables.ranged(two, 5, against=one).groupBy("entity").agg(F.count("*").alias("n"), stamp(F.min("ts")).alias("first"), F.round(F.avg("close"), 6).alias("close"))
+
+
+@query("spelled_values", """WITH e AS (SELECT event_id % 12 AS spelling, date_trunc('minute', ts) AS m, ts::DATE AS d, value FROM events)
+SELECT spelling, count(*) AS n, strftime(max(CASE WHEN spelling IN (9, 10) THEN NULL WHEN spelling IN (4, 5, 7) THEN d::TIMESTAMP ELSE m END), '%Y-%m-%d %H:%M') AS last, round(sum(CASE WHEN spelling = 3 OR spelling = 8 THEN NULL ELSE value END), 4) AS total FROM e GROUP BY spelling""")
+def spelled_values(s, d):  # noqa: ANN001, ANN201
+    """Times and values of the events, spelled in twelve ways and read again."""
+    k, t = F.col("event_id") % 12, F.date_trunc("minute", "ts").cast("timestamp_ntz")
+    f = lambda pattern, by=0: F.date_format(t + F.make_interval(hours=F.lit(by)), pattern)
+    forms = [f("yyyy-MM-dd'T'HH:mm:ss'Z'"), F.concat(F.lit("  "), f("yyyy-MM-dd HH:mm:ss")), f("yyyy-MM-dd HH:mm"), f("yyyy-MM-dd'T'HH:mm:ss.SSS'+0900'", 9), f("yyyy-MM-dd"), f("yyyy/MM/dd"), f("yyyyMMdd'T'HHmmss"), f("yyyyMMdd"), f("yyyy-MM-dd HH:mm:ss.SSSSSS'-05:30'", -5), F.lit("2024-02-30 10:00"), F.lit("soon"), f("yyyy-MM-dd'T'HH:mm'Z'")]
+    half = F.when(k == 8, F.expr("INTERVAL -30 MINUTES")).otherwise(F.expr("INTERVAL 0 MINUTES"))
+    spelled = F.element_at(F.array(*forms), (k + 1).cast("int"))
+    number = F.when(k == 3, F.lit("NaN")).when(k == 8, F.lit("n/a")).when(k == 5, F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" "))).otherwise(F.col("value").cast("string"))
+    read = tables.table(s, d, "events").select(k.alias("spelling"), (dirty_time(spelled) + half).alias("at"), dirty_number(number).alias("v"))
+    return read.groupBy("spelling").agg(F.count("*").alias("n"), stamp(F.max("at")).alias("last"), F.round(F.sum("v"), 4).alias("total"))

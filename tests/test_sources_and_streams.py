@@ -7,8 +7,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from crosspanel.functions.columns import dirty_number, dirty_time
 from crosspanel.operators import books
 from crosspanel.operators.chains import carried
+from crosspanel.operators.panel import membership_changes
 from crosspanel.sources import tables
 from crosspanel.streaming import events as se
 
@@ -83,3 +85,29 @@ def test_signals_mature_across_a_restart(spark, tmp_path):
     got = sorted((r.id, r.status, r.ret and round(r.ret, 6)) for r in spark.read.parquet(out).collect())
     recorded = [(i, "recorded", None) for i in (1, 3, 4, 5, 6, 7)]
     assert got == sorted([*recorded, (1, "matured", 0.1), (2, "late", None), (3, "matured", -0.2), (4, "invalid", None), (5, "invalid", None), (6, "matured", 0.25)], key=lambda r: (r[0], r[1]))
+
+
+def test_spelled_times_and_numbers(spark):
+    good = {
+        "2024-03-01T10:20:30Z": (10, 20, 30, 0), "2024-03-01 10:20:30": (10, 20, 30, 0), " 2024-03-01T10:20 ": (10, 20, 0, 0), "2024-03-01 10:20:30.5": (10, 20, 30, 500_000), "2024-03-01T10:20:30.123456789Z": (10, 20, 30, 123_456), "2024-03-01T19:20:30+09:00": (10, 20, 30, 0),
+        "2024-03-01 05:20:30 -0500": (10, 20, 30, 0), "2024-03-01": (0, 0, 0, 0), "2024/03/01 10:20:30": (10, 20, 30, 0), "20240301T102030": (10, 20, 30, 0), "20240301": (0, 0, 0, 0),
+    }
+    bad = ["", "2024-02-30", "2024-13-01", "soon", "10:20", "2024-03-01 25:00:00", None, "2024-03-01T10:20:30Zx"]
+    numbers = {"1.5": 1.5, " -2 ": -2.0, "1e3": 1000.0, "NaN": None, "inf": None, "1,000": None, "": None, "x": None, None: None}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "Asia/Seoul"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = {r.t: r.at for r in spark.createDataFrame([(t,) for t in [*good, *bad]], "t string").select("t", dirty_time(F.col("t")).alias("at")).collect()}
+            for t, (h, m, s, u) in good.items():
+                assert got[t] == dt.datetime(2024, 3, 1, h, m, s, u), t
+            assert all(got[t] is None for t in bad)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r.t: r.v for r in spark.createDataFrame([(t,) for t in numbers], "t string").select("t", dirty_number(F.col("t")).alias("v")).collect()} == numbers
+
+
+def test_membership_changes(spark):
+    rows = [(1, "a"), (1, "b"), (2, "b"), (2, "c"), (2, "d"), (4, "b"), (4, "b")]
+    got = {r.ts: (r.added, r.removed, r.n_common) for r in membership_changes(spark.createDataFrame(rows, "ts int, entity string")).collect()}
+    assert got == {1: (["a", "b"], [], 0), 2: (["c", "d"], ["a"], 1), 4: ([], ["c", "d"], 1)}
