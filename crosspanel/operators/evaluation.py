@@ -151,6 +151,17 @@ def monthly(ics: DataFrame) -> DataFrame:
     return summary(ics.withColumn("month", F.last_day(F.to_date("ts"))), "month")
 
 
+def stability_audit(rows: DataFrame) -> DataFrame:
+    """(part, n, mean_ic, std_ic, positive) of a walk-forward's IC (ts, retrain, ic) over all slots, by
+    fold, by half (the first n // 2 slots and the rest) and by month, in one grouping."""
+    known = rows.where("ic IS NOT NULL")
+    calendar = known.select("ts").distinct().withColumn("nth", F.row_number().over(Window.orderBy("ts"))).withColumn("slots", F.count("*").over(Window.partitionBy()))  # a row for each slot
+    half = F.when(F.col("nth") <= F.floor(F.col("slots") / 2), "half:first").otherwise("half:second")
+    parts = F.array(F.lit("all"), F.concat(F.lit("fold:"), F.col("retrain").cast("string")), half, F.concat(F.lit("month:"), F.date_format(F.last_day(F.to_date("ts")), "yyyy-MM-dd")))
+    named = known.join(calendar, "ts").select("ic", F.explode(parts).alias("part"))
+    return named.groupBy("part").agg(F.count("*").alias("n"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"))
+
+
 def autocorrelation(values: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, spread, plain and autocorrelation-corrected t of a series ordered by ts; the effective
     number is kept between 1 and n."""

@@ -135,6 +135,15 @@ def walkforward_slots(s: SparkSession, d: str) -> DataFrame:
     return out.select(stamp(F.col("ts")).alias("ts"), "retrain", F.col("longs_").alias("longs"), F.col("shorts_").alias("shorts"), *[six(F.col(c)).alias(c) for c in SLOT_VALUES])
 
 
+@query("stability_audit", recursive(*WALK, TRADED, TIC, """si AS (SELECT ts, retrain, ic, row_number() OVER (ORDER BY ts) AS nth, count(*) OVER () AS slots FROM (SELECT DISTINCT ts, retrain FROM weekly) JOIN tic USING (ts) WHERE ic IS NOT NULL),
+sp AS (SELECT ic, unnest(['all', 'fold:' || retrain, CASE WHEN nth <= slots // 2 THEN 'half:first' ELSE 'half:second' END, 'month:' || strftime(last_day(ts), '%Y-%m-%d')]) AS part FROM si)""",
+    body="SELECT part, count(*) AS n, round(avg(ic), 6) + 0.0::DOUBLE AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg((ic > 0)::INT), 6) AS positive FROM sp GROUP BY part"))
+def stability_audit(s: SparkSession, d: str) -> DataFrame:
+    _, tested = walked(s, d)
+    out = ev.stability_audit(traded(tested))
+    return out.select("part", "n", *[six(F.col(c)).alias(c) for c in ("mean_ic", "std_ic", "positive")])
+
+
 #: What is done to a fold's measurements, so that every branch of the gate is met: name, IC of the
 #: candidate and of the live model, horizon, periods, net.
 CASES = [
@@ -186,7 +195,7 @@ def holdout_bundle(s: SparkSession, d: str) -> DataFrame:
         signed = tested.select("ts", "entity", (sign * F.col("score")).alias("score"), (sign * F.col(f"ret{hours}")).alias("ret"))
         measured = wf.holdout_measures(signed.drop("ret"), signed.drop("score"), slots, active if side == "long" else None)
         out.append(measured.select(F.lit(side).alias("side"), "n_exact", "n_mature", "n_active", "n_ic", six(F.col("ic")).alias("ic"), "n_top", *[six(F.col(c)).alias(c) for c in ("gross", "net", "turnover", "net_hit", "gross_hit")]))
-    return out[0].unionAll(out[1])
+    return out[0].unionAll(out[1]).where("n_mature > 0 AND n_ic > 0 AND n_top > 0")  # a side that was never measured is left out
 
 
 SCORE = "mt - mx * wx - my * wy + coalesce(x, 0) * wx + coalesce(y, 0) * wy"

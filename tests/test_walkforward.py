@@ -247,3 +247,12 @@ def test_replay_finds_each_change(spark):
     assert {t: r.status for t, r in got.items()} == {0: "same", 1: "members", 2: "members", 3: "scores", 4: "insufficient"}
     assert got[1].added == ["e03"] and got[2].removed == ["e04"] and (got[3].n_changed, got[3].largest) == (1, pytest.approx(0.5)) and got[4].n_common == 9
     assert got[0].agreement == pytest.approx(1.0) and got[4].agreement is None and got[3].saved_common_ic != got[3].replay_common_ic
+
+
+def test_stability_by_fold_half_and_month(spark):
+    rows = [(at(24 * 5 * i), i // 3 + 1, v) for i, v in enumerate((0.1, -0.2, 0.3, 0.5, None, 0.2, -0.1, 0.4))]
+    got = {r.part: (r.n, round(r.mean_ic, 6), round(r.positive, 6)) for r in ev.stability_audit(spark.createDataFrame(rows, "ts timestamp_ntz, retrain int, ic double")).collect()}
+    assert got == {
+        "all": (7, round(1.2 / 7, 6), round(5 / 7, 6)), "fold:1": (3, round(0.2 / 3, 6), round(2 / 3, 6)), "fold:2": (2, 0.35, 1.0), "fold:3": (2, 0.15, 0.5), "half:first": (3, round(0.2 / 3, 6), round(2 / 3, 6)), "half:second": (4, 0.25, 0.75),
+        "month:2024-01-31": (6, round(0.8 / 6, 6), round(4 / 6, 6)), "month:2024-02-29": (1, 0.4, 1.0),
+    }
