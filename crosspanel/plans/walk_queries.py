@@ -24,7 +24,7 @@ ZS = RIDGE.partition("\nm AS")[0].rstrip(", ")
 
 #: The ten factors of one model: of the price, of the second venue, of the calendar.
 TEN = [*FACTORS, "lead_1h", "premium_inv", "premium_z_24h", "dow_bull", "hour_vol"]
-TRAIN, TEST, GAP, HORIZON = 240, 48, 0, 6
+TRAIN, TEST, GAP, HORIZON = 96, 24, 0, 6
 GOOD = " AND ".join(f"f{i} IS NOT NULL" for i in range(10))
 _z = lambda c: f"CASE WHEN {c} IS NOT NULL AND stddev_samp({c}) OVER t > 0 THEN least(greatest(({c} - avg({c}) OVER t) / nullif(stddev_samp({c}) OVER t, 0), -3), 3) END"
 UNIFIED = f"""urb AS (SELECT ts, entity, open, close, r1, max(r1) FILTER (entity = '1') OVER (PARTITION BY ts) AS rb FROM factors),
