@@ -294,8 +294,8 @@ def gbt_scores(s, d):  # noqa: ANN001, ANN201
     return shown(mo.boosted(f, FACTORS[:2], "target", depth=3, rounds=5).transform(f), ["ts", "entity"], ["score"])
 
 
-def stream(s: SparkSession, d: str) -> DataFrame:
-    return se.source(s, f"{d}/event[s].parquet")
+def stream(s: SparkSession, d: str, files_per_trigger: int | None = 4) -> DataFrame:
+    return se.source(s, f"{d}/event[s].parquet", files_per_trigger=files_per_trigger)
 
 
 def finished(out: DataFrame, name: str) -> DataFrame:
@@ -343,8 +343,9 @@ wm AS (SELECT max(CASE WHEN exits > 0 THEN ts + INTERVAL 7 HOUR WHEN entries > 0
 SELECT status, count(*) AS n, round(avg(CASE WHEN status = 'matured' THEN ret END), 6) + 0.0::DOUBLE AS ret FROM (SELECT status, ret FROM o WHERE status IS NOT NULL UNION ALL SELECT 'recorded', NULL FROM m WHERE NOT late) GROUP BY status""")
 def stream_maturation(s, d):  # noqa: ANN001, ANN201
     """Signals and their prices, replayed from the events: some are recorded late, some lack a price, some
-    have one twice."""
-    e, k = stream(s, d), F.col("event_id")
+    have one twice. The table's files are in no order of time, so that all make one batch: split, all but
+    the first would be behind the watermark."""
+    e, k = stream(s, d, files_per_trigger=None), F.col("event_id")
     message = lambda kind, hours, price: F.struct(F.lit(kind).alias("kind"), (F.col("at") + F.make_interval(hours=F.lit(hours))).alias("at"), price.alias("open"))
     first, last = F.col("value") + 1, F.col("value") + 1 + (k % 11 - 5).cast("double") / 100
     entry, leave = message("entry", 1, first), message("exit", 7, last)

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def source(spark: SparkSession, path: str, schema: str = EVENT, files_per_trigger: int = 4) -> DataFrame:
-    """A stream over parquet files as they appear, with event time for watermarks."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+def source(spark: SparkSession, path: str, schema: str = EVENT, files_per_trigger: int | None = 4) -> DataFrame:
+    """A stream over parquet files as they appear, with event time for watermarks. ``files_per_trigger``
+    None takes all there are at once: files that are not in the order of time would else be late."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
+    return reader.parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -72,11 +76,19 @@ def append_matured(batch: DataFrame, ledger_path: str, keys: list[str]) -> None:
 
 
 HOUR_MS = 3_600_000
-_STATE = "signal_ms bigint, entry double, exit double, entries int, exits int"
-_OUTCOME = "id bigint, status string, ret double"
-
-
-def maturation(messages: DataFrame, late: str = "2 hours", grace_minutes: int = 45, exit_hours: int = 7, deadline_hours: int = 55) -> DataFrame:
+#: Groups of ids that share a row of state and a call: one call for each id would take milliseconds an id.
+GROUPS = 1024
+#: What stands in a state for a signal that did not come yet, and for one that ended as late.
+_NONE, _ENDED = -(1 << 62), 1 - (1 << 62)
+_KINDS = ("signal", "entry", "exit")
+_STATUS = ("recorded", "late", "matured", "invalid", "expired")
+_STATE = "id array<bigint>, signal_ms array<bigint>, entry array<double>, exit array<double>, entries array<bigint>, exits array<bigint>, timer_ms array<bigint>"
+_TYPES = ("i8", "i8", "f8", "f8", "i8", "i8", "i8")
+_MESSAGE = ("id", "kind", "open", "at_ms", "recorded_ms")
+_OUTCOME = "id bigint, status tinyint, ret double"
+
+
+def maturation(messages: DataFrame, late: str = "2 hours", grace_minutes: int = 45, exit_hours: int = 7, deadline_hours: int = 55, groups: int = GROUPS) -> DataFrame:
     """Outcomes of signals as time passes: rows (id, status, ret) in append mode.
 
     ``messages``: id, kind (signal, entry, exit), at (what it tells of), recorded_at (when it was told;
@@ -85,65 +97,73 @@ def maturation(messages: DataFrame, late: str = "2 hours", grace_minutes: int =
     once, and its state waits. An hour after the exit, by the watermark, it is ``matured`` with its return
     if it has exactly one usable price at either end; else it may still mature until its deadline, when it
     is ``invalid`` (prices that repeat or are no positive numbers) or ``expired`` (prices missing). Prices
-    that no signal comes for go at their deadline. State is a row of fixed width for each open signal;
-    timers are on the time of recording, so that a restart from the checkpoint goes on where it was.
-    """
-    usable = lambda x: x == x and 0 < x < float("inf")
-
-    def framed(out: list[tuple]) -> list[pd.DataFrame]:
-        return [pd.DataFrame(out, columns=["id", "status", "ret"])] if out else []
+    that no signal comes for go at their deadline; a signal without a time counts as none.
 
-    def settle(key: tuple, state: GroupState, row: tuple, now: int) -> list[tuple]:
-        """What a signal whose exit is an hour past comes to now; waits on if it can still mature."""
-        signal, entry, leave, entries, exits = row
-        due = signal + deadline_hours * HOUR_MS
-        if entries == 1 and exits == 1 and usable(entry) and usable(leave):
-            state.remove()
-            return [(key[0], "matured", leave / entry - 1)]
-        if now >= due:
-            state.remove()
-            return [(key[0], "invalid" if entries and exits else "expired", None)]
-        state.update(row)
-        state.setTimeoutTimestamp(due)
-        return []
+    Ids are dealt by hash into ``groups``, whose messages are worked on together as arrays. A group's state
+    holds a place of fixed width, with a timer of its own, for each of its open signals; the group is woken
+    at the first of them. Timers are on the time of recording, so that a restart from the checkpoint goes on
+    where it was; ``groups`` must stay the same over a checkpoint.
+    """
+    grace, ripe, deadline = grace_minutes * 60_000, (exit_hours + 1) * HOUR_MS, deadline_hours * HOUR_MS
 
     def step(key, batches, state):  # noqa: ANN001, ANN202
         now = state.getCurrentWatermarkMs()
-        row = state.get if state.exists else (None, None, None, 0, 0)
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            if row[0] is None or row[0] < 0:
-                state.remove()
-            else:
-                out = settle(key, state, row, now)
-            yield from framed(out)
-            return
-        signal, entry, leave, entries, exits = row
-        newest = 0
-        for got in batches:
-            for m in got.itertuples(index=False):
-                ms = m.at_ms
-                newest = max(newest, ms)
-                if m.kind == "signal" and signal is None:
-                    if m.recorded_ms > ms + grace_minutes * 60_000:
-                        signal = -1
-                        out.append((key[0], "late", None))
-                    else:
-                        signal = ms
-                        out.append((key[0], "recorded", None))
-                elif m.kind == "entry":
-                    entry, entries = m.open, entries + 1
-                elif m.kind == "exit":
-                    leave, exits = m.open, exits + 1
-        if signal is None or signal < 0:  # kept for a while, so that what follows finds that it ended
-            state.update((signal, entry, leave, entries, exits))
-            state.setTimeoutTimestamp(max(now + 1, newest + deadline_hours * HOUR_MS))
-        elif now >= (mature := signal + (exit_hours + 1) * HOUR_MS):
-            out += settle(key, state, (signal, entry, leave, entries, exits), now)
-        else:
-            state.update((signal, entry, leave, entries, exits))
-            state.setTimeoutTimestamp(mature)
-        yield from framed(out)
-
-    marked = messages.select("id", "kind", "open", "recorded_at", F.unix_millis("at").alias("at_ms"), F.unix_millis("recorded_at").alias("recorded_ms")).withWatermark("recorded_at", late)
-    return marked.groupBy("id").applyInPandasWithState(step, _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        held = [np.asarray(x, dtype=t) for x, t in zip(state.get if state.exists else [[]] * len(_TYPES), _TYPES, strict=True)]
+        got = [] if state.hasTimedOut else [[b[c].to_numpy() for c in _MESSAGE] for b in batches]
+        mid, kind, price, at, told = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.empty(0)] * 5
+        n_held = len(held[0])
+        ids, where = np.unique(np.concatenate([held[0], mid.astype("i8")]), return_inverse=True)
+        was, of = where[:n_held], where[n_held:]
+        empty = (0, _NONE, np.nan, np.nan, 0, 0, 0)
+        _, signal, entry, leave, entries, exits, timer = rows = [np.full(len(ids), e, dtype=t) for e, t in zip(empty, _TYPES, strict=True)]
+        for row, old in zip(rows, held, strict=True):
+            row[was] = old
+        rows[0] = ids
+
+        out: list[tuple[np.ndarray, str]] = []
+        signals = np.flatnonzero((kind == 0) & ~np.isnan(at))
+        came, first = np.unique(of[signals], return_index=True)  # of several signals the first counts
+        new = signal[came] == _NONE
+        came, first = came[new], signals[first[new]]
+        overdue = told[first] > at[first] + grace
+        signal[came] = np.where(overdue, _ENDED, at[first].astype("i8"))
+        out += [(came[overdue], "late"), (came[~overdue], "recorded")]
+        for code, last, count in ((1, entry, entries), (2, leave, exits)):
+            last[of[kind == code]] = price[kind == code]  # of several prices the last stays
+            count += np.bincount(of[kind == code], minlength=len(ids))
+
+        touched = np.zeros(len(ids), dtype=bool)
+        touched[of] = True
+        newest = np.full(len(ids), _NONE)
+        np.maximum.at(newest, of[~np.isnan(at)], at[~np.isnan(at)].astype("i8"))
+        waits = signal <= _ENDED  # kept for a while, so that what follows finds that it ended
+        timer = np.where(touched, np.where(waits, np.maximum(now + 1, newest + deadline), signal + ripe), timer)
+        over = np.where(touched, ~waits & (now >= timer), timer < now)
+        settled = over & ~waits
+        with np.errstate(invalid="ignore"):
+            usable = (entry > 0) & (entry < np.inf) & (leave > 0) & (leave < np.inf)
+        matured = settled & (entries == 1) & (exits == 1) & usable
+        due = settled & ~matured & (now >= signal + deadline)
+        out += [(np.flatnonzero(matured), "matured"), (np.flatnonzero(due & (entries > 0) & (exits > 0)), "invalid"), (np.flatnonzero(due & ((entries == 0) | (exits == 0))), "expired")]
+        rows[6] = np.where(settled, signal + deadline, timer)
+        stay = ~(matured | due | (over & waits))
+        if stay.any():
+            state.update(tuple(row[stay].tolist() for row in rows))
+            state.setTimeoutTimestamp(int(max(rows[6][stay].min(), now, 1)))
+        elif state.exists:
+            state.remove()
+        at_rows = np.concatenate([x for x, _ in out])
+        if len(at_rows):
+            with np.errstate(over="ignore"):
+                ret = [(leave[x] / entry[x] - 1) if status == "matured" else np.full(len(x), np.nan) for x, status in out]
+            code = np.concatenate([np.full(len(x), _STATUS.index(status), dtype="i1") for x, status in out])
+            shown = ids[at_rows] if key[0] >= 0 else [None] * len(at_rows)
+            yield pd.DataFrame({"id": shown, "status": code, "ret": np.concatenate(ret)})
+
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, _KINDS)), F.col("kind")) - 1, F.lit(-1)).cast("tinyint")
+    ms = lambda c: F.unix_millis(c).cast("double")  # noqa: E731  # exact, and NaN where it is null
+    group = F.when(F.col("id").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))  # rows without an id are one signal
+    columns = [F.coalesce("id", F.lit(0)).alias("id"), kind.alias("kind"), F.col("open").cast("double").alias("open"), ms("at").alias("at_ms"), ms("recorded_at").alias("recorded_ms")]
+    marked = messages.withWatermark("recorded_at", late).select(group.alias("group"), "recorded_at", *columns)
+    done = marked.groupBy("group").applyInPandasWithState(step, _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return done.select("id", F.get(F.array(*map(F.lit, _STATUS)), F.col("status")).alias("status"), "ret")

@@ -87,6 +87,43 @@ def test_signals_mature_across_a_restart(spark, tmp_path):
     assert got == sorted([*recorded, (1, "matured", 0.1), (2, "late", None), (3, "matured", -0.2), (4, "invalid", None), (5, "invalid", None), (6, "matured", 0.25)], key=lambda r: (r[0], r[1]))
 
 
+def test_signals_of_a_group_do_not_mix(spark, tmp_path):
+    """Every kind of signal many times over, dealt into few groups and into many, over four starts."""
+    kinds = [
+        (dict(entry=[10.0], leave=[11.0]), ["matured", "recorded"]), (dict(late_minutes=46, entry=[1.0], leave=[1.0]), ["late"]), (dict(entry=[5.0]), ["expired", "recorded"]),
+        (dict(entry=[5.0], leave=[6.0, 6.0]), ["invalid", "recorded"]), (dict(entry=[0.0], leave=[2.0]), ["invalid", "recorded"]), (dict(entry=[float("nan")], leave=[2.0]), ["invalid", "recorded"]), ({}, ["expired", "recorded"]),
+    ]
+    keys = [*range(-35, 35), None]
+    parts = [[m for k in keys if (k or 0) % 2 == odd for m in messages(k, (k or 0) % 5 + 20 * odd, **kinds[(k or 0) % 7][0])] for odd in (0, 1)]
+    parts += [messages(100, 150), [(k, "exit", START, START + dt.timedelta(hours=151), 1.0) for k in range(-35, 35)]]  # prices after the end change nothing
+    schema = spark.createDataFrame([], MESSAGE).schema
+    for groups in (2, 1024):
+        source, checkpoint, out = (f"{tmp_path}/{groups}/{x}" for x in ("in", "state", "out"))
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+            run = se.maturation(spark.readStream.schema(schema).parquet(source), "1 hour", groups=groups).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", out).start()
+            run.awaitTermination()
+            assert all(p["stateOperators"][0]["numRowsTotal"] <= groups + 1 for p in run.recentProgress)
+        got = spark.read.parquet(out).collect()
+        for k in keys:
+            assert sorted(r.status for r in got if r.id == k) == kinds[(k or 0) % 7][1], (groups, k)
+        assert {round(r.ret, 6) for r in got if r.status == "matured"} == {0.1}
+        assert [r.ret for r in got if r.status != "matured" and r.ret is not None] == []
+
+
+def test_a_replay_of_many_files_loses_nothing(spark, tmp_path):
+    """The files are in no order of time; taken four at a time, the later ones would be behind the watermark."""
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(16).write.parquet(f"{tmp_path}/events.parquet")
+    replay = __spark_entry__.queries()["stream_maturation"]
+    whole, parts = ({tuple(r) for r in replay(spark, d).collect()} for d in (sf, str(tmp_path)))
+    assert dict((status, n) for status, n, _ in parts)["recorded"] == events.where("event_id % 60 <= 45").count()
+    assert parts == whole
+
+
 def test_spelled_times_and_numbers(spark):
     good = {
         "2024-03-01T10:20:30Z": (10, 20, 30, 0), "2024-03-01 10:20:30": (10, 20, 30, 0), " 2024-03-01T10:20 ": (10, 20, 0, 0), "2024-03-01 10:20:30.5": (10, 20, 30, 500_000), "2024-03-01T10:20:30.123456789Z": (10, 20, 30, 123_456), "2024-03-01T19:20:30+09:00": (10, 20, 30, 0),
