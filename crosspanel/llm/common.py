@@ -53,15 +53,23 @@ def kept(key: str, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what a worker kept. A function of the module, so that tasks reach the worker's own
+    ``_KEPT``: a closure that names it is sent with a copy."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()  # tokenizers refer to themselves
+        give_back()
+
+
 def trimming(run: Callable[[Batches], Batches], keeps: bool = False) -> Callable[[Batches], Batches]:
     """``run``, after which a task gives freed memory back to the system: Python workers stay alive
     between tasks, and beside the next stages would hold on to the most that any task needed.
     Operators that have nothing to keep (:func:`kept`) drop what earlier ones kept."""
 
     def trimmed(batches: Batches) -> Batches:
-        if not keeps and _KEPT:
-            _KEPT.clear()
-            gc.collect()  # tokenizers refer to themselves
+        if not keeps:
+            forget()
         yield from run(batches)
         give_back()
 

@@ -16,15 +16,18 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm.bpe import MEMO, MEMO_BYTES, SPACE, BytePairs, loaded, tokenizer_text
-from crosspanel.llm.common import as_strings, in_small_batches, trimming
+from crosspanel.llm.common import as_strings, forget, give_back, in_small_batches, trimming
 
 #: Documents packed together: enough for full windows, few enough for any task.
 GROUP_ROWS = 2048
+#: Rows of an Arrow batch of packed pieces, 2 MB with full windows of ids.
+BATCH_ROWS = 256
 #: Fixed value: the pre-tokenizer's pattern of the word vocabulary.
 WORD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
@@ -102,6 +105,7 @@ class WordLevel(BytePairs):
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.table = MergeTable(self)
         self.unit_id = np.array([self.id_of_units[chr(i)] for i in range(512)], dtype=np.int32)
+        del self.vocabulary, self.rank, self.made, self.id_of_units  # 35 MB a worker; the merge table has what is used
         self.known: dict[str, bytes] = {}
         self.known_pieces: dict[str, bytes] = {s: np.array([i], dtype="<u4").tobytes() for s, i in self.special.items()}
         self.special_pieces = dict(self.known_pieces)
@@ -260,13 +264,19 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = 2048,
             columns += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth", *(["token_ids"] if with_ids else [])])
 
-    def pack(key: tuple, table: pa.Table) -> pa.Table:
-        order = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
-        at, offset = best_fit_decreasing(order["length"].to_pylist(), window)
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the tokenizer has done its work
+        rows = pa.Table.from_batches(batches).drop_columns(["group", "nth"]).combine_chunks().to_batches()[0]
+        light = rows.select(["length", "doc_id", "start"])
+        order = pc.sort_indices(light, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        at, offset = best_fit_decreasing(light.column(0).take(order).to_pylist(), window)
         base = key[0].as_py() << 32
-        out = order.drop_columns(["group", "nth"])
-        out = out.append_column("sequence_id", pa.array([base + a for a in at], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-        return out.select(names)
+        for i in range(0, len(order), BATCH_ROWS):  # the ids are put in order a batch at a time
+            out = rows.take(order.slice(i, BATCH_ROWS))
+            columns = {**dict(zip(out.schema.names, out.columns, strict=True)), "sequence_id": pa.array([base + a for a in at[i : i + BATCH_ROWS]], pa.int64()), "offset": pa.array(offset[i : i + BATCH_ROWS], pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+        del rows, light, out, columns
+        give_back()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["token_ids"] if with_ids else [])]
     pieces = docs.select("doc_id", "text").mapInArrow(trimming(cut, keeps=True), f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, nth bigint{ids_column}")

@@ -377,6 +377,30 @@ def test_best_fit_takes_the_tightest_window():
         room[at[i]] = room.get(at[i], 2048) - lengths[i]
 
 
+def test_workers_forget_tokenizers():
+    """A function sent to a worker drops what the worker keeps, not a copy of it."""
+    from pyspark import cloudpickle
+
+    from crosspanel.llm import common
+
+    common.kept("some tokenizer", lambda: [1])
+    assert list(cloudpickle.loads(cloudpickle.dumps(common.trimming(iter, keeps=True)))(["batch"])) == ["batch"] and common._KEPT
+    assert list(cloudpickle.loads(cloudpickle.dumps(common.trimming(iter)))(["batch"])) == ["batch"] and not common._KEPT
+
+
+def test_packed_groups_of_several_batches(spark, texts):
+    """Pieces of a group are put in order a batch at a time; ids and columns stay together."""
+    docs = frame(spark, [(i, f"{texts[i % len(texts)]} {i}") for i in range(packing.BATCH_ROWS + 50)])
+    got = packing.pack_documents(docs, with_ids=True).collect()
+    assert len({(r.doc_id, r.start) for r in got}) == len(got) > packing.BATCH_ROWS and {r.doc_id for r in got} == set(range(packing.BATCH_ROWS + 50))
+    assert all(zlib.crc32(np.array(r.token_ids, dtype="<i4").tobytes()) == r.ids_crc32 and len(r.token_ids) == r.length for r in got)
+    end: dict[int, int] = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == end.get(r.sequence_id, 0)
+        end[r.sequence_id] = r.offset + r.length
+    assert max(end.values()) <= 2048
+
+
 def test_packing_of_odd_and_empty_tables(spark, odd):
     assert {r.doc_id for r in packing.pack_documents(odd).collect()} == {*range(len(ODD)), None}
     assert packing.pack_documents(odd.limit(0)).count() == 0
